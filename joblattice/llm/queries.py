@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import packing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), width=13)
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the only place that knows."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=2048, end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup,)}
+    return {f.__name__: f for f in (op4_substring_dedup, op6_packing)}
 
 
 _OP4_SQL = r"""
@@ -35,7 +46,7 @@ WITH w AS (
   ) GROUP BY doc_id
 ), kept AS (
   SELECT w.doc_id, len(words) AS n_words, coalesce(len(ks), 0) AS n_removed,
-         list_filter(list_transform(range(1, len(words) + 1), k -> CASE WHEN list_contains(coalesce(ks, []), k) THEN NULL ELSE words[k] END), x -> x IS NOT NULL) AS left_over
+         list_filter(list_transform(range(1, len(words) + 1), lambda k: CASE WHEN list_contains(coalesce(ks, []), k) THEN NULL ELSE words[k] END), lambda x: x IS NOT NULL) AS left_over
   FROM w LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
