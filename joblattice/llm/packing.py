@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ from . import textkit as tk
 PIECE_SCHEMA = "doc_id long, doc_tokens long, grp long, row long, start array<long>, length array<long>, crc array<long>"
 RESULT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_500_000
 
 
 def _tokenizer(path: str):
@@ -44,9 +46,27 @@ def _tokenizer(path: str):
 
         _CACHE["t", path] = Tokenizer.from_file(path)
         _CACHE["w", path] = {}
+        vocab = _CACHE["t", path].get_vocab()
+        _CACHE["e", path] = np.zeros(max(vocab.values()) + 1, bool)
+        _CACHE["e", path][[i for t, i in vocab.items() if t.endswith("</w>")]] = True
     return _CACHE["t", path], _CACHE["w", path]
 
 
+def _learn(words: list[str], tokenizer, known: dict, ends: np.ndarray) -> None:
+    """Encode words of letters only, 500 to a text; exactly their last tokens are word ends."""
+    for i in range(0, len(words), 10_000):
+        part = words[i : i + 10_000]
+        texts = [" ".join(part[j : j + 500]) for j in range(0, len(part), 500)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) != len(part):
+            continue  # left to the word-by-word way
+        raw, at = ids.tobytes(), 0
+        for w, cut in zip(part, (4 * cuts).tolist(), strict=True):
+            known[w] = raw[at:cut]
+            at = cut
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of each text, back to back, and the bounds of each text in them.
 
@@ -55,15 +75,26 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     tokenizer, known = _tokenizer(path)
     words = tk.split_words(texts)
-    vocab = words.vocab.to_pylist()
+    # A full stop or comma after an ASCII letter or digit is always a token of its own, and case is ignored.
+    stopped = pc.match_substring_regex(words.vocab, "[A-Za-z0-9][.,]$")
+    marked = pc.match_substring_regex(words.vocab, "[\\x{0300}-\\x{036f}]")
+    core = pc.if_else(stopped, pc.utf8_rtrim(words.vocab, characters=".,"), words.vocab)
+    core = pc.if_else(marked, core, pc.ascii_lower(core)).dictionary_encode()
+    stems = core.dictionary.to_pylist()
     if len(known) > _CACHE_WORDS:
         known.clear()
-    new = [w for w in vocab if w not in known]
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
+    lone = pc.match_substring_regex(core.dictionary, r"^\p{L}+$").to_pylist()
+    _learn([w for w, one in zip(stems, lone, strict=True) if w not in known and one], tokenizer, known, _CACHE["e", path])
+    odd = [w for w in stems if w not in known]
+    for i in range(0, len(odd), 20_000):
+        part = odd[i : i + 20_000]
         for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    blobs = [known[w] for w in vocab]
+            known[w] = array("I", e.ids).tobytes()
+    comma = pc.and_(stopped, pc.ends_with(words.vocab, ",")).to_numpy(zero_copy_only=False)
+    tail = np.where(comma, 1, np.where(stopped.to_numpy(zero_copy_only=False), 2, 0)).tolist()
+    marks = [b"", *(array("I", tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.")]
+    of_stem = [known[w] for w in stems]
+    blobs = [of_stem[c] + marks[t] for c, t in zip(core.indices.to_pylist(), tail, strict=True)]
     flat = np.frombuffer(b"".join(blobs), "<u4")
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     begin = np.cumsum(sizes) - sizes
@@ -80,8 +111,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, group
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                yield _cut(batch.slice(at, 1000), tokenizer_path, length, end_id, groups, seed)
+            for at in range(0, batch.num_rows, 3000):
+                yield _cut(batch.slice(at, 3000), tokenizer_path, length, end_id, groups, seed)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
 
