@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, substring_dedup
+from . import near_dedup, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.similar_groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), width=13)
 
@@ -33,7 +37,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_substring_dedup, op6_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op4_substring_dedup, op6_packing)}
 
 
 _OP4_SQL = r"""
@@ -59,5 +63,28 @@ FROM kept
 """
 
 
+_OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 1], ' ') AS g FROM w, unnest(range(1, len(words))) AS r(i)
+  UNION ALL
+  SELECT doc_id, words[1] FROM w WHERE len(words) = 1
+), n AS (
+  SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM n
+  UNION
+  SELECT reach.v, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept
+FROM n JOIN reach ON reach.v = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": _OP4_SQL}
+    return {"op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL}
