@@ -1,15 +1,57 @@
-"""A corpus pipeline of four stages over the documents table."""
+"""A corpus pipeline of four stages over the documents table.
+
+Each stage takes what its predecessor kept.  The first three return the columns
+of documents, the last one the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from joblattice.llm import near_dedup, packing, quality, store, substring_dedup
+from joblattice.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the perplexity bands reject."""
+    return quality.kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8."""
+    groups = near_dedup.similar_groups(docs, width=5, percent=80)
+    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 13 words or more that a smaller document already has."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    rows = substring_dedup.deduplicate(docs, width=13, with_text=True, carry=carry)
+    text = F.col("kept_text").alias("text")
+    made = {"text": text, "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return rows.select(*[made.get(c, F.col(c)) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' token pieces in sequences of 2048."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), length=2048, end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("substring_duplicates", substring_duplicates),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Perplexity under a model of the whole corpus is beyond plain SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store.written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -203,9 +203,10 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
     The highest order uses plain counts, the lower ones the number of different
     symbols seen before the n-gram; the lowest is mixed with the uniform
-    distribution over the language's symbols.
+    distribution over the language's symbols.  Each order is written before the
+    next one reads it, so that the counting is done once.
     """
-    levels = [counts]
+    levels = [written(counts, "counts")]
     for _ in range(order - 1):
         top = levels[-1]
         levels.append(top.groupBy("lang", F.substring("g", 2, order).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c")))
@@ -223,7 +224,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         seen = F.when(F.col("c") > 0, (F.col("c") - off) / F.col("total")).otherwise(F.lit(0.0))
         p = seen + F.coalesce(F.col("gamma"), F.lit(1.0)) * F.col("q")
-        below = joined.select("lang", F.col("g").alias("s"), p.alias("q"))
+        below = written(joined.select("lang", F.col("g").alias("s"), p.alias("q")), f"order{size}")
         below_key = ["lang", "s"]
     return below.select("lang", F.col("s").alias("g"), F.log("q").alias("logp"))
 
@@ -275,13 +276,16 @@ def _score_batch(texts: pa.Array, lang_column, h: np.ndarray, p: np.ndarray) ->
     return n, total, squares
 
 
-def scored(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> DataFrame:
-    """doc_id, lang, base statistics, n_symbols_scored, log_sum and square_sum per document."""
+def scored(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, base statistics, n_scored, log_sum and square_sum per document, and the columns to carry."""
     shards = max(1, -(-model.count() // shard_rows))
     text_key = (F.xxhash64("text"), F.length("text").cast("long"))
-    rows = docs.select("doc_id", "lang", "text", text_key[0].alias("k1"), text_key[1].alias("k2"))
+    own = ("doc_id", "lang", "text", text_key[0].alias("k1"), text_key[1].alias("k2"))
+    along = [f"c{i}" for i in range(len(carry))] if shards == 1 else []
+    rows = docs.select(*own, *[F.col(c).alias(n) for c, n in zip(carry, along, strict=False)])
     schema = f"doc_id long, lang string, k1 long, k2 long, {BASE_SCHEMA}, n_scored long, log_sum double, square_sum double"
     names = [c.split()[0] for c in schema.split(", ")]
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, along, strict=False))
     parts = []
     for shard in range(shards):
         arrays = docs.sparkSession.sparkContext.broadcast(_sorted_arrays(model, shard, shards))
@@ -295,11 +299,12 @@ def scored(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> Da
                     base = base_statistics(texts) if first else [pa.nulls(len(texts), pa.int64())] * 5
                     n, total, squares = _score_batch(texts, batch.column(1), h, p)
                     cols = [batch.column(c) for c in (0, 1, 3, 4)]
-                    yield pa.record_batch([*cols, *base, pa.array(n), pa.array(total), pa.array(squares)], names=names)
+                    rest = [batch.column(c) for c in along]
+                    yield pa.record_batch([*cols, *base, pa.array(n), pa.array(total), pa.array(squares), *rest], names=[*names, *along])
 
         parts.append(rows.mapInArrow(score, schema).withColumn("shard", F.lit(shard)))
     if shards == 1:
-        return parts[0].drop("k1", "k2", "shard")
+        return parts[0].drop("k1", "k2", "shard").withColumnsRenamed(dict(zip(along, (f"carried_{c}" for c in carry), strict=True)))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -309,7 +314,11 @@ def scored(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000) -> Da
     once = whole.groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("copies"), *[F.max(v).alias(v) for v in values])
     added = [(F.sum(v) if v.endswith("_sum") else F.max(v)).alias(v) for v in values]
     merged = once.groupBy(*key).agg(F.max("copies").alias("copies"), *added)
-    return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("k1", "k2", "copies", "copy")
+    if not carry:
+        return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("k1", "k2", "copies", "copy")
+    full = docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), text_key[0].alias("x1"), text_key[1].alias("x2"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    same = merged.doc_id.eqNullSafe(full.i) & merged.lang.eqNullSafe(full.l) & merged.k1.eqNullSafe(full.x1) & merged.k2.eqNullSafe(full.x2)
+    return merged.join(full, same).drop("k1", "k2", "copies", "i", "l", "x1", "x2")
 
 
 def bands(rows: DataFrame, grid: float = 0.01) -> DataFrame:
@@ -338,15 +347,16 @@ def judge(
     high_band: float = 0.35,
     noise: float = 4.0,
     shard_rows: int = 4_000_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Statistics and verdict per document.
+    """Statistics and verdict per document, and the columns to carry under their names with ``carried_``.
 
     ``low_band`` bounds how much better than its language's centre the model may
     predict a character of a document (in nats), ``high_band`` how much worse.
     """
-    model = written(hashed(kneser_ney(ngram_counts(docs))), "ngrams")
+    model = hashed(kneser_ney(ngram_counts(docs)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = written(scored(docs, model, shard_rows).withColumn("base_failed", failed), "scores")
+    rows = written(scored(docs, model, shard_rows, carry).withColumn("base_failed", failed), "scores")
     limits = bands(rows).withColumnRenamed("lang", "of_lang")
     mean = F.col("log_sum") / F.nullif(F.col("n_scored"), F.lit(0))
     off = mean - F.col("centre")
@@ -355,4 +365,11 @@ def judge(
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     joined = rows.join(F.broadcast(limits), rows.lang.eqNullSafe(limits.of_lang), "left")
     names = [c.split()[0] for c in BASE_SCHEMA.split(", ")]
-    return joined.select("doc_id", *names, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre")
+    more = [f"carried_{c}" for c in carry]
+    return joined.select("doc_id", *names, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre", *more)
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    rows = judge(docs, carry=tuple(docs.columns), **options).where("kept")
+    return rows.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])

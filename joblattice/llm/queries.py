@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup, packing, quality, substring_dedup
+from . import near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +37,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=2048, end_id=1)
 
 
+def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.pair_by_parity(_table(spark, sf_dir, "conversations")))
+
+
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url ends in the doc_id of its text; that document's labels are the page's."""
+    pages = _table(spark, sf_dir, "pages")
+    number = F.expr(r"try_cast(regexp_extract(url, '/([0-9]+)[^/0-9]*([?#].*)?/?([?#].*)?$', 1) AS bigint)")
+    labels = _table(spark, sf_dir, "labels")
+    bad = labels.select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad")).where("bad IS NOT NULL")
+    labelled = pages.select("page_id", number.alias("doc_id")).join(bad, "doc_id").select("page_id", "bad")
+    return url_filter.judge(pages, labelled, URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op4_substring_dedup, op6_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op4_substring_dedup, op6_packing, op8_preference_chat, op10_url_filter)}
 
 
 _OP4_SQL = r"""
@@ -86,5 +110,34 @@ FROM n JOIN reach ON reach.v = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 
+_OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
+  FROM conversations
+), p AS (
+  SELECT DISTINCT pair_id FROM t
+), both_sides AS (
+  SELECT pair_id, i, max(role) FILTER (side = 0) AS cr, max(text) FILTER (side = 0) AS ct,
+         max(role) FILTER (side = 1) AS rr, max(text) FILTER (side = 1) AS rt
+  FROM t GROUP BY pair_id, i
+), pre AS (
+  SELECT pair_id, coalesce(min(i) FILTER (cr IS DISTINCT FROM rr OR ct IS DISTINCT FROM rt) - 1, max(i)) AS n
+  FROM both_sides GROUP BY pair_id
+), r AS (
+  SELECT t.*, pre.n, '<|' || role || '|>' || chr(10) || text || chr(10) AS s FROM t JOIN pre USING (pair_id)
+), o AS (
+  SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM r
+)
+SELECT p.pair_id, any_value(pre.n)::BIGINT AS n_prompt_turns,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (i <= o.n AND side = 0), '') AS prompt,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (i > o.n AND side = 0), '') AS chosen,
+  coalesce(string_agg(s, '' ORDER BY i) FILTER (i > o.n AND side = 1), '') AS rejected,
+  coalesce(list({'start': (before + length(role) + 5)::INT, 'length': length(text)::INT} ORDER BY i) FILTER (i > o.n AND side = 0 AND role = 'assistant'), []) AS chosen_mask,
+  coalesce(list({'start': (before + length(role) + 5)::INT, 'length': length(text)::INT} ORDER BY i) FILTER (i > o.n AND side = 1 AND role = 'assistant'), []) AS rejected_mask
+FROM p JOIN pre USING (pair_id) JOIN o USING (pair_id) GROUP BY p.pair_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL}
+    return {"op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op8_preference_chat": _OP8_SQL}

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,7 @@ class _Batch:
     def __init__(self, table: pa.Table, width: int):
         ids = table.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        self.rows = order
         self.ids = [ids[i] for i in order]
         texts = tk.one_array(table.column("text")).take(pa.array(order, pa.int64()))
         self.words = tk.split_words(texts)
@@ -159,11 +161,16 @@ def merge_join(runs: DataFrame) -> DataFrame:
 
 
 def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, with_text: bool) -> DataFrame:
+    """Marks applied to the batches; columns besides rank, doc_id and text are carried along."""
     schema = RESULT_SCHEMA + (", kept_text string" if with_text else "")
+    carried = [f for f in batches.schema.fields if f.name not in ("rank", "doc_id", "text")]
+    names = [f.split()[0] for f in schema.split(", ")] + [f.name for f in carried]
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
 
     def apply(docs, marks):
         if not docs.num_rows:
-            return pa.table({f.split()[0]: pa.array([], pa.string() if "string" in f else pa.int64()) for f in schema.split(", ")})
+            kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
+            return pa.table({c: pa.array([], kinds[c] if c in kinds else docs.column(c).type) for c in names})
         batch = _Batch(docs, width)
         known = dict(zip(marks.column("bucket").to_pylist(), marks.column("seen").to_pylist(), strict=True))
         old = np.zeros(len(batch.unique), bool)
@@ -181,23 +188,28 @@ def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, wi
             "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
         }
         if with_text:
-            cols["kept_text"] = text.cast(pa.string())
+            original = tk.one_array(docs.column("text")).take(pa.array(batch.rows, pa.int64()))
+            whole = pa.array(np.diff(before) == 0)
+            cols["kept_text"] = pc.if_else(whole, original, text).cast(pa.string())
+        for f in carried:
+            cols[f.name] = docs.column(f.name).take(pa.array(batch.rows, pa.int64()))
         return pa.table(cols)
 
     return batches.groupBy("rank").cogroup(seen.groupBy("rank")).applyInArrow(apply, schema)
 
 
-def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 16 << 20, with_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 16 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Bulk load: each document without the words that a smaller document already has.
 
     A word goes if a window of ``width`` words that covers it also starts in a
     document with a smaller doc_id.  Returns doc_id, n_words, n_removed and
-    kept_sha256 (and kept_text): the kept words, joined by one space.
+    kept_sha256 (and kept_text: the text itself where nothing goes): the kept
+    words, joined by one space; and the columns named in ``carry``.
     ``run_bytes`` bounds the text of one run, and so the memory of one task.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     rank, _, bits = plan_ranges(docs, run_bytes)
-    batches = docs.select(rank.alias("rank"), "doc_id", "text")
+    batches = docs.select(rank.alias("rank"), "doc_id", "text", *carry)
     return _drop_repeats(batches, merge_join(runs_of(batches, width, bits)), width, bits, with_text)
 
 
