@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import lattice_sampling, near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similar_groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of each document, with the decoded round trip checked."""
+    return lattice_sampling.digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), width=13)
 
@@ -61,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op4_substring_dedup, op6_packing, op8_preference_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op6_packing, op8_preference_chat, op10_url_filter)}
 
 
 _OP4_SQL = r"""
