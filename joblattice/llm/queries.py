@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice_sampling, near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=2048, end_id=1)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.pair_by_parity(_table(spark, sf_dir, "conversations")))
 
@@ -66,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op6_packing, op8_preference_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op6_packing, op7_license_scan, op8_preference_chat, op10_url_filter)}
 
 
 _OP4_SQL = r"""
@@ -145,4 +149,4 @@ FROM p JOIN pre USING (pair_id) JOIN o USING (pair_id) GROUP BY p.pair_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op8_preference_chat": _OP8_SQL}
+    return {"op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op7_license_scan": license_scan.summary_sql(), "op8_preference_chat": _OP8_SQL}

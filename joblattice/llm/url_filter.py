@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +50,9 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
 
 def path_templates(paths: DataFrame, max_depth: int = 8, few: int = 8, share: float = 0.05) -> DataFrame:
     """(host, path, n) with the template of each path; segments beyond ``max_depth`` become ``**``."""
-    rows = paths.select("host", "path", "n", F.split("path", "/").alias("seg"), F.lit("").alias("t"))
-    for level in range(max_depth):
+    rows = written(paths.select("host", "path", "n", F.split("path", "/").alias("seg"), F.lit("").alias("t")), "paths")
+    deepest = rows.agg(F.max(F.size("seg"))).first()[0] or 0
+    for level in range(min(max_depth, deepest - 1)):
         rows = rows.withColumn("s", F.get("seg", F.lit(level + 1)))
         nodes = rows.where(F.col("s").isNotNull()).groupBy("host", "t", "s").agg(F.sum("n").alias("k"))
         totals = nodes.groupBy("host", "t").agg(F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("all"))
@@ -58,6 +61,7 @@ def path_templates(paths: DataFrame, max_depth: int = 8, few: int = 8, share: fl
         ending = F.regexp_extract("s", r"(\.[A-Za-z]{1,5})$", 1)
         name = F.when(F.coalesce("literal", F.lit(False)) | (F.col("s") == ""), F.col("s")).otherwise(F.concat(F.lit("*"), ending))
         rows = rows.join(kept, ["host", "t", "s"], "left").withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), name))).drop("literal", "s")
+        rows = written(rows, "paths")  # each level reads the one before twice
     deep = F.when(F.size("seg") > max_depth + 1, F.concat("t", F.lit("/**"))).otherwise(F.col("t"))
     return rows.select("host", "path", "n", deep.alias("template"))
 
