@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import collision_search, lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(_table(spark, sf_dir, "documents"), width=13)
 
 
+def op5_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; the only place that knows."""
     import public_tokenizers
@@ -70,7 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op6_packing, op7_license_scan, op8_preference_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op10_url_filter)}
 
 
 _OP4_SQL = r"""
