@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import collision_search, html_extract, lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.pair_by_parity(_table(spark, sf_dir, "conversations")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 URL_RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
@@ -74,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op9_html_extraction, op10_url_filter)}
 
 
 _OP4_SQL = r"""
