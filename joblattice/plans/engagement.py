@@ -15,7 +15,7 @@ from .registry import query
 _WEEKS = f"WITH {ACTIVITY}, wk AS (SELECT *, CAST(date_trunc('week', day) AS DATE) AS week FROM act)"
 
 
-@query(f"""{_WEEKS} SELECT CAST(w AS DATE) AS week, count(DISTINCT user_key) AS users, count(DISTINCT user_key) FILTER (name = 'purchase') AS buyers, count(DISTINCT (user_key, day)) AS user_days, count(*) FILTER (name = 'view') AS views
+@query(f"""{_WEEKS} SELECT CAST(w AS DATE) AS week, count(DISTINCT user_key) AS users, count(DISTINCT user_key) FILTER (name = 'purchase') AS buyers, count(DISTINCT (user_key, day)) FILTER (user_key IS NOT NULL) AS user_days, count(*) FILTER (name = 'view') AS views
 FROM range(DATE '2023-12-11', DATE '2024-02-05', INTERVAL 7 DAY) AS r(w) LEFT JOIN wk ON week = CAST(w AS DATE) GROUP BY w""", days="week")
 def weekly_leading(spark, sf_dir):
     """Eight Monday weeks of distinct users, buyers and user days; a week without events is shown empty."""

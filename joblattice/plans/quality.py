@@ -57,8 +57,8 @@ def skill_remap(spark, sf_dir):
 
 
 @query(f"""{LIVE}, n AS (SELECT DISTINCT title, company, trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')) AS c, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s FROM live),
-r AS (SELECT DISTINCT s_name AS roster, string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS rt FROM supplier), a AS (SELECT DISTINCT replace(company, 'Customer', 'Supplier') AS advertiser, string_split(replace(c, 'customer', 'supplier'), ' ') AS at FROM n)
-SELECT advertiser, roster FROM a JOIN r ON at[1] = rt[1] WHERE at[1:least(len(at), len(rt))] = rt[1:least(len(at), len(rt))]""")
+r AS (SELECT DISTINCT s_name AS roster, string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS rt FROM supplier), a AS (SELECT DISTINCT replace(company, 'Customer', 'Supplier') AS advertiser, string_split(replace(c, 'customer', 'supplier'), ' ') AS wt FROM n)
+SELECT advertiser, roster FROM a JOIN r ON wt[1] = rt[1] WHERE wt[1:least(len(wt), len(rt))] = rt[1:least(len(wt), len(rt))]""")
 def attribution_token_prefix(spark, sf_dir):
     """Advertisers and roster names where one begins the other: joined on the first word, then verified."""
     a = _live(spark, sf_dir).select(F.regexp_replace("company", "Customer", "Supplier").alias("advertiser")).distinct()
