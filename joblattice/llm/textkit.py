@@ -44,7 +44,11 @@ def one_array(column) -> pa.Array:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if len(column) and np.frombuffer(column.buffers()[1], np.int64)[column.offset]:
+        # Case kernels misread a slice whose values don't begin the buffer: give it a buffer of its own.
+        column = column.take(pa.array(np.arange(len(column))))
+    return column
 
 
 def split_words(column) -> Words:
