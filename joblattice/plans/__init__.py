@@ -1,6 +1,6 @@
 """Queries, each registered with the SQL that says the same."""
 
-from . import engagement, history, market, quality
+from . import engagement, history, market, pages, quality
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "engagement", "history", "market", "quality"]
+__all__ = ["QUERIES", "SQL", "engagement", "history", "market", "pages", "quality"]
