@@ -9,7 +9,8 @@ array; a vector collides where it lies in the window.  Virtual rehashing widens
 all windows by ``growth`` at a time, and only the newly covered stretches are
 counted.  Vectors that collide in ``threshold`` of the arrays are verified, by
 the inner product of the original vectors in double precision.  The windows grow
-until ``k`` vectors and ``verify_share`` of the shard are verified, or all of it.
+until ``k`` vectors, ``verify_least`` and ``verify_share`` of the shard are verified,
+or all of it.
 Whatever passes the threshold is verified: there is no cap on copies.
 
 Queries are streamed through each shard's task in blocks, and each task holds one
@@ -55,12 +56,12 @@ class ShardIndex:
         self.sorted = np.take_along_axis(shadow, self.order.T, axis=0).T.copy()
         self.step = float(shadow.std()) / 4 or 1.0
 
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, verify_share: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, verify_share: float, verify_least: int, growth: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best verified vectors."""
         n, m = len(self.ids), len(self.order)
         at = (query / np.sqrt((query**2).sum()) * self.reach) @ self.directions[:-1]
         need = max(1, int(np.ceil(threshold * m)))
-        enough = max(k + int((self.ids == query_id).sum()), int(np.ceil(verify_share * n)))
+        enough = max(k + int((self.ids == query_id).sum()), verify_least, int(np.ceil(verify_share * n)))
         lo = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at, strict=True)])
         hi = lo.copy()
         counts, width = np.zeros(n, np.int64), self.step
@@ -97,7 +98,8 @@ def search(
     k: int = 20,
     projections: int = 64,
     threshold: float = 0.6,
-    verify_share: float = 0.12,
+    verify_share: float = 0.18,
+    verify_least: int = 240,
     growth: float = 1.25,
     shard_rows: int = 8192,
     block_queries: int = 16384,
@@ -129,7 +131,7 @@ def search(
                     parts.append((ids, matrix))
                 elif parts:
                     index = index or ShardIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), projections, seed)
-                    found = [(q, *index.search(q, v, k, threshold, verify_share, growth)) for q, v in zip(ids.tolist(), matrix, strict=True)]
+                    found = [(q, *index.search(q, v, k, threshold, verify_share, verify_least, growth)) for q, v in zip(ids.tolist(), matrix, strict=True)]
                     who = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
                     yield pa.record_batch([pa.array(who), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
 

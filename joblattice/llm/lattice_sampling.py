@@ -266,8 +266,9 @@ class Search:
         p = self.lat.prob[node, edge].astype(np.float64)
         logp = np.log(p)
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        run = np.cumsum(logp) - logp
-        before = run - np.append(run, 0.0)[bounds[:-1]][doc]
+        before = np.zeros(len(logp))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # text by text, so that neighbours don't touch the last digit
+            before[a + 1 : b] = np.cumsum(logp[a:b])[:-1]
         others = self.lat.prob[node]
         others[np.arange(len(node)), edge] = 0
         rest = others.sum(axis=1, dtype=np.float64)
@@ -379,8 +380,7 @@ def sample_batch(keys: list[int | None], texts: pa.Array, pieces: Pieces, k: int
         empty = np.diff(words.bounds) == 0
         for s, path in enumerate(search.paths[:k]):
             flat, bounds = search.ids(path, pieces)
-            sums = np.concatenate(([0.0], np.cumsum(path.logp)))
-            f = np.diff(sums[path.bounds])
+            f = np.array([path.logp[i:j].sum() for i, j in zip(path.bounds[:-1].tolist(), path.bounds[1:].tolist(), strict=True)])
             with np.errstate(over="ignore", divide="ignore"):
                 x = f - threshold
                 log_q = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))
