@@ -53,26 +53,33 @@ class ShardIndex:
         self.directions = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
         shadow = lifted @ self.directions
         self.order = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(shadow, self.order.T, axis=0).T.copy()
+        # All sorted arrays in one, each moved up behind the one before, so that one search finds all window ends.
+        self.low, self.high = float(shadow.min()) - 1, float(shadow.max()) + 1
+        self.shift = np.arange(projections) * (self.high - self.low + 1)
+        self.flat = (np.take_along_axis(shadow, self.order.T, axis=0).T + self.shift[:, None]).ravel()
         self.step = float(shadow.std()) / 4 or 1.0
 
+    def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Places in the sorted arrays, one value per projection."""
+        found = self.flat.searchsorted(np.clip(at, self.low, self.high) + self.shift, side=side)
+        return found - np.arange(len(self.order)) * len(self.ids)
+
     def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, verify_share: float, verify_least: int, growth: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best verified vectors."""
         n, m = len(self.ids), len(self.order)
         at = (query / np.sqrt((query**2).sum()) * self.reach) @ self.directions[:-1]
         need = max(1, int(np.ceil(threshold * m)))
         enough = max(k + int((self.ids == query_id).sum()), verify_least, int(np.ceil(verify_share * n)))
-        lo = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at, strict=True)])
+        lo = self._ends(at, "left")
         hi = lo.copy()
         counts, width = np.zeros(n, np.int64), self.step
         while True:
-            new_lo = [s.searchsorted(x - width) for s, x in zip(self.sorted, at, strict=True)]
-            new_hi = [s.searchsorted(x + width, side="right") for s, x in zip(self.sorted, at, strict=True)]
+            new_lo, new_hi = self._ends(at - width, "left"), self._ends(at + width, "right")
             fresh = [o[a:b] for o, a, b in zip(self.order, new_lo, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi, strict=True)]
             counts += np.bincount(np.concatenate(fresh), minlength=n)
             lo, hi = new_lo, new_hi
             passed = np.flatnonzero(counts >= need)
-            if len(passed) >= min(enough, n) or (max(lo) == 0 and min(hi) == n):
+            if len(passed) >= min(enough, n) or (lo.max() == 0 and hi.min() == n):
                 break
             width *= growth
         passed = passed[self.ids[passed] != query_id]
