@@ -11,15 +11,19 @@ pairs whose sketches agree enough become candidates.  Larger nodes branch again:
 into two children per class at the first levels, then into one, so a class is in
 at most four nodes of a tree.  Whatever is still larger after the last level
 agrees on four random tokens, and mostly is a huge group of near copies.  Such a
-node is cut at random into parts of about a third of ``small``; each part is
+node is first cut at random into parts of about a third of ``small``; each part is
 compared exhaustively, and every member is compared with the node's first one.
-The cut depends on the class and the tree alone, so nodes with the same members
-give the same pairs again; a group costs work in proportion to its size, and six
-trees' random partners hold it together.
+That joins most of a group cheaply, but decides nothing: nodes whose members are
+still in different components afterwards are compared whole, every member with
+every member of another component, block by block (``_block_links``).  So a node
+that is one group costs work in proportion to its size, and a mixed one the
+product of its largest group and the rest, plus the square of the rest, in tasks
+of bounded size.
 
 A tree keeps a pair of similarity 0.8 in a common node down to the last level with
 probability 0.85 (1 - (1 - 0.8 * 0.76) ** 2, where 0.76 is the same one level down,
-over two levels of 0.8); six independent trees miss it with a chance of 0.15 ** 6.
+over two levels of 0.8); six independent trees miss it with a chance of 0.15 ** 6,
+as every node is compared whole, be it small or large.
 
 Candidates whose minwise values agree often enough are confirmed on full sets,
 from the documents' texts, in two steps: first each class against its most similar candidate, which joins most groups;
@@ -142,13 +146,20 @@ def _node_pairs(rows: DataFrame, least_agreement: int) -> DataFrame:
     return nodes.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.*")
 
 
-def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (2, 2, 1, 1), small: int = 24, least_similarity: float = 0.6) -> DataFrame:
-    """Distinct candidate pairs of classes (a < b); ``branches`` per level of a tree."""
-    # One-bit values agree where the tokens do, and in half of the other cases.
-    least = int(COORDS * (1 + least_similarity) / 2)
+def _least_agreement(similarity: float) -> int:
+    """One-bit values agree where the tokens do, and in half of the other cases."""
+    return int(COORDS * (1 + similarity) / 2)
+
+
+def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (2, 2, 1, 1), small: int = 24, least_similarity: float = 0.6) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct candidate pairs of classes (a < b), and the members (path, fp, s1, s2) of nodes still large.
+
+    ``branches`` are those per level of a tree.  The pairs of the nodes still large are not all there.
+    """
+    least = _least_agreement(least_similarity)
     roots = [int(x) for x in tk.mix(np.arange(1, trees + 1, dtype=np.uint64))]
     rows = written(classes.select("fp", "sig", "s1", "s2").mapInArrow(_children(branches[0], roots), _ROWS), "nodes")
-    found, used = [], [rows]
+    found, used, still = [], [rows], None
     for level in range(1, len(branches) + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
         little = rows.join(sizes.where(F.col("n") <= small).select("path"), "path", "left_semi")
@@ -160,6 +171,7 @@ def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (
             parts = F.pow(F.lit(2), F.ceil(F.log2(3 * F.col("n") / small))).cast("long")
             cut = F.xxhash64("path", F.pmod(F.xxhash64("fp", "tree"), parts))
             found.append(_node_pairs(large.select(cut.alias("path"), "fp", "s1", "s2"), least))
+            still = written(large.select("path", "fp", "s1", "s2"), "large")
             break
         with_sig = large.select("tree", "path", "fp", "s1", "s2").join(classes.select("fp", "sig"), "fp")
         rows = written(with_sig.mapInArrow(_children(branches[level], None), _ROWS), "nodes")
@@ -172,7 +184,7 @@ def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (
     pairs = written(whole.distinct(), "candidates")
     for table in [*used, *found[: len(used)]]:
         forget(table)
-    return pairs
+    return pairs, still
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least_similarity: float = 0.66) -> DataFrame:
@@ -212,16 +224,87 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(check, "a binary, b binary")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, **tree: float) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest of its component) per document."""
+def _blocks(large: DataFrame, classes: DataFrame, groups: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """(path, i, j, side, fp, root, s1, s2): the members of nodes with several components, dealt to pairs of blocks.
+
+    Blocks hold members of the node's largest component or others, never both; two
+    blocks of the largest component need no comparison.  Of nodes with the same
+    members one is taken.
+    """
+    rooted = large.join(classes.select("fp", "n_shingles"), "fp").join(groups.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted, "rooted")
+    by_root = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("fp")).alias("x"))
+    nodes = by_root.groupBy("path").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"), F.max(F.struct("n", "w", "root")).alias("main")).where("roots > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / block_rows, w / block_shingles)).cast("int")
+    sized = nodes.select("n", "x", F.struct("path", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("km"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("ko")).alias("node"))
+    once = sized.groupBy("n", "x").agg(F.min("node").alias("node")).select("node.*")
+    rows = rooted.join(once, "path")
+    is_main, h = F.col("root") == F.col("main"), F.xxhash64("fp")
+    rows = rows.withColumn("block", F.when(is_main, F.col("ko") + F.pmod(h, F.col("km"))).otherwise(F.pmod(h, F.col("ko"))).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("ko")).otherwise(F.col("ko") + F.col("km")) - 1)))
+    return rows.select("path", F.least("block", "q").alias("i"), F.greatest("block", "q").alias("j"), (F.col("block") > F.col("q")).alias("side"), "fp", "root", "s1", "s2")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int, least_agreement: int) -> DataFrame:
+    """Links (a, b) that join the components of each pair of blocks, by full sets."""
+
+    def link(key, table):
+        fp = table.column("fp").to_pylist()
+        root = table.column("root").combine_chunks().dictionary_encode()
+        root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy(zero_copy_only=False).copy()
+        bits = np.stack([table.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64)
+        sets = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids.astype(np.int32), np.cumsum(size)[:-1])
+        one = key[1].as_py() == key[2].as_py()
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        left, right = (np.arange(len(fp)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
+        mark, out = np.zeros(len(names), bool), []
+        for x in left:
+            agree = COORDS - np.bitwise_count(bits[right] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            fits = 100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])
+            near = right[(root[right] != root[x]) & (agree >= least_agreement) & fits & ((right > x) | (not one))]
+            if not len(near):
+                continue
+            mark[ids[x]] = True
+            shared = np.add.reduceat(mark[np.concatenate([ids[y] for y in near])], np.cumsum(size[near]) - size[near], dtype=np.int64)
+            mark[ids[x]] = False
+            for y in near[100 * shared >= percent * (size[x] + size[near] - shared)]:
+                if root[y] != root[x]:
+                    out.append((fp[x], fp[y]))
+                    root[root == root[y]] = root[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return rows.join(sets, "fp").groupBy("path", "i", "j").applyInArrow(link, "a binary, b binary")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(fp, grams): each text's set as sorted little-endian 64-bit hashes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                sets = [s.astype("<u8").tobytes() for s in shingle_sets(whole.slice(at, 500).column(0), width)]
+                yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["fp", "grams"])
+
+    return docs.select("text").mapInArrow(pack, "fp binary, grams binary")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 2048, block_shingles: int = 500_000, **tree: float) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the smallest of its component) per document.
+
+    ``block_rows`` and ``block_shingles`` bound a block of a large node, and so the memory of one task.
+    """
     rows = written(sketches(docs, width), "sketches")
     filled = rows.where("n_shingles > 0")
-    sized = filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    sized = filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n_shingles").alias("n_shingles"))
     classes = written(sized, "classes")
-    pairs = written(likely(candidates(classes, **tree), classes), "likely")
+    first_pairs, large = candidates(classes, **tree)
+    pairs = written(likely(first_pairs, classes), "likely")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     wanted = written(classes.select("fp", "rep").join(ends, "fp", "left_semi"), "wanted")
-    source = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    source = _texts_of(docs, wanted)
     texts = written(_with_fingerprint(source, width).join(wanted.select("fp"), "fp", "left_semi"), "texts")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
     links = written(_confirm(best, texts, width, percent), "links")
@@ -231,7 +314,18 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, **tree: f
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
     more = written(_confirm(open_pairs.where(apart), texts, width, percent), "links")
     if more.take(1):
-        groups = connected_components(links.union(more))
+        links = links.union(more)
+        groups = connected_components(links)
+    if large is not None:
+        blocks = written(_blocks(large, classes, groups, block_rows, block_shingles), "blocks")
+        forget(large)
+        members = written(classes.select("fp", "rep").join(blocks.select("fp").distinct(), "fp", "left_semi"), "members")
+        sets = _sets(_texts_of(docs, members), width).join(members.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+        least = _least_agreement(tree.get("least_similarity", 0.6))
+        rest = written(_block_links(blocks, sets, percent, least), "links")
+        forget(blocks)
+        if rest.take(1):
+            groups = connected_components(links.union(rest))
     rooted = classes.select("fp", "rep", "copies").join(groups.withColumnRenamed("v", "fp"), "fp", "left")
     rooted = rooted.where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("fp", F.coalesce("root", "fp").alias("root"), "rep")
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
@@ -240,6 +334,11 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, **tree: f
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), own.isNull()).alias("kept"))
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that share the doc_id ``rep`` of a class."""
+    return docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+
 def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
     """(fp, text) with one text per set."""
 

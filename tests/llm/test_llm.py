@@ -103,6 +103,18 @@ def test_near_dedup_of_a_large_group(spark):
     assert near_dedup.similar_groups(documents(spark, texts), width=2).where("kept").count() == 1
 
 
+@pytest.mark.parametrize("block", [{}, {"block_rows": 100}])
+def test_near_dedup_of_twins_among_template_pages(spark, block):
+    """Pages at 0.787 of one template, too low to link, with twins at 0.809 whose only link is each other."""
+    base, texts = [f"w{i}" for i in range(201)], []
+    for k in range(400):
+        texts.append(" ".join([*base, *[f"t{k}x{j}" for j in range(27)]]))
+    for k in range(20):
+        texts.append(" ".join([*base, *[f"t{k}x{j}" for j in range(3)], *[f"u{k}x{j}" for j in range(24)]]))
+    got = near_dedup.similar_groups(documents(spark, texts), width=2, **block).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [*range(400), *range(20)]
+
+
 def test_lattice_samples(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     docs = documents(spark, ODD).withColumn("ids", F.lit("clash"))
