@@ -167,6 +167,28 @@ def headline_mentions(spark, sf_dir):
     return heads.distinct().join(names, "name").select("item_id", "name")
 
 
+def mentions(heads, names):
+    """(item_id, name): the names that stand in a headline as consecutive words, however many words a name has.
+
+    Names and headlines are cut into lower-case words; a name is joined on its
+    first word and then held against the words that follow.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    roster = names.select("name", words("name").alias("nw")).where(F.size("nw") > 0).distinct().withColumn("w", F.get("nw", F.lit(0)))
+    placed = heads.select("item_id", words("text").alias("ws")).select("item_id", "ws", F.posexplode("ws").alias("at", "w"))
+    found = placed.join(roster, "w").where(F.slice("ws", F.col("at") + 1, F.size("nw")) == F.col("nw"))
+    return found.select("item_id", "name").distinct()
+
+
+@query(r"""WITH h AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ') AS ws FROM benchmark), n AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')) AS name FROM documents) WHERE regexp_matches(name, '^[a-z]{3,}$'))
+SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest(ws) AS w FROM h) JOIN n ON w = name""")
+def document_mentions(spark, sf_dir):
+    """Words of any document, wherever they stand in its text, that stand in headlines."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = texts.select(F.explode(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " ")).alias("name"))
+    return mentions(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), words.where(F.col("name").rlike("^[a-z]{3,}$")).distinct())
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) AS text FROM pages""")
 def html_strip(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tx.strip_html(F.col("html")).alias("text"))

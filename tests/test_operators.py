@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joblattice.functions import dates, money, text
 from joblattice.operators import archive, coverage, series, stats
+from joblattice.plans import quality
 
 
 def day(n):
@@ -144,3 +145,10 @@ def test_page_records(spark):
     df = spark.createDataFrame([(1, page), (2, anchors), (3, None)], "page_id long, html string")
     got = {(r.page_id, r.title, r.strategy) for r in page_records(df).collect()}
     assert got == {(1, "Welder", "json"), (2, "Senior Welder", "anchors")}
+
+
+def test_mentions_of_names_of_several_words(spark):
+    heads = spark.createDataFrame([(1, "New York: Port Authority, York"), (2, "york new"), (3, None), (4, "new new york")], "item_id long, text string")
+    names = spark.createDataFrame([("New York",), ("york",), ("Port-Authority",), (None,), ("",), ("York Port Authority Hall",)], "name string")
+    got = {tuple(r) for r in quality.mentions(heads, names).collect()}
+    assert got == {(1, "New York"), (1, "york"), (1, "Port-Authority"), (2, "york"), (4, "New York"), (4, "york")}
