@@ -3,11 +3,9 @@
 The language model is an interpolated modified Kneser-Ney model over characters
 (order 5, lower-cased, white space as one blank), one per value of ``lang``.
 Spark counts the character n-grams of every document: tasks count their batch
-with sorted arrays of packed symbols, a shuffle adds the counts up.  Documents
-of a few words or many symbols add their n-grams to the list, but no evidence
-for them; so a third of symbol-ridden rows cannot teach the model that symbols
-are usual.  Since all documents are listed, every n-gram that scoring meets has
-its entry, so one table (n-gram, log probability) is the whole model and no
+with sorted arrays of packed symbols, a shuffle adds the counts up.  Every
+document counts with weight 1, whatever its length, symbols, copies or source.
+Since all documents are counted, every n-gram that scoring meets has its entry, so one table (n-gram, log probability) is the whole model and no
 back-off is needed at scoring time.
 
 The model is kept as sorted arrays of 64-bit n-gram hashes with their log
@@ -150,20 +148,8 @@ def _languages(column) -> Iterator[tuple[str, np.ndarray]]:
     yield from ((k, np.array(v)) for k, v in sorted(rows.items()))
 
 
-def _plain_prose(texts: pa.Array, min_words: int, max_symbol_percent: int) -> np.ndarray:
-    """Texts whose n-grams count as evidence: enough words, few symbols."""
-    words = tk.split_words(texts)
-    symbols = pc.count_substring_regex(words.vocab, SYMBOLS).to_numpy(zero_copy_only=False)[words.ids]
-    n = np.diff(np.concatenate(([0], np.cumsum(symbols, dtype=np.int64)))[words.bounds])
-    return (words.counts >= min_words) & (100 * n <= max_symbol_percent * words.counts)
-
-
-def ngram_counts(docs: DataFrame, min_words: int = 20, max_symbol_percent: int = 5) -> DataFrame:
-    """(lang, g, c): every character n-gram of all texts of a language, and how often it stands in plain prose.
-
-    Texts of too few words or with too many symbols give no evidence, but their
-    n-grams are listed too, with the count that prose gives them (0 if none).
-    """
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, g, c): every character n-gram of all texts of a language, and how often it stands in them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,15 +157,12 @@ def ngram_counts(docs: DataFrame, min_words: int = 20, max_symbol_percent: int =
             for lang, rows in _languages(batch.column(0)):
                 for at in range(0, len(rows), _SLICE_DOCS):
                     total: dict[str, int] = {}
-                    part = texts.take(pa.array(rows[at : at + _SLICE_DOCS]))
-                    prose = _plain_prose(part, min_words, max_symbol_percent)
-                    for use, weight in ((prose, 1), (~prose, 0)):
-                        points, bounds = _code_points(part.filter(pa.array(use)))
-                        valid = tk.window_starts(bounds, ORDER)
-                        for a, b, key, alphabet in _packed(points):
-                            keys, n = np.unique(key[valid[a:b]], return_counts=True)
-                            for g, c in zip(_grams(keys, alphabet), (n * weight).tolist(), strict=True):
-                                total[g] = total.get(g, 0) + c
+                    points, bounds = _code_points(texts.take(pa.array(rows[at : at + _SLICE_DOCS])))
+                    valid = tk.window_starts(bounds, ORDER)
+                    for a, b, key, alphabet in _packed(points):
+                        keys, n = np.unique(key[valid[a:b]], return_counts=True)
+                        for g, c in zip(_grams(keys, alphabet), n.tolist(), strict=True):
+                            total[g] = total.get(g, 0) + c
                     yield pa.record_batch([pa.array([lang] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "g", "c"])
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
