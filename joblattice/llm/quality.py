@@ -3,16 +3,19 @@
 The language model is an interpolated modified Kneser-Ney model over characters
 (order 5, lower-cased, white space as one blank), one per value of ``lang``.
 Spark counts the character n-grams of every document: tasks count their batch
-with sorted arrays of packed symbols, a shuffle adds the counts up.  Every
-document counts with weight 1, whatever its length, symbols, copies or source.
-Since all documents are counted, every n-gram that scoring meets has its entry, so one table (n-gram, log probability) is the whole model and no
-back-off is needed at scoring time.
-
-The model is kept as sorted arrays of 64-bit n-gram hashes with their log
-probabilities.  It is cut by hash into shards of at most ``shard_rows`` n-grams;
-one shard at a time is broadcast, and each adds the log probabilities of its own
-n-grams to a document's sum.  So what is broadcast has a fixed bound, and a
-model of any size is scored by as many narrow passes as it has shards.
+with packed symbols, a shuffle adds the counts up.  Every document counts with
+weight 1, whatever its length, symbols, copies or source.  Since all documents
+are counted, every n-gram that scoring meets has its entry, so one table (n-gram,
+log probability) is the whole model and no back-off is needed at scoring time.
+
+The model is a table of sorted arrays: a row holds the 64-bit n-gram hashes of one
+hash range, sorted, and their log probabilities.  Documents are dealt by a hash
+into slices of about ``slice_bytes`` of text, compressed.  Each slice asks for its
+distinct n-grams once; the questions are dealt to the model's hash ranges, at most
+``slices_at_once`` slices to a task, answered there by binary search, and come back
+to the slice, whose texts are then scored.  So neither the driver nor any
+broadcast holds a part of the model, a task holds one slice or one hash range, and
+the texts are shuffled once, however large the model.
 
 Bands: a language's centre is the median of its documents' mean log probability
 (on a grid of 0.01), its spread ``s`` the standard deviation of the log
@@ -22,8 +25,8 @@ lower bands.  Only documents that passed the base rules set the centre.
 
 Edge cases: null and empty texts have no words and fail the base rules; a null
 language is a language of its own; a document without characters is not scored
-(perplexity null); equal doc_ids are separate rows; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+(perplexity null); rows with equal or null doc_id are separate rows; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,18 +37,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import written
+from .store import forget, written
 
 ORDER = 5
 _BITS = 12
+_POINT = 21
 _PAD = "\x02" * (ORDER - 1)
-_SLICE_DOCS = 700
+_CHARS = 1_000_000
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "[#*$%&|<>]"
+STATS = [c.split()[0] for c in BASE_SCHEMA.split(", ")]
+SCORE_SCHEMA = f"{BASE_SCHEMA}, n_scored long, log_sum double, square_sum double"
+#: Tables of one row per language are broadcast up to this many rows, and joined by shuffle beyond.
+BROADCAST_LANGUAGES = 20_000
 
 
 # ---------------------------------------------------------------- base rules
@@ -81,9 +90,13 @@ def _repeated_words(words: tk.Words, window: int) -> np.ndarray:
     """Word positions covered by a window that its text holds at least twice."""
     at = np.flatnonzero(tk.window_starts(words.bounds, window))
     flag = np.zeros(len(words.ids), bool)
-    if len(at):
-        h = tk.window_hashes(words.hashes(), window)[at] + tk.mix(words.owner()[at].astype(np.uint64))
-        order = np.argsort(tk.mix(h), kind="stable")
+    h = tk.mix(tk.window_hashes(words.hashes(), window)[at] + tk.mix(words.owner()[at].astype(np.uint64)))
+    ranked = np.sort(h)
+    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+    if len(twice):
+        some = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+        h, at = h[some], at[some]
+        order = np.argsort(h, kind="stable")
         h, at = h[order], at[order]
         same = np.flatnonzero(h[1:] == h[:-1])
         a, b = at[same], at[same + 1]
@@ -97,6 +110,17 @@ def _repeated_words(words: tk.Words, window: int) -> np.ndarray:
 # ------------------------------------------------------------ symbol n-grams
 
 
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of about ``_CHARS`` characters; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(ends):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + _CHARS, side="right")))
+        yield a, b
+        a = b
+
+
 def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Normalised texts, each behind its padding, as code points; and their bounds."""
     plain = tk.joined(tk.split_words(pc.utf8_lower(texts)))
@@ -108,7 +132,8 @@ def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _packed(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Windows [a, b) of symbols, their packed n-grams, and the alphabet of the packing.
 
-    A stretch with more symbols than fit the packing is halved.
+    A stretch of more than ``_CHARS`` symbols, or with more different ones than fit
+    the packing, is halved.
     """
     todo = [(0, max(0, len(points) - ORDER + 1))]
     while todo:
@@ -119,7 +144,7 @@ def _packed(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         seen = np.zeros(0x110000, bool)
         seen[part] = True
         alphabet = np.flatnonzero(seen).astype(np.uint32)
-        if len(alphabet) >= 1 << _BITS:
+        if b - a > 2 * _CHARS or len(alphabet) >= 1 << _BITS:
             mid = (a + b) // 2
             todo += [(mid, b), (a, mid)]
             continue
@@ -133,44 +158,81 @@ def _packed(points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield a, b, key, alphabet
 
 
-def _grams(keys: np.ndarray, alphabet: np.ndarray) -> list[str]:
-    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(_BITS)
-    codes = (keys[:, None] >> shifts) & np.uint64((1 << _BITS) - 1)
-    text = alphabet[codes.astype(np.int64)].astype("<u4").tobytes().decode("utf-32-le")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+def _grams(keys: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams as two numbers of 21 bits a code point: all but the last two, and the last two."""
+    wide = alphabet.astype(np.int64)
+    code = [wide[((keys >> np.uint64(_BITS * j)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)] for j in range(ORDER - 1, -1, -1)]
+    hi = np.zeros(len(keys), np.int64)
+    for c in code[:-2]:
+        hi = (hi << _POINT) | c
+    return hi, (code[-2] << _POINT) | code[-1]
+
 
+def _language(lang: Column) -> Column:
+    """A name for each value of ``lang`` that is never null: null has one that no other value has."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
-def _languages(column) -> Iterator[tuple[str, np.ndarray]]:
-    names = column.to_pylist()
-    rows: dict[str, list[int]] = {}
-    for i, name in enumerate(names):
-        rows.setdefault("" if name is None else name, []).append(i)
-    yield from ((k, np.array(v)) for k, v in sorted(rows.items()))
+
+def _by_language(column: pa.Array) -> Iterator[tuple[str, np.ndarray]]:
+    coded = column.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    for i, name in enumerate(coded.dictionary.to_pylist()):
+        yield name, np.flatnonzero(code == i)
+
+
+def _distinct_grams(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(language, hi, lo, count) of the n-grams of each portion of a batch of texts."""
+    for lang, rows in _by_language(langs):
+        mine = texts.take(pa.array(rows))
+        for x, y in _portions(mine):
+            points, bounds = _code_points(mine.slice(x, y - x))
+            valid = tk.window_starts(bounds, ORDER)
+            for a, b, key, alphabet in _packed(points):
+                coded = pa.array(key[valid[a:b]]).dictionary_encode()
+                count = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                yield lang, *_grams(coded.dictionary.to_numpy(), alphabet), count
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, g, c): every character n-gram of all texts of a language, and how often it stands in them."""
+    """(lang, hi, lo, c): every character n-gram of all texts of a language, and how often it stands in them.
+
+    ``hi`` and ``lo`` hold the n-gram's code points, as :func:`_grams` packs them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = tk.one_array(batch.column(1))
-            for lang, rows in _languages(batch.column(0)):
-                for at in range(0, len(rows), _SLICE_DOCS):
-                    total: dict[str, int] = {}
-                    points, bounds = _code_points(texts.take(pa.array(rows[at : at + _SLICE_DOCS])))
-                    valid = tk.window_starts(bounds, ORDER)
-                    for a, b, key, alphabet in _packed(points):
-                        keys, n = np.unique(key[valid[a:b]], return_counts=True)
-                        for g, c in zip(_grams(keys, alphabet), n.tolist(), strict=True):
-                            total[g] = total.get(g, 0) + c
-                    yield pa.record_batch([pa.array([lang] * len(total)), pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "g", "c"])
+            for lang, hi, lo, c in _distinct_grams(batch.column(0), tk.one_array(batch.column(1))):
+                yield pa.record_batch([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(c, pa.int64())], names=["lang", "hi", "lo", "c"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    rows = docs.select(_language(F.col("lang")).alias("lang"), "text")
+    return rows.mapInArrow(count, "lang string, hi long, lo long, c long").groupBy("lang", "hi", "lo").agg(F.sum("c").alias("c"))
 
 
 # ------------------------------------------------------- modified Kneser-Ney
 
 
+def _with_language(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` left-joined with a table of one row per ``lang``, which is broadcast only while it is small."""
+    known = written(table, "languages")
+    if known.count() <= BROADCAST_LANGUAGES:
+        return rows.join(F.broadcast(known), "lang", "left")
+    salts = 64  # a language may hold a third of all rows
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "lang"]), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["lang", "salt"], "left").drop("salt")
+
+
+def _suffix(size: int) -> list[Column]:
+    """The last ``size`` symbols of an n-gram of one more."""
+    return [F.col(c).bitwiseAND(F.lit((1 << (_POINT * n)) - 1)).alias(c) for c, n in (("hi", max(0, size - 2)), ("lo", min(size, 2)))]
+
+
+def _context() -> list[Column]:
+    """An n-gram without its last symbol."""
+    low = F.col("hi").bitwiseAND(F.lit((1 << _POINT) - 1))
+    return [F.shiftright("hi", _POINT).alias("chi"), F.shiftleft(low, _POINT).bitwiseOR(F.shiftright("lo", _POINT)).alias("clo")]
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """Per language the three discounts from the numbers of n-grams counted 1 to 4 times."""
     n = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -182,126 +244,180 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, g, logp) for every n-gram of the highest order, natural logarithms.
+    """(lang, hi, lo, logp) for every n-gram of the highest order, natural logarithms.
 
     The highest order uses plain counts, the lower ones the number of different
     symbols seen before the n-gram; the lowest is mixed with the uniform
-    distribution over the language's symbols.  Each order is written before the
-    next one reads it, so that the counting is done once.
+    distribution over the language's symbols and one more.  Each order is written
+    before the next one reads it, and forgotten once it is used.
     """
     levels = [written(counts, "counts")]
-    for _ in range(order - 1):
-        top = levels[-1]
-        levels.append(top.groupBy("lang", F.substring("g", 2, order).alias("g")).agg(F.count_if(F.col("c") > 0).alias("c")))
-    lowest = levels[-1]
-    below = lowest.groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("q"))
-    below_key = ["lang"]
+    for size in range(order - 1, 0, -1):
+        longer = levels[-1].select("lang", *_suffix(size))
+        levels.append(written(longer.groupBy("lang", "hi", "lo").agg(F.count(F.lit(1)).alias("c")), f"level{size}"))
+    below = None
     for size in range(1, order + 1):
-        level = levels[order - size].join(F.broadcast(_discounts(levels[order - size])), "lang")
-        level = level.select("lang", "g", "c", "d1", "d2", "d3", F.substring("g", 1, size - 1).alias("h"), F.substring("g", 2, size).alias("s"))
+        counted = levels[order - size]
+        level = _with_language(counted, _discounts(counted)).select("*", *_context())
         n1, n2, n3 = (F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count_if(F.col("c") >= 3))
-        mass = (F.first("d1") * n1 + F.first("d2") * n2 + F.first("d3") * n3) / F.nullif(F.sum("c"), F.lit(0))
-        context = level.groupBy("lang", "h").agg(F.sum("c").alias("total"), mass.alias("gamma"))
-        joined = level.join(context, ["lang", "h"])
-        joined = joined.join(below, below_key)
+        mass = (F.first("d1") * n1 + F.first("d2") * n2 + F.first("d3") * n3) / F.sum("c")
+        context = level.groupBy("lang", "chi", "clo").agg(F.sum("c").alias("total"), mass.alias("gamma"))
+        joined = level.join(context, ["lang", "chi", "clo"])
+        if below is None:
+            joined = _with_language(joined, counted.groupBy("lang").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("q")))
+        else:
+            names = [F.col(c).alias(f"s{c}") for c in ("hi", "lo")]
+            short = below.select("lang", *names, "q")
+            keyed = joined.select("*", *[c.alias(f"s{n}") for c, n in zip(_suffix(size - 1), ("hi", "lo"), strict=True)])
+            joined = keyed.join(short, ["lang", "shi", "slo"])
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = F.when(F.col("c") > 0, (F.col("c") - off) / F.col("total")).otherwise(F.lit(0.0))
-        p = seen + F.coalesce(F.col("gamma"), F.lit(1.0)) * F.col("q")
-        below = written(joined.select("lang", F.col("g").alias("s"), p.alias("q")), f"order{size}")
-        below_key = ["lang", "s"]
-    return below.select("lang", F.col("s").alias("g"), F.log("q").alias("logp"))
+        p = (F.col("c") - off) / F.col("total") + F.col("gamma") * F.col("q")
+        new = written(joined.select("lang", "hi", "lo", p.alias("q")), f"order{size}")
+        for table in [counted] if below is None else [counted, below]:
+            forget(table)
+        below = new
+    return below.select("lang", "hi", "lo", F.log("q").alias("logp"))
+
+
+def _hashes(lang: str, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams of a language."""
+    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    return tk.mix(tk.mix(hi.astype(np.uint64) * _GOLD + seed) + lo.astype(np.uint64))
+
+
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges of the hash values; rising with the hash."""
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
 
+def sorted_arrays(model: DataFrame, ranges: int) -> DataFrame:
+    """(r, h, p): the hashes of hash range r, sorted, and their log probabilities."""
 
-def hashed(model: DataFrame) -> DataFrame:
-    """The model by 64-bit hash of language and n-gram."""
-    return model.select(F.xxhash64(F.concat("lang", F.lit("\x01"), "g")).alias("h"), F.col("logp").cast("float").alias("logp"))
+    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo, p = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            for lang, rows in _by_language(batch.column(0)):
+                h = _hashes(lang, hi[rows], lo[rows])
+                yield pa.record_batch([pa.array(_range_of(h, ranges)), pa.array(h.view(np.int64)), pa.array(p[rows].astype(np.float32))], names=["r", "h", "p"])
+
+    def sort(key, table):
+        h, p = table.column("h").to_numpy().view(np.uint64), table.column("p").to_numpy()
+        order = np.argsort(h)
+        return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "h": [h[order].tobytes()], "p": [p[order].tobytes()]})
 
+    return model.mapInArrow(hash_rows, "r int, h long, p float").groupBy("r").applyInArrow(sort, "r int, h binary, p binary")
 
-def _sorted_arrays(model: DataFrame, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """One shard as a sorted hash array and its log probabilities; tasks sort, the driver joins."""
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        h = np.concatenate([x[0] for x in pairs] or [np.zeros(0, np.int64)])
-        p = np.concatenate([x[1] for x in pairs] or [np.zeros(0, np.float32)])
-        if len(h):
-            order = np.argsort(h)
-            yield pa.record_batch([pa.array([int(h[order[0]])]), pa.array([h[order].tobytes()]), pa.array([p[order].tobytes()])], names=["low", "h", "p"])
+# ------------------------------------------------------------------- scoring
 
-    part = model.where(F.pmod("h", F.lit(shards)) == shard).repartitionByRange("h")
-    rows = sorted(part.mapInArrow(sort, "low long, h binary, p binary").collect())
-    h = np.concatenate([np.frombuffer(r.h, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    return h, np.concatenate([np.frombuffer(r.p, np.float32) for r in rows] or [np.zeros(0, np.float32)])
 
+def slices_of(docs: DataFrame, slices: int, carry: tuple[str, ...]) -> DataFrame:
+    """(slice, part): the rows dealt by a hash of id and text; a part holds rows of one slice as a compressed Arrow stream.
+
+    A part's columns are doc_id, lang, text and the columns to carry, as c0, c1, ...
+    """
+    along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), _language(F.col("lang")).alias("lang"), "text", *along)
 
-def _score_batch(texts: pa.Array, lang_column, h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            names, parts = np.unique(of), []
+            for s in names.tolist():
+                rows_of = batch.take(pa.array(np.flatnonzero(of == s)))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows_of.schema, options=options) as stream:
+                    stream.write_batch(rows_of)
+                parts.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "part"])
+
+    return rows.mapInArrow(deal, "slice long, part binary")
+
+
+def _unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for part in table.column("part"):
+        yield from pa.ipc.open_stream(part.as_buffer())
+
+
+def questions(parts: DataFrame, ranges: int, slices_at_once: int) -> DataFrame:
+    """(r, turn, slice, h): the distinct n-gram hashes of a slice in hash range r, sorted."""
+
+    def ask(key, table):
+        some = [np.zeros(0, np.uint64)]
+        for batch in _unpacked(table):
+            some += [_hashes(lang, hi, lo) for lang, hi, lo, _ in _distinct_grams(batch.column("lang"), tk.one_array(batch.column("text")))]
+            some = [np.unique(np.concatenate(some))]
+        h, s = some[0], key[0].as_py()
+        r = _range_of(h, ranges)
+        cuts = np.flatnonzero(np.diff(r)) + 1
+        pieces = np.split(h, cuts) if len(h) else []
+        n = len(pieces)
+        names = r[np.concatenate(([0], cuts))] if n else np.zeros(0, np.int32)
+        return pa.table({"r": pa.array(names, pa.int32()), "turn": pa.array([s // slices_at_once] * n, pa.int64()), "slice": pa.array([s] * n, pa.int64()), "h": pa.array([x.tobytes() for x in pieces], pa.binary())})
+
+    return parts.groupBy("slice").applyInArrow(ask, "r int, turn long, slice long, h binary")
+
+
+def answers(asked: DataFrame, arrays: DataFrame, turns: int) -> DataFrame:
+    """(slice, r, h, p): the log probabilities of the asked hashes, found by binary search."""
+
+    def find(asking, model):
+        if not asking.num_rows:
+            return pa.table({"slice": pa.array([], pa.int64()), "r": pa.array([], pa.int32()), "h": pa.array([], pa.binary()), "p": pa.array([], pa.binary())})
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in model.column("h")] or [np.zeros(0, np.uint64)])
+        p = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in model.column("p")] or [np.zeros(0, np.float32)])
+        found = []
+        for want in asking.column("h"):
+            keys = np.frombuffer(want.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(h, keys), max(0, len(h) - 1))
+            found.append((np.where(h[at] == keys, p[at], 0) if len(h) else np.zeros(len(keys))).astype(np.float32).tobytes())
+        return pa.table({"slice": asking.column("slice"), "r": asking.column("r"), "h": asking.column("h"), "p": pa.array(found, pa.binary())})
+
+    each_turn = arrays.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
+    return asked.groupBy("r", "turn").cogroup(each_turn.groupBy("r", "turn")).applyInArrow(find, "slice long, r int, h binary, p binary")
+
+
+def _score(langs: pa.Array, texts: pa.Array, h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: scored symbols, sum of log probabilities and of their squares."""
     n, total, squares = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64))
-    for lang, rows in _languages(lang_column):
-        head = (lang + "\x01").encode()
-        for at in range(0, len(rows), _SLICE_DOCS):
-            part = rows[at : at + _SLICE_DOCS]
-            points, bounds = _code_points(texts.take(pa.array(part)))
+    for lang, rows in _by_language(langs):
+        mine = texts.take(pa.array(rows))
+        for x, y in _portions(mine):
+            points, bounds = _code_points(mine.slice(x, y - x))
             value = np.zeros(len(points) + 1)
             for a, b, key, alphabet in _packed(points):
-                keys = np.unique(key)
-                digest = xxhash.xxh64_intdigest
-                want = np.array([digest(head + g.encode(), 42) for g in _grams(keys, alphabet)], np.uint64).view(np.int64)
-                at_h = np.minimum(np.searchsorted(h, want), max(0, len(h) - 1))
-                found = np.where(h[at_h] == want, p[at_h], 0) if len(h) else np.zeros(len(want))
-                value[a:b] = found.astype(np.float64)[np.searchsorted(keys, key)]
+                coded = pa.array(key).dictionary_encode()
+                want = _hashes(lang, *_grams(coded.dictionary.to_numpy(), alphabet))
+                at = np.minimum(np.searchsorted(h, want), max(0, len(h) - 1))
+                found = np.where(h[at] == want, p[at], 0) if len(h) else np.zeros(len(want))
+                value[a:b] = found.astype(np.float64)[coded.indices.to_numpy()]
             valid = tk.window_starts(bounds, ORDER)
             value[: len(valid)][~valid] = 0
             for out, v in ((total, value), (squares, value * value)):
                 sums = np.concatenate(([0], np.cumsum(v[: len(points)])))
-                out[part] = np.diff(sums[bounds])
-            n[part] = np.diff(bounds) - (ORDER - 1)
+                out[rows[x:y]] = np.diff(sums[bounds])
+            n[rows[x:y]] = np.diff(bounds) - (ORDER - 1)
     return n, total, squares
 
 
-def scored(docs: DataFrame, model: DataFrame, shard_rows: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, base statistics, n_scored, log_sum and square_sum per document, and the columns to carry."""
-    shards = max(1, -(-model.count() // shard_rows))
-    text_key = (F.xxhash64("text"), F.length("text").cast("long"))
-    own = ("doc_id", "lang", "text", text_key[0].alias("k1"), text_key[1].alias("k2"))
-    along = [f"c{i}" for i in range(len(carry))] if shards == 1 else []
-    rows = docs.select(*own, *[F.col(c).alias(n) for c, n in zip(carry, along, strict=False)])
-    schema = f"doc_id long, lang string, k1 long, k2 long, {BASE_SCHEMA}, n_scored long, log_sum double, square_sum double"
-    names = [c.split()[0] for c in schema.split(", ")]
-    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, along, strict=False))
-    parts = []
-    for shard in range(shards):
-        arrays = docs.sparkSession.sparkContext.broadcast(_sorted_arrays(model, shard, shards))
-
-        def score(batches: Iterator[pa.RecordBatch], arrays=arrays, first=shard == 0) -> Iterator[pa.RecordBatch]:
-            h, p = arrays.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, _SLICE_DOCS):
-                    batch = whole.slice(at, _SLICE_DOCS)
-                    texts = tk.one_array(batch.column(2))
-                    base = base_statistics(texts) if first else [pa.nulls(len(texts), pa.int64())] * 5
-                    n, total, squares = _score_batch(texts, batch.column(1), h, p)
-                    cols = [batch.column(c) for c in (0, 1, 3, 4)]
-                    rest = [batch.column(c) for c in along]
-                    yield pa.record_batch([*cols, *base, pa.array(n), pa.array(total), pa.array(squares), *rest], names=[*names, *along])
-
-        parts.append(rows.mapInArrow(score, schema).withColumn("shard", F.lit(shard)))
-    if shards == 1:
-        return parts[0].drop("k1", "k2", "shard").withColumnsRenamed(dict(zip(along, (f"carried_{c}" for c in carry), strict=True)))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    # Rows that agree in id, language and text are counted, summed over the shards once, and put back.
-    key = ["doc_id", "lang", "k1", "k2"]
-    values = names[4:]
-    once = whole.groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("copies"), *[F.max(v).alias(v) for v in values])
-    added = [(F.sum(v) if v.endswith("_sum") else F.max(v)).alias(v) for v in values]
-    merged = once.groupBy(*key).agg(F.max("copies").alias("copies"), *added)
-    if not carry:
-        return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("k1", "k2", "copies", "copy")
-    full = docs.select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), text_key[0].alias("x1"), text_key[1].alias("x2"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    same = merged.doc_id.eqNullSafe(full.i) & merged.lang.eqNullSafe(full.l) & merged.k1.eqNullSafe(full.x1) & merged.k2.eqNullSafe(full.x2)
-    return merged.join(full, same).drop("k1", "k2", "copies", "i", "l", "x1", "x2")
+def scored(parts: DataFrame, answered: DataFrame, schema: str) -> DataFrame:
+    """The rows of each slice with base statistics and sums of log probabilities."""
+
+    def score(rows, known):
+        known = known.sort_by("r")
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in known.column("h")] or [np.zeros(0, np.uint64)])
+        p = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in known.column("p")] or [np.zeros(0, np.float32)])
+        out = []
+        for batch in _unpacked(rows):
+            texts = tk.one_array(batch.column("text"))
+            base = [pa.chunked_array(c) for c in zip(*[base_statistics(texts.slice(a, b - a)) for a, b in _portions(texts)], strict=True)]
+            sums = [pa.array(x) for x in _score(batch.column("lang"), texts, h, p)]
+            names = [c for c in batch.schema.names if c not in ("slice", "text")]
+            out.append(pa.table([*[batch.column(c) for c in names], *base, *sums], names=[*names, *[c.split()[0] for c in SCORE_SCHEMA.split(", ")]]))
+        return pa.concat_tables(out)
+
+    return parts.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(score, schema)
 
 
 def bands(rows: DataFrame, grid: float = 0.01) -> DataFrame:
@@ -329,27 +445,37 @@ def judge(
     low_band: float = 0.35,
     high_band: float = 0.35,
     noise: float = 4.0,
-    shard_rows: int = 4_000_000,
+    range_rows: int = 200_000,
+    slice_bytes: int = 64 << 20,
+    slices_at_once: int = 1024,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Statistics and verdict per document, and the columns to carry under their names with ``carried_``.
 
     ``low_band`` bounds how much better than its language's centre the model may
     predict a character of a document (in nats), ``high_band`` how much worse.
+    ``range_rows`` n-grams make a hash range of the model.
     """
-    model = hashed(kneser_ney(ngram_counts(docs)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-size // slice_bytes))
+    model = kneser_ney(ngram_counts(docs))
+    ranges = max(1, -(-model.count() // range_rows))
+    arrays = written(sorted_arrays(model, ranges), "model")
+    forget(model)
+    parts = slices_of(docs, slices, carry)
+    answered = answers(questions(parts, ranges, slices_at_once), arrays, -(-slices // slices_at_once))
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    schema = ", ".join(["doc_id long, lang string", *[f"c{i} {k}" for i, k in enumerate(kinds)], SCORE_SCHEMA])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = written(scored(docs, model, shard_rows, carry).withColumn("base_failed", failed), "scores")
-    limits = bands(rows).withColumnRenamed("lang", "of_lang")
+    rows = written(scored(parts, answered, schema).withColumn("base_failed", failed), "scores")
+    forget(arrays)
     mean = F.col("log_sum") / F.nullif(F.col("n_scored"), F.lit(0))
     off = mean - F.col("centre")
     slack = F.col("spread") * noise / F.sqrt(F.nullif(F.col("n_scored"), F.lit(0)))
     inside = (off <= low_band + slack) & (off >= -(high_band + slack))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    joined = rows.join(F.broadcast(limits), rows.lang.eqNullSafe(limits.of_lang), "left")
-    names = [c.split()[0] for c in BASE_SCHEMA.split(", ")]
-    more = [f"carried_{c}" for c in carry]
-    return joined.select("doc_id", *names, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre", *more)
+    more = [F.col(f"c{i}").alias(f"carried_{c}") for i, c in enumerate(carry)]
+    return _with_language(rows, bands(rows)).select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre", *more)
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

@@ -59,25 +59,6 @@ def test_quality_keeps_prose_and_takes_odd_rows(spark):
     assert judged.where("kept").count() >= 0.95 * judged.count()
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = documents(spark, ["the cat sat on the mat and then the dog sat on the cat again while all the others went home to sleep"] * 3)
-    model = quality.kneser_ney(quality.ngram_counts(docs))
-    by = defaultdict(float)
-    for r in model.collect():
-        by[r.g[:-1]] += float(np.exp(r.logp))
-    assert max(by.values()) <= 1.0 + 1e-6
-
-
-def test_ngram_counts_hold_every_document(spark):
-    """Short texts, tables and code count like prose."""
-    texts = ["ab", "| a | b |\n| # | $ |", None, "prose of words " * 10, "prose of words " * 10]
-    want = Counter()
-    for t in texts:
-        plain = "\x02" * 4 + " ".join(WORD.findall((t or "").lower()))
-        want.update(plain[i : i + 5] for i in range(len(plain) - 4))
-    assert {r.g: r.c for r in quality.ngram_counts(documents(spark, texts)).collect()} == want
-
-
 def brute_groups(texts, width):
     sets = []
     for t in texts:
