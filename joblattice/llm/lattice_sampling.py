@@ -43,7 +43,9 @@ from pyspark.sql import DataFrame
 from . import textkit as tk
 
 SCHEMA = "key long, sample int, log_prob double, log_inclusion double, ids array<int>"
-_SLICE_CHARS = 1_500_000
+_SLICE_CHARS = 4_000_000
+_SLICE_ROWS = 4000
+_FIXED = 2.0**32
 _LOADED: dict = {}
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,7 +140,13 @@ def runs(texts: pa.Array) -> tk.Words:
 
 
 class Lattices:
-    """The lattices of distinct runs: nodes are characters, an edge of length L ends L nodes further."""
+    """The lattices of distinct runs: nodes are characters, the edges of node ``v`` are ``first[v]:first[v + 1]``, by length.
+
+    An edge of length L leads L nodes further; per edge there are its piece (-1: the
+    character is spelt in bytes), the probability given its node, cumulated
+    probability, and logarithms of the probability (in units of ``1 / _FIXED``, so that
+    sums along a path are exact in any order) and of what is left for the node's other edges.
+    """
 
     def __init__(self, vocab: pa.Array, pieces: Pieces):
         joined = "".join(vocab.to_pylist())
@@ -146,52 +154,79 @@ class Lattices:
         sizes = pc.utf8_length(vocab).to_numpy(zero_copy_only=False).astype(np.int64)
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
-        n, width = len(self.points), pieces.width
-        left = np.repeat(self.ends, sizes) - np.arange(n)
-        self.piece = np.full((n, width), -1, np.int32)
-        score = np.full((n, width), -np.inf, np.float32)
+        n = len(self.points)
+        live = np.arange(n)
+        until = np.repeat(self.ends, sizes)
         h = np.zeros(n, np.uint64)
-        for j in range(width):
-            on = np.flatnonzero(left > j)
-            h[on] = h[on] * _MUL + self.points[on + j] + np.uint64(1)
-            ids = pieces.find(tk.mix(h[on]))
+        found, count = [], np.zeros(n + 1, np.int64)
+        for j in range(pieces.width):
+            live = live[until[live] > live + j]
+            if not len(live):
+                break
+            h[live] = h[live] * _MUL + self.points[live + j] + np.uint64(1)
+            ids = pieces.find(tk.mix(h[live]))
             hit = ids >= 0
-            self.piece[on[hit], j] = ids[hit]
-            score[on[hit], j] = pieces.weight[ids[hit]]
-        lone = np.flatnonzero(self.piece[:, 0] < 0)
-        code = self.points[lone]
-        self.n_bytes = np.ones(n, np.int8)
-        self.n_bytes[lone] = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
-        score[lone, 0] = self.n_bytes[lone] * pieces.weight[pieces.byte_ids[0]]
-        self._backward(score, sizes, width)
-
-    def _backward(self, score: np.ndarray, sizes: np.ndarray, width: int) -> None:
-        """Turns scores into the probability of each edge given its start node."""
-        total = np.zeros(len(score) + width + 1, np.float64)
+            at, of = live[hit], ids[hit]
+            if not j:  # a character that is no piece is spelt in bytes
+                at, of = live, np.where(hit, ids, -1)
+            found.append((at, of, count[at]))
+            count[at] += 1
+        self.first = np.cumsum(count) - count
+        m = int(count.sum())
+        self.node, self.length, self.piece = np.repeat(np.arange(n), count[:n]), np.zeros(m, np.int64), np.zeros(m, np.int32)
+        for j, (at, of, rank) in enumerate(found):
+            self.length[self.first[at] + rank] = j + 1
+            self.piece[self.first[at] + rank] = of
+        code = self.points.astype(np.int64)
+        self.n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+        spelt = self.piece < 0
+        score = pieces.weight[self.piece].astype(np.float64)
+        score[spelt] = self.n_bytes[self.node[spelt]] * float(pieces.weight[pieces.byte_ids[0]])
+        self._backward(score, sizes)
+
+    def _backward(self, score: np.ndarray, sizes: np.ndarray) -> None:
+        """From the edges' scores to their probabilities, in rounds from the ends of the runs."""
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.zeros(len(run) + len(sizes))  # a place behind each run stands for its end, where the sum is 0
         order = np.argsort(-sizes, kind="stable")
-        ends, shrinking = self.ends[order], -sizes[order]
+        ends, shrinking, runs_in_order = self.ends[order], -sizes[order], order
+        prob = np.zeros(len(score))
         for d in range(1, int(sizes.max()) + 1 if len(sizes) else 1):
-            at = ends[: np.searchsorted(shrinking, -d, side="right")] - d
-            reach = min(width, d)
-            s = score[at, :reach].astype(np.float64)
-            for j in range(reach - 1):
-                s[:, j] += total[at + j + 1]
-            if d > width:  # else the longest edge ends the run, whose sum is 0 in logarithms
-                s[:, reach - 1] += total[at + reach]
-            top = s.max(axis=1)
-            np.exp(s - top[:, None], out=s)
-            mass = s.sum(axis=1)
-            total[at] = top + np.log(mass)
-            score[at, :reach] = s / mass[:, None]
-            score[at, reach:] = 0
-        self.prob = score
-        self.cdf = np.cumsum(score, axis=1, dtype=np.float32)
-        last = width - 1 - np.argmax(score[:, ::-1] > 0, axis=1) if len(score) else np.zeros(0, np.int64)
-        self.cdf[np.arange(len(score)), last] = 2.0
+            some = np.searchsorted(shrinking, -d, side="right")
+            at = ends[:some] - d
+            slot = at + runs_in_order[:some]
+            begin, size = self.first[at], self.first[at + 1] - self.first[at]
+            cuts = np.cumsum(size) - size
+            edge = np.repeat(begin - cuts, size) + np.arange(int(size.sum()))
+            s = score[edge] + total[np.repeat(slot, size) + self.length[edge]]
+            top = np.maximum.reduceat(s, cuts)
+            e = np.exp(s - np.repeat(top, size))
+            mass = np.add.reduceat(e, cuts)
+            total[slot] = top + np.log(mass)
+            prob[edge] = e / np.repeat(mass, size)
+        self.prob = prob
+        last = self.first[1:] - 1
+        self.log = np.zeros(0, np.int64)
+        self.cdf, self.log_rest = prob, prob
+        if len(prob):
+            units = np.rint(prob * _FIXED).astype(np.int64)
+            sums = np.cumsum(units)  # each node's part is read off relative to its first edge
+            self.cdf = (sums - np.repeat(sums[self.first[:-1]] - units[self.first[:-1]], np.diff(self.first))) / _FIXED
+            self.cdf[last] = 2.0
+            whole = np.add.reduceat(prob, self.first[:-1])
+            with np.errstate(divide="ignore"):
+                self.log = np.rint(np.log(prob) * _FIXED).astype(np.int64)
+                alone = np.repeat(np.diff(self.first) == 1, np.diff(self.first))
+                self.log_rest = np.where(alone, -np.inf, np.log(np.maximum(np.repeat(whole, np.diff(self.first)) - prob, 1e-300)))
 
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Edge lengths less one, drawn at the nodes."""
-        return (self.cdf[at] <= u[:, None]).sum(axis=1)
+        """Edges drawn at the nodes."""
+        edge = self.first[at]
+        todo = np.flatnonzero(self.cdf[edge] <= u)
+        while len(todo):
+            edge[todo] += 1
+            todo = todo[self.cdf[edge[todo]] <= u[todo]]
+        return edge
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -200,31 +235,34 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Paths:
-    """One path per text: the steps of text ``i`` are ``node[bounds[i]:bounds[i + 1]]``."""
+    """One path per text: the steps of text ``i`` are the edges ``edge[bounds[i]:bounds[i + 1]]``.
+
+    ``before`` is the log probability of the steps before each, ``split`` the value of its subset.
+    """
 
     bounds: np.ndarray
-    node: np.ndarray
     edge: np.ndarray
-    logp: np.ndarray
+    before: np.ndarray
+    log_prob: np.ndarray
     value: np.ndarray
     split: np.ndarray
 
 
-def _free(lat: Lattices, first: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Steps drawn through each run from node ``first``: per run the number of steps, and nodes and edges in order."""
+def _free(lat: Lattices, first: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps drawn through each run from node ``first``: per run the number of steps, and edges in order."""
     n = np.zeros(len(first), np.int64)
     at, live, rounds = first.copy(), np.flatnonzero(first < end), []
     while len(live):
         edge = lat.draw(at[live], _uniform(h[live] + n[live].astype(np.uint64)))
-        rounds.append((live, at[live], edge))
-        at[live] += edge + 1
+        rounds.append((live, edge))
+        at[live] += lat.length[edge]
         n[live] += 1
         live = live[at[live] < end[live]]
     begin = np.cumsum(n) - n
-    node, edges = np.zeros(int(n.sum()), np.int64), np.zeros(int(n.sum()), np.int8)
-    for r, (who, where, edge) in enumerate(rounds):
-        node[begin[who] + r], edges[begin[who] + r] = where, edge
-    return n, node, edges
+    edges = np.zeros(int(n.sum()), np.int64)
+    for r, (who, edge) in enumerate(rounds):
+        edges[begin[who] + r] = edge
+    return n, edges
 
 
 def _gumbel_below(bound: np.ndarray, location: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -245,44 +283,31 @@ class Search:
     def _stamp(self, sample: int, what: int) -> np.ndarray:
         return tk.mix(self.keys + np.uint64(sample * 64 + what))
 
-    def _finish(self, sample: int, value: np.ndarray, first: np.ndarray, keep: Paths | None, upto: np.ndarray) -> Paths:
-        """Paths that keep ``upto`` steps of the kept ones and are free behind; new subsets for the free steps."""
+    def _finish(self, sample: int, value: np.ndarray, first: np.ndarray, kept: np.ndarray, upto: np.ndarray) -> Paths:
+        """Paths of the ``upto`` kept edges of each text and free ones behind; new subsets for the free steps."""
         ordinal = np.arange(len(self.owner)) - self.words.bounds[self.owner]
         h = tk.mix(self._stamp(sample, 1)[self.owner] + ordinal.astype(np.uint64)) << np.uint64(12)
-        n, node, edge = _free(self.lat, first, self.end, h)
-        bounds = np.concatenate(([0], np.cumsum(n)))[self.words.bounds]
-        if keep is not None:
-            size = upto + np.diff(bounds)
-            whole = np.concatenate(([0], np.cumsum(size)))
-            total = int(whole[-1])
-            doc = np.repeat(np.arange(len(upto)), size)
-            place = np.arange(total) - whole[doc]
-            old = place < upto[doc]
-            both_node, both_edge = np.zeros(total, np.int64), np.zeros(total, np.int8)
-            src = keep.bounds[doc[old]] + place[old]
-            both_node[old], both_edge[old] = keep.node[src], keep.edge[src]
-            both_node[~old], both_edge[~old] = node, edge
-            node, edge, bounds = both_node, both_edge, whole
-        p = self.lat.prob[node, edge].astype(np.float64)
-        logp = np.log(p)
-        doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        before = np.zeros(len(logp))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # text by text, so that neighbours don't touch the last digit
-            before[a + 1 : b] = np.cumsum(logp[a:b])[:-1]
-        others = self.lat.prob[node]
-        others[np.arange(len(node)), edge] = 0
-        rest = others.sum(axis=1, dtype=np.float64)
-        place = np.arange(len(node)) - bounds[doc]
+        n, free = _free(self.lat, first, self.end, h)
+        added = np.concatenate(([0], np.cumsum(n)))[self.words.bounds]
+        doc = np.repeat(np.arange(len(upto)), np.diff(added))
+        place = np.arange(len(free)) - added[doc] + upto[doc]
+        begin = np.concatenate(([0], np.cumsum(upto)))
+        bounds = added + begin
+        where = bounds[doc] + place
+        edge = np.empty(int(bounds[-1]), np.int64)
+        edge[where] = free
+        edge[np.arange(len(kept)) + np.repeat(added[:-1], upto)] = kept
+        sums = np.concatenate(([0], np.cumsum(self.lat.log[edge])))
+        before = (sums[:-1] - np.repeat(sums[bounds[:-1]], np.diff(bounds))) / _FIXED
         u = _uniform(tk.mix(self._stamp(sample, 2)[doc] + place.astype(np.uint64)) + np.uint64(sample))
-        with np.errstate(divide="ignore"):
-            split = _gumbel_below(value[doc], before + np.log(rest), u)
-        split[(rest == 0) | (place < upto[doc])] = -np.inf
-        return Paths(bounds, node, edge, logp, value, split)
+        split = np.full(len(edge), -np.inf)
+        some = np.flatnonzero(self.lat.log_rest[free] > -np.inf)
+        split[where[some]] = _gumbel_below(value[doc[some]], before[where[some]] + self.lat.log_rest[free[some]], u[some])
+        return Paths(bounds, edge, before, (sums[bounds[1:]] - sums[bounds[:-1]]) / _FIXED, value, split)
 
     def start(self) -> None:
-        n = len(self.keys)
         value = -np.log(-np.log(_uniform(self._stamp(0, 0))))
-        self.paths.append(self._finish(0, value, self.first, None, np.zeros(n, np.int64)))
+        self.paths.append(self._finish(0, value, self.first, np.zeros(0, np.int64), np.zeros(len(self.keys), np.int64)))
 
     def advance(self) -> None:
         """Split the best subset of every text; texts without one get an empty path of value -inf."""
@@ -290,66 +315,54 @@ class Search:
         best = np.full((len(self.paths), n), -np.inf)
         where = np.zeros((len(self.paths), n), np.int64)
         for r, path in enumerate(self.paths):
-            for i in np.flatnonzero(np.diff(path.bounds) > 0).tolist():
-                part = path.split[path.bounds[i] : path.bounds[i + 1]]
-                where[r, i] = j = int(part.argmax())
-                best[r, i] = part[j]
+            some = np.flatnonzero(np.diff(path.bounds) > 0)
+            if len(some):
+                best[r, some] = np.maximum.reduceat(path.split, path.bounds[some])
+                size = np.diff(path.bounds)[some]
+                top = np.flatnonzero(path.split == np.repeat(best[r, some], size))
+                where[r, some] = top[np.searchsorted(top, path.bounds[some])] - path.bounds[some]
         source = best.argmax(axis=0)
         value = best[source, np.arange(n)]
         upto = np.zeros(n, np.int64)
         first = np.where(np.isfinite(value)[self.owner], self.first, self.end)
-        kept_node, kept_edge = [], []
-        for i in range(n):
-            if not np.isfinite(value[i]):
-                continue
+        other, again = _uniform(self._stamp(sample, 3)), _uniform(self._stamp(sample, 4))
+        kept = [np.zeros(0, np.int64)]
+        lat = self.lat
+        for i in np.flatnonzero(np.isfinite(value)).tolist():
             r, j = int(source[i]), int(where[source[i], i])
             path = self.paths[r]
             a = path.bounds[i]
-            node = int(path.node[a + j])
-            gone = self.gone.setdefault((r, i, j), [int(path.edge[a + j])])
-            p = self.lat.prob[node].astype(np.float64)
-            p[gone] = 0
-            u = float(_uniform(self._stamp(sample, 3)[i : i + 1])[0])
-            edge = min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), int(np.flatnonzero(p)[-1]))
+            old = int(path.edge[a + j])
+            node = int(lat.node[old])
+            low = int(lat.first[node])
+            gone = self.gone.setdefault((r, i, j), [old])
+            p = lat.prob[low : lat.first[node + 1]].copy()
+            p[np.array(gone) - low] = 0
+            edge = low + min(int(np.searchsorted(np.cumsum(p), other[i] * p.sum(), side="right")), int(np.flatnonzero(p)[-1]))
             gone.append(edge)
-            p[edge] = 0
+            p[edge - low] = 0
             rest = p.sum()
-            before = float(path.logp[a : a + j].sum())
-            if rest == 0:
-                path.split[a + j] = -np.inf
-            else:
-                u = _uniform(self._stamp(sample, 4)[i : i + 1])
-                path.split[a + j] = _gumbel_below(value[i : i + 1], np.array([before + np.log(rest)]), u)[0]
+            path.split[a + j] = -np.inf if rest == 0 else _gumbel_below(value[i], path.before[a + j] + np.log(rest), again[i])
             upto[i] = j + 1
-            kept_node.append(np.append(path.node[a : a + j], node))
-            kept_edge.append(np.append(path.edge[a : a + j], edge))
-            lo, hi = self.words.bounds[i], self.words.bounds[i + 1]
+            kept += [path.edge[a : a + j], [edge]]
             # Each step lies in one run: runs wholly before the changed step are done, its own goes on behind it.
-            done = lo + self._run_of(path, i, j, lo, hi)
+            lo, hi = self.words.bounds[i], self.words.bounds[i + 1]
+            passed = int(lat.length[path.edge[a : a + j]].sum())
+            done = lo + int(np.searchsorted(np.cumsum(self.end[lo:hi] - self.first[lo:hi]), passed, side="right"))
             first[lo:done] = self.end[lo:done]
-            first[done] = node + edge + 1
-        bounds = np.concatenate(([0], np.cumsum(upto)))
-        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        keep = Paths(bounds, flat(kept_node, np.int64), flat(kept_edge, np.int8), np.zeros(0), value, np.zeros(0))
-        self.paths.append(self._finish(sample, value, first, keep, upto))
-
-    def _run_of(self, path: Paths, i: int, j: int, lo: int, hi: int) -> int:
-        """Which run of the text the step lies in."""
-        a = path.bounds[i]
-        covered = int(path.edge[a : a + j].astype(np.int64).sum()) + j
-        sizes = np.cumsum(self.end[lo:hi] - self.first[lo:hi])
-        return int(np.searchsorted(sizes, covered, side="right"))
+            first[done] = node + lat.length[edge]
+        self.paths.append(self._finish(sample, value, first, np.concatenate(kept), upto))
 
     def ids(self, path: Paths, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all paths back to back, and their bounds."""
-        got = self.lat.piece[path.node, path.edge]
+        got = self.lat.piece[path.edge]
         spelt = np.flatnonzero(got < 0)
         size = np.ones(len(got), np.int64)
-        size[spelt] = self.lat.n_bytes[path.node[spelt]]
+        size[spelt] = self.lat.n_bytes[self.lat.node[path.edge[spelt]]]
         ends = np.cumsum(size)
         flat = np.repeat(got, size)
         for s in spelt.tolist():
-            raw = chr(int(self.lat.points[path.node[s]])).encode()
+            raw = chr(int(self.lat.points[self.lat.node[path.edge[s]]])).encode()
             flat[ends[s] - len(raw) : ends[s]] = pieces.byte_ids[list(raw)]
         return flat, np.concatenate(([0], ends))[path.bounds]
 
@@ -380,7 +393,7 @@ def sample_batch(keys: list[int | None], texts: pa.Array, pieces: Pieces, k: int
         empty = np.diff(words.bounds) == 0
         for s, path in enumerate(search.paths[:k]):
             flat, bounds = search.ids(path, pieces)
-            f = np.array([path.logp[i:j].sum() for i, j in zip(path.bounds[:-1].tolist(), path.bounds[1:].tolist(), strict=True)])
+            f = path.log_prob
             with np.errstate(over="ignore", divide="ignore"):
                 x = f - threshold
                 log_q = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))
@@ -389,14 +402,14 @@ def sample_batch(keys: list[int | None], texts: pa.Array, pieces: Pieces, k: int
                     yield a + i, s + 1, float(f[i]), 0.0 if np.isneginf(threshold[i]) else float(min(log_q[i], 0.0)), flat[bounds[i] : bounds[i + 1]]
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 3, seed: int = 0, power: float = 0.3, shift: float = 10.0) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 2, seed: int = 0, power: float = 0.3, shift: float = 10.0) -> DataFrame:
     """Up to ``k`` distinct segmentations per row of ``key`` and text: key, sample (from 1, best value first), log_prob, log_inclusion, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model_path, power, shift)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, _SLICE_ROWS):
+                batch = whole.slice(at, _SLICE_ROWS)
                 keys = batch.column(0).to_pylist()
                 rows = list(sample_batch(keys, batch.column(1), pieces, k, seed))
                 yield _record(keys, rows)
@@ -443,7 +456,7 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
     return coded.select(*[coded[c] for c in kept], "ids").mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 3, seed: int = 0, power: float = 0.3, shift: float = 10.0) -> DataFrame:
+def digest(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 2, seed: int = 0, power: float = 0.3, shift: float = 10.0) -> DataFrame:
     """Samples and round trips without the ids: doc_id, sample, n_ids, log_prob, log_inclusion, ids_crc32, round_trip.
 
     The ids are encoded, decoded again in the same task, and compared with the
@@ -456,8 +469,8 @@ def digest(docs: DataFrame, model_path: str, key: str = "doc_id", k: int = 3, se
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(model_path, power, shift)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, _SLICE_ROWS):
+                batch = whole.slice(at, _SLICE_ROWS)
                 keys = batch.column(0).to_pylist()
                 plain = normalised(batch.column(1)).cast(pa.large_binary()).to_pylist()
                 cols: tuple[list, ...] = ([], [], [], [], [], [], [])

@@ -134,6 +134,58 @@ def test_lattice_frequencies_and_inclusion():
     assert all(abs(n / 3000 - np.exp(f)) < 0.04 for (_, f), n in first.items())
 
 
+def spellings(text, piece_ids, weight):
+    """Every segmentation of a text into pieces, with its probability, by plain recursion."""
+    found = {}
+
+    def go(at, ids, mass):
+        if at == len(text):
+            found[tuple(ids)] = found.get(tuple(ids), 0.0) + mass
+        for end in range(at + 1, len(text) + 1):
+            i = piece_ids.get(text[at:end])
+            if i is not None:
+                go(end, [*ids, i], mass * weight(i))
+
+    go(0, [], 1.0)
+    whole = sum(found.values())
+    return {ids: mass / whole for ids, mass in found.items()}
+
+
+@pytest.mark.parametrize("text", ["a", "the", "hello", "an ox\nit", "queue"])
+def test_lattice_by_enumeration(text):
+    """All segmentations come out once each, with their probabilities; the first is drawn in proportion."""
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = {model.id_to_piece(i).replace("\u2581", " "): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    least = max(range(model.get_piece_size())) + 10.0
+    by_bytes = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
+    newline = next(i for i in by_bytes if model.id_to_piece(i) == "<0x0A>")
+    ids.setdefault("\n", newline)
+    want = spellings(" " + text, ids, lambda i: (least if i in by_bytes else i + 10.0) ** -0.3)
+    pieces = lattice_sampling.Pieces.load(path, 0.3, 10.0)
+    k, rows = min(len(want), 60), 400
+    first, seen = Counter(), defaultdict(list)
+    for row, sample, f, q, got in lattice_sampling.sample_batch(list(range(rows)), pa.array([text] * rows), pieces, k, 3):
+        got = tuple(got.tolist())
+        assert abs(np.exp(f) - want[got]) < 1e-5 and (k < len(want) or q == 0)
+        seen[row].append(got)
+        first[got] += sample == 1
+    assert all(len(set(v)) == len(v) == k for v in seen.values())
+    if k == len(want):
+        assert all(set(v) == set(want) for v in seen.values())
+    assert all(abs(first[g] / rows - p) < 4 * (p * (1 - p) / rows) ** 0.5 + 0.01 for g, p in want.items())
+
+
+def test_lattice_samples_do_not_depend_on_neighbours():
+    pieces = lattice_sampling.Pieces.load(queries.tokenizer_path("piece_bpe_32k.model"), 0.3, 10.0)
+    texts = [f"text number {i} of some words, é{i}\n" * (1 + i % 7) for i in range(40)]
+    whole = [(r, s, f, q, tuple(i.tolist())) for r, s, f, q, i in lattice_sampling.sample_batch(list(range(40)), pa.array(texts), pieces, 3, 1)]
+    alone = [(r, s, f, q, tuple(i.tolist())) for r in range(40) for _, s, f, q, i in lattice_sampling.sample_batch([r], pa.array(texts[r : r + 1]), pieces, 3, 1)]
+    assert sorted(whole) == sorted(alone)
+
+
 def brute_substrings(texts, width=13):
     words = [WORD.findall(t or "") for t in texts]
     first = {}
