@@ -22,9 +22,13 @@ are never text.
 
 Edge cases: null or empty html gives an empty text; html without tags is one
 block; tags left open or closed twice follow the usual rules (a block ends a
-paragraph, a list item the one before it); a document of any depth and length is
-read whole; repeated rows are judged alike; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+paragraph, a list item the one before it; the first content ends an open head; a
+block ends a form control that is never closed); a quote that is never closed
+doesn't reach beyond its tag; text outside of any tag's ``>`` at the end is no
+text; a document of any depth and length is read whole, in time that grows with
+its length; plain wrappers of a single element are passed over, however deep they
+nest; repeated rows are judged alike; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr img br picture source data ruby rt rp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas video audio head title select textarea button input option datalist".split())
+CONTROLS = frozenset("button select option datalist svg math object canvas video audio".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
+WRAPPERS = frozenset("div section html body table tr td form fieldset".split()) | {""}
 RAW = frozenset("script style textarea title noscript iframe template".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -63,9 +70,10 @@ HINTS = {
 _HINT_OF = {w: k for k, (_, ws) in enumerate(HINTS.items()) for w in ws.split()}
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
 _N_TEXT = 9
-N_FEATURES = 2 * (len(TAGS) + 1) + 2 * len(HINTS) + _N_TEXT + 4
+N_FEATURES = 2 * (len(TAGS) + 1) + 2 * len(HINTS) + _N_TEXT + 4 + 2 * (len(HINTS) + 2)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true|\bhidden\b", re.IGNORECASE)
@@ -84,12 +92,64 @@ class Tree:
     label: list[bool] = field(default_factory=lambda: [False])
 
 
+class _Reader:
+    """The tags of a page, one after the other; no stretch of the page is searched twice for the same thing."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.quotes = True
+        self.ends: dict[str, int] = {}
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start and end of the next tag, ``/`` if it closes, name and attributes; comments have no name."""
+        page, start = self.page, at
+        while (start := page.find("<", start)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                return start, end + 3 if end >= 0 else self.n, "", "", ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start)
+                return start, end + 1 if end >= 0 else self.n, "", "", ""
+            m = _NAME.match(page, start)
+            if m:
+                end = self._closing(m.end())
+                return start, min(end + 1, self.n), m[1], m[2].lower(), page[m.end() : end]
+            start += 1
+        return self.n, self.n, "", "", ""
+
+    def _closing(self, at: int) -> int:
+        """Where the tag's ``>`` stands; quoted values are skipped, until a quote is found to be left open."""
+        seek = at
+        while self.quotes:
+            m = _STOP.search(self.page, seek)
+            if m and m[0] == ">":
+                return m.start()
+            seek = self.page.find(m[0][-1], m.end()) + 1 if m else 0
+            self.quotes = seek > 0
+        end = self.page.find(">", at)
+        return end if end >= 0 else self.n
+
+    def end_tag(self, name: str, at: int) -> int:
+        """Where the next end tag of a name begins, -1 if there is none."""
+        known = self.ends.get(name, 0)
+        if 0 <= known < at or name not in self.ends:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(self.page, at)
+            known = self.ends[name] = m.start() if m else -1
+        return known
+
+    def left_open(self, name: str, at: int) -> bool:
+        """A control that begins here isn't closed before another of its kind begins."""
+        end = self.end_tag(name, at)
+        return end < 0 or bool(re.compile(rf"<{name}(?=[\s/>])", re.IGNORECASE).search(self.page, at, end))
+
+
 def parse(page: str) -> Tree:
     """The block tree of a page."""
-    tree = Tree()
+    tree, reader = Tree(), _Reader(page)
     stack: list[tuple[str, int]] = [("", 0)]
     pieces: list[str] = []
     links = in_link = silent = 0
+    loose = 0  # where the stack holds a control that is never closed
 
     def flush() -> None:
         nonlocal links
@@ -100,27 +160,28 @@ def parse(page: str) -> Tree:
         links = 0
 
     def close(upto: int) -> None:
-        nonlocal silent
+        nonlocal silent, loose
         flush()
         while len(stack) > upto:
             if stack.pop()[0] in SILENT:
                 silent -= 1
+        if loose >= upto:
+            loose = 0
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        raw = page[at : m.start() if m else n]
+        start, end, closing, name, attributes = reader.next(at)
+        raw = page[at:start]
+        if raw and stack[-1][0] == "head" and not raw.isspace():
+            close(len(stack) - 1)
         if raw and not silent:
             plain = html.unescape(raw) if "&" in raw else raw
             pieces.append(plain)
             links += len(plain) * bool(in_link)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+        at = end
         if not name:
             continue
-        if m[1]:
+        if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
             elif name not in INLINE:
@@ -129,6 +190,10 @@ def parse(page: str) -> Tree:
                         close(i)
                         break
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD or name in CONTROLS and name == stack[-1][0]:
+            close(len(stack) - 1)
+        elif loose and name in ENDS_P:
+            close(loose)
         if name in INLINE:
             if name == "br" and not silent:
                 pieces.append(" ")
@@ -144,12 +209,16 @@ def parse(page: str) -> Tree:
             if stack[i][0] in FENCES:
                 break
         flush()
-        attributes = m[3] or ""
         if name in VOID or attributes.endswith("/") and name in ("svg", "iframe"):
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+            to = reader.end_tag(name, at)
+            if to >= 0:
+                at = reader.next(to)[1]
+            elif name in ("script", "style"):
+                at = n
+            elif name in ("title", "textarea"):
+                at = page.find("<", at) if "<" in page[at:] else n
             continue
         hints = 0
         for value in _NAMES.findall(attributes):
@@ -161,9 +230,34 @@ def parse(page: str) -> Tree:
         node = _add(tree, parent, _TAG_OF.get(name, len(TAGS)), hints, None, 0, bool(_HIDDEN.search(attributes)), marked)
         stack.append((name, node))
         silent += name in SILENT
+        if name in CONTROLS and not loose and reader.left_open(name, at):
+            loose = len(stack) - 1
     close(1)
     flush()
-    return tree
+    return _without_wrappers(tree)
+
+
+def _without_wrappers(tree: Tree) -> Tree:
+    """The tree without plain elements whose only child is an element."""
+    n = len(tree.parent)
+    children, only_child = [0] * n, [0] * n
+    for i in range(1, n):
+        children[tree.parent[i]] += 1
+        only_child[tree.parent[i]] = i
+    plain = {_TAG_OF.get(t, len(TAGS)) for t in WRAPPERS}
+    gone = [i > 0 and children[i] == 1 and tree.text[i] is None and tree.text[only_child[i]] is None and tree.tag[i] in plain and not tree.hints[i] and not tree.hidden[i] for i in range(n)]
+    if not any(gone):
+        return tree
+    new, place = Tree([], [], [], [], [], [], []), [0] * n
+    for i in range(n):
+        if gone[i]:
+            place[i] = place[tree.parent[i]]
+            continue
+        place[i] = len(new.parent)
+        new.parent.append(place[tree.parent[i]] if i else -1)
+        for name in ("tag", "hints", "text", "linked", "hidden", "label"):
+            getattr(new, name).append(getattr(tree, name)[i])
+    return new
 
 
 def _add(tree: Tree, parent: int, tag: int, hints: int, text: str | None, linked: int, hidden: bool, label: bool) -> int:
@@ -172,6 +266,22 @@ def _add(tree: Tree, parent: int, tag: int, hints: int, text: str | None, linked
     return len(tree.parent) - 1
 
 
+def _depths(tree: Tree) -> list[int]:
+    out: list[int] = []
+    for parent in tree.parent:  # a parent stands before its children
+        out.append(out[parent] + 1 if parent >= 0 else 0)
+    return out
+
+
+def _around(tree: Tree) -> list[int]:
+    """What lies around each node, as bits: the hints of its ancestors, an article or main part, a part that is never content by its tag."""
+    bits = {_TAG_OF[t]: 1 << len(HINTS) for t in ("article", "main")} | {_TAG_OF[t]: 2 << len(HINTS) for t in ("nav", "footer", "aside", "form", "menu", "dialog")}
+    out: list[int] = []
+    for parent in tree.parent:
+        out.append(out[parent] | tree.hints[parent] | bits.get(tree.tag[parent], 0) if parent >= 0 else 0)
+    return out
+
+
 class Forest:
     """The trees of several pages as arrays, in levels from the roots."""
 
@@ -182,19 +292,15 @@ class Forest:
         parent = np.array(flat("parent"))
         self.parent = np.where(parent < 0, -1, parent + np.repeat(self.offsets, sizes))
         self.texts = flat("text")
-        depth = np.zeros(len(parent), np.int64)
-        up = self.parent.copy()
-        while (up >= 0).any():  # each round goes up one level for all nodes
-            depth += up >= 0
-            up = np.where(up >= 0, self.parent[up], -1)
+        depth = np.array([d for t in trees for d in _depths(t)])
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
         self.is_text = np.array([t is not None for t in self.texts])
         self.kind = self.is_text.astype(np.int64)
-        self.features = self._features(np.array(flat("tag")), np.array(flat("hints")), np.array(flat("linked")), np.array(flat("hidden")))
+        self.features = self._features(np.array(flat("tag")), np.array(flat("hints")), np.array(flat("linked")), np.array(flat("hidden")), np.array([x for t in trees for x in _around(t)]))
         self.label = self._labels(np.array(flat("label")))
 
-    def _features(self, tag: np.ndarray, hints: np.ndarray, linked: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    def _features(self, tag: np.ndarray, hints: np.ndarray, linked: np.ndarray, hidden: np.ndarray, around: np.ndarray) -> np.ndarray:
         n, tags = len(tag), len(TAGS) + 1
         x = np.zeros((n, N_FEATURES))
         up = np.maximum(self.parent, 0)
@@ -219,6 +325,10 @@ class Forest:
         x[:, at] = ~leaf
         x[:, at + 1] = hidden
         x[:, at + 2] = self.parent < 0
+        at, wide = at + 4, len(HINTS) + 2
+        bits = (around[:, None] >> np.arange(wide)) & 1
+        x[:, at : at + wide] = bits * ~leaf[:, None]
+        x[:, at + wide : at + 2 * wide] = bits * leaf[:, None]
         return x
 
     def _labels(self, marked: np.ndarray) -> np.ndarray:
@@ -264,7 +374,7 @@ def marginals(forest: Forest, model: Model) -> tuple[np.ndarray, np.ndarray, flo
     return np.exp(belief[:, 1]), joint, total
 
 
-def fit(pages: list[str], rounds: int = 150, rate: float = 0.12, shrink: float = 0.02) -> Model:
+def fit(pages: list[str], rounds: int = 150, rate: float = 0.12, shrink: float = 0.005) -> Model:
     """Maximum likelihood with a squared penalty, by Adam steps on the exact gradient."""
     forest = Forest([parse(p) for p in pages])
     x, y = forest.features, forest.label
@@ -347,12 +457,14 @@ class _Writer:
 
     def page(self) -> str:
         inside = []
-        for _ in range(int(self.rng.integers(1, 14))):
+        for _ in range(1 if self.chance(0.25) else int(self.rng.integers(1, 14))):
             if self.chance(0.08):
                 inside.append(self.junk())
             inside.append(f'<div data-label="1">{self.block()}</div>' if self.chance(0.1) else self.block().replace(">", ' data-label="1">', 1))
-        head = f'<h1 data-label="1">{self.words(1, 12)}</h1>' if self.chance(0.9) else ""
+        head = f'<h1 data-label="1">{self.words(1, 12)}</h1>' if self.chance(0.75) else ""
         names = self.one("", "", ' class="{}"', ' id="{}"').format(self.one(*HINTS["content"].split()) + self.one("", "-body", "-wrap", "Area"))
+        if head and self.chance(0.25):
+            head = self.one("<header>{}</header>", '<header class="post-header">{}</header>', '<div class="title">{}</div>', "<header><div>{}</div></header>").format(head)
         tag = self.one("article", "article", "main", "div", "section", "div")
         body = f"<{tag}{names}>{head}{''.join(inside)}</{tag}>"
         if self.chance(0.35):
