@@ -446,7 +446,7 @@ def judge(
     high_band: float = 0.35,
     noise: float = 4.0,
     range_rows: int = 200_000,
-    slice_bytes: int = 64 << 20,
+    slice_bytes: int = 32 << 20,
     slices_at_once: int = 1024,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
