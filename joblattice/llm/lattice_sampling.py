@@ -43,8 +43,9 @@ from pyspark.sql import DataFrame
 from . import textkit as tk
 
 SCHEMA = "key long, sample int, log_prob double, log_inclusion double, ids array<int>"
-_SLICE_CHARS = 4_000_000
+_SLICE_CHARS = 1_500_000
 _SLICE_ROWS = 4000
+_PREFIX = -2
 _FIXED = 2.0**32
 _LOADED: dict = {}
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -84,35 +85,41 @@ class Pieces:
         rank = np.arange(n, dtype=np.float64)
         weight = (-power * np.log(rank + shift)).astype(np.float32)
         weight[byte_ids] = weight.min()
-        points = np.frombuffer("".join(p for _, p in plain).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(p) for _, p in plain])
-        h = np.zeros(len(plain), np.uint64)
-        widths = np.array([len(p) for _, p in plain])
-        for j in range(int(widths.max())):
+        known = {p: i for i, p in plain}
+        longest = max(map(len, known))
+        for p in list(known):
+            for n in range(1, len(p)):
+                known.setdefault(p[:n], _PREFIX)
+        strings = list(known)
+        points = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+        widths = np.array([len(p) for p in strings])
+        starts = np.cumsum(widths) - widths
+        h = np.zeros(len(strings), np.uint64)
+        for j in range(longest):
             on = widths > j
-            h[on] = h[on] * _MUL + points[(ends - widths)[on] + j] + np.uint64(1)
+            h[on] = h[on] * _MUL + points[starts[on] + j] + np.uint64(1)
         h = tk.mix(h)
         bits = 21
         slot = (h >> np.uint64(64 - bits)).astype(np.int64)
         table, hashes = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
-        for s, v, (i, _) in zip(slot.tolist(), h.tolist(), plain, strict=True):
-            while table[s] >= 0:
+        for s, v, i in zip(slot.tolist(), h.tolist(), known.values(), strict=True):
+            while table[s] != -1:
                 s = (s + 1) & ((1 << bits) - 1)
             table[s], hashes[s] = i, v
-        _LOADED[path, power, shift] = cls(texts, int(widths.max()), table, hashes, weight, byte_ids, np.uint64(64 - bits))
+        _LOADED[path, power, shift] = cls(texts, longest, table, hashes, weight, byte_ids, np.uint64(64 - bits))
         return _LOADED[path, power, shift]
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of hashed strings, -1 where there is none."""
+        """Ids of hashed strings, ``_PREFIX`` for the beginnings of pieces that are none themselves, -1 for others."""
         at = (h >> self.shift).astype(np.int64)
         out = np.full(len(h), -1, np.int32)
         todo = np.arange(len(h))
         while len(todo):
             slot = at[todo]
             got = self.table[slot]
-            same = (got >= 0) & (self.hashes[slot] == h[todo])
+            same = (got != -1) & (self.hashes[slot] == h[todo])
             out[todo[same]] = got[same]
-            todo = todo[(got >= 0) & ~same]
+            todo = todo[(got != -1) & ~same]
             at[todo] = (at[todo] + 1) & (len(self.table) - 1)
         return out
 
@@ -171,9 +178,10 @@ class Lattices:
                 at, of = live, np.where(hit, ids, -1)
             found.append((at, of, count[at]))
             count[at] += 1
+            live = live[ids != -1]
         self.first = np.cumsum(count) - count
         m = int(count.sum())
-        self.node, self.length, self.piece = np.repeat(np.arange(n), count[:n]), np.zeros(m, np.int64), np.zeros(m, np.int32)
+        self.node, self.length, self.piece = np.repeat(np.arange(n, dtype=np.int32), count[:n]), np.zeros(m, np.int8), np.zeros(m, np.int32)
         for j, (at, of, rank) in enumerate(found):
             self.length[self.first[at] + rank] = j + 1
             self.piece[self.first[at] + rank] = of
@@ -347,10 +355,10 @@ class Search:
             kept += [path.edge[a : a + j], [edge]]
             # Each step lies in one run: runs wholly before the changed step are done, its own goes on behind it.
             lo, hi = self.words.bounds[i], self.words.bounds[i + 1]
-            passed = int(lat.length[path.edge[a : a + j]].sum())
+            passed = int(lat.length[path.edge[a : a + j]].sum(dtype=np.int64))
             done = lo + int(np.searchsorted(np.cumsum(self.end[lo:hi] - self.first[lo:hi]), passed, side="right"))
             first[lo:done] = self.end[lo:done]
-            first[done] = node + lat.length[edge]
+            first[done] = node + int(lat.length[edge])
         self.paths.append(self._finish(sample, value, first, np.concatenate(kept), upto))
 
     def ids(self, path: Paths, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
