@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -87,14 +87,19 @@ def _minwise(items: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return low
 
 
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set fingerprint, minwise values and one-bit sketch per document."""
+    """doc_id, k, n_shingles, set fingerprint, minwise values and one-bit sketch per document; ``k`` is a hash of id and text."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _multipliers()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            tk.give_back()
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 sets = shingle_sets(batch.column(1), width)
                 fp = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 sig = [_minwise(s, mul, add) if len(s) else np.zeros(COORDS, np.uint32) for s in sets]
@@ -102,11 +107,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 halves = bits.astype(np.uint8).view("<i8").reshape(-1, 2)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(n), pa.array(fp, pa.binary()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    names=["doc_id", "n_shingles", "fp", "sig", "s1", "s2"],
+                    [batch.column(0), batch.column(2), pa.array(n), pa.array(fp, pa.binary()), pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    names=["doc_id", "k", "n_shingles", "fp", "sig", "s1", "s2"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, fp binary, sig binary, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("k")).mapInArrow(sketch, "doc_id long, k long, n_shingles long, fp binary, sig binary, s1 long, s2 long")
 
 
 def _children(branches: int, roots: list[int] | None):
@@ -213,6 +218,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            tk.give_back()
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 keep = []
@@ -291,8 +297,29 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(pack, "fp binary, grams binary")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 2048, block_shingles: int = 500_000, **tree: float) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the smallest of its component) per document.
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, **options: float) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the smallest of its component) per document; options as in :func:`_grouped`."""
+    return _grouped(docs, width, percent, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, **options: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each group of similar texts stays.
+
+    It is one of the smallest doc_id (a null one counts as largest); of rows that
+    agree in doc_id and text one stays, whichever.  Rows without words are similar to
+    nothing and stay.
+    """
+    rows = written(_grouped(docs, width, percent, **options).select("doc_id", "k", "n_shingles", "fp", "root"), "grouped")
+    filled = rows.where("n_shingles > 0").withColumn("g", F.coalesce("root", "fp"))
+    first = filled.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k")).distinct()
+    blank = rows.where("n_shingles = 0").select(F.col("k").alias("_k")).distinct()
+    keyed = docs.withColumn("_k", _row_key())
+    stay = keyed.join(first, "_k", "left_semi").dropDuplicates(["_k"])
+    return stay.unionByName(keyed.join(blank, "_k", "left_semi")).select(*docs.columns)
+
+
+def _grouped(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 2048, block_shingles: int = 500_000, **tree: float) -> DataFrame:
+    """The rows of :func:`similar_groups` with k, fp and root, the fingerprint that stands for the group (null for a class on its own).
 
     ``block_rows`` and ``block_shingles`` bound a block of a large node, and so the memory of one task.
     """
@@ -328,15 +355,17 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, block_row
             groups = connected_components(links.union(rest))
     rooted = classes.select("fp", "rep", "copies").join(groups.withColumnRenamed("v", "fp"), "fp", "left")
     rooted = rooted.where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("fp", F.coalesce("root", "fp").alias("root"), "rep")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
-    out = rows.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "root", "component_id")
+    out = rows.select("doc_id", "k", "n_shingles", "fp").join(named, "fp", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), own.isNull()).alias("kept"))
+    return out.select("doc_id", "k", "n_shingles", "fp", "root", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), own.isNull()).alias("kept"))
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that share the doc_id ``rep`` of a class."""
-    return docs.select("doc_id", "text").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """The documents that share the doc_id ``rep`` of a class, null ones too."""
+    reps = classes.select(F.coalesce("rep", F.lit(-1)).alias("i"), F.col("rep").isNull().alias("none")).distinct()
+    keyed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("i"), F.col("doc_id").isNull().alias("none"))
+    return keyed.join(reps, ["i", "none"], "left_semi").select("text")
 
 
 def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
@@ -344,8 +373,9 @@ def _with_fingerprint(docs: DataFrame, width: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            tk.give_back()
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 fp = [xxhash.xxh3_128_digest(s.tobytes()) for s in shingle_sets(batch.column(0), width)]
                 yield pa.record_batch([pa.array(fp, pa.binary()), batch.column(0)], names=["fp", "text"])
 

@@ -47,7 +47,7 @@ ORDER = 5
 _BITS = 12
 _POINT = 21
 _PAD = "\x02" * (ORDER - 1)
-_CHARS = 1_000_000
+_CHARS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "[#*$%&|<>]"
@@ -201,6 +201,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tk.give_back()
             for lang, hi, lo, c in _distinct_grams(batch.column(0), tk.one_array(batch.column(1))):
                 yield pa.record_batch([pa.array([lang] * len(hi), pa.string()), pa.array(hi), pa.array(lo), pa.array(c, pa.int64())], names=["lang", "hi", "lo", "c"])
 
@@ -314,9 +315,9 @@ def sorted_arrays(model: DataFrame, ranges: int) -> DataFrame:
 def slices_of(docs: DataFrame, slices: int, carry: tuple[str, ...]) -> DataFrame:
     """(slice, part): the rows dealt by a hash of id and text; a part holds rows of one slice as a compressed Arrow stream.
 
-    A part's columns are doc_id, lang, text and the columns to carry, as c0, c1, ...
+    A part's columns are doc_id, lang, text and the other columns to carry, as c0, c1, ...
     """
-    along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    along = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != "text"]
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), _language(F.col("lang")).alias("lang"), "text", *along)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,6 +332,7 @@ def slices_of(docs: DataFrame, slices: int, carry: tuple[str, ...]) -> DataFrame
                     stream.write_batch(rows_of)
                 parts.append(sink.getvalue().to_pybytes())
             yield pa.record_batch([pa.array(names, pa.int64()), pa.array(parts, pa.binary())], names=["slice", "part"])
+            tk.give_back()
 
     return rows.mapInArrow(deal, "slice long, part binary")
 
@@ -349,6 +351,7 @@ def questions(parts: DataFrame, ranges: int, slices_at_once: int) -> DataFrame:
             some += [_hashes(lang, hi, lo) for lang, hi, lo, _ in _distinct_grams(batch.column("lang"), tk.one_array(batch.column("text")))]
             some = [np.unique(np.concatenate(some))]
         h, s = some[0], key[0].as_py()
+        tk.give_back()
         r = _range_of(h, ranges)
         cuts = np.flatnonzero(np.diff(r)) + 1
         pieces = np.split(h, cuts) if len(h) else []
@@ -401,8 +404,9 @@ def _score(langs: pa.Array, texts: pa.Array, h: np.ndarray, p: np.ndarray) -> tu
     return n, total, squares
 
 
-def scored(parts: DataFrame, answered: DataFrame, schema: str) -> DataFrame:
+def scored(parts: DataFrame, answered: DataFrame, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows of each slice with base statistics and sums of log probabilities."""
+    along = ["text" if c == "text" else f"c{i}" for i, c in enumerate(carry)]
 
     def score(rows, known):
         known = known.sort_by("r")
@@ -413,8 +417,9 @@ def scored(parts: DataFrame, answered: DataFrame, schema: str) -> DataFrame:
             texts = tk.one_array(batch.column("text"))
             base = [pa.chunked_array(c) for c in zip(*[base_statistics(texts.slice(a, b - a)) for a, b in _portions(texts)], strict=True)]
             sums = [pa.array(x) for x in _score(batch.column("lang"), texts, h, p)]
-            names = [c for c in batch.schema.names if c not in ("slice", "text")]
-            out.append(pa.table([*[batch.column(c) for c in names], *base, *sums], names=[*names, *[c.split()[0] for c in SCORE_SCHEMA.split(", ")]]))
+            cols = [*[batch.column(c) for c in ("doc_id", "lang", *along)], *base, *sums]
+            out.append(pa.table(cols, names=["doc_id", "lang", *[f"c{i}" for i in range(len(along))], *[c.split()[0] for c in SCORE_SCHEMA.split(", ")]]))
+            tk.give_back()
         return pa.concat_tables(out)
 
     return parts.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(score, schema)
@@ -467,7 +472,7 @@ def judge(
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
     schema = ", ".join(["doc_id long, lang string", *[f"c{i} {k}" for i, k in enumerate(kinds)], SCORE_SCHEMA])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = written(scored(parts, answered, schema).withColumn("base_failed", failed), "scores")
+    rows = written(scored(parts, answered, schema, carry).withColumn("base_failed", failed), "scores")
     forget(arrays)
     mean = F.col("log_sum") / F.nullif(F.col("n_scored"), F.lit(0))
     off = mean - F.col("centre")

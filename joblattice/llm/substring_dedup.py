@@ -163,7 +163,7 @@ def merge_join(runs: DataFrame) -> DataFrame:
 def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, with_text: bool) -> DataFrame:
     """Marks applied to the batches; columns besides rank, doc_id and text are carried along."""
     schema = RESULT_SCHEMA + (", kept_text string" if with_text else "")
-    carried = [f for f in batches.schema.fields if f.name not in ("rank", "doc_id", "text")]
+    carried = [f for f in batches.schema.fields if f.name not in ("rank", "doc_id", "text")]  # c0, c1, ...
     names = [f.split()[0] for f in schema.split(", ")] + [f.name for f in carried]
     schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
 
@@ -204,13 +204,15 @@ def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 16 << 20, wit
     A word goes if a window of ``width`` words that covers it also starts in a
     document with a smaller doc_id.  Returns doc_id, n_words, n_removed and
     kept_sha256 (and kept_text: the text itself where nothing goes): the kept
-    words, joined by one space; and the columns named in ``carry``.
+    words, joined by one space; and the columns named in ``carry``, under their names with ``carried_``.
     ``run_bytes`` bounds the text of one run, and so the memory of one task.
     """
-    docs = docs.select("doc_id", "text", *carry)
+    along = {f"c{i}": c for i, c in enumerate(carry)}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(n) for n, c in along.items()])
     rank, _, bits = plan_ranges(docs, run_bytes)
-    batches = docs.select(rank.alias("rank"), "doc_id", "text", *carry)
-    return _drop_repeats(batches, merge_join(runs_of(batches, width, bits)), width, bits, with_text)
+    batches = docs.select(rank.alias("rank"), "doc_id", "text", *along)
+    out = _drop_repeats(batches, merge_join(runs_of(batches, width, bits)), width, bits, with_text)
+    return out.withColumnsRenamed({n: f"carried_{c}" for n, c in along.items()})
 
 
 def append_batch(index_path: str, docs: DataFrame, width: int = 13, bits: int = 6, with_text: bool = False) -> DataFrame:

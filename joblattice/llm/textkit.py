@@ -5,6 +5,7 @@ A word is a maximal run of characters outside ``\\x20`` and ``\\x09-\\x0D``.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -38,6 +40,13 @@ class Words:
         return vocab_hashes(self.vocab, seed)[self.ids]
 
 
+def give_back() -> None:
+    """Hand memory that numpy and Arrow have freed back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def one_array(column) -> pa.Array:
     """A column as a single plain string array, null as empty."""
     if isinstance(column, pa.ChunkedArray):
