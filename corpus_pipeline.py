@@ -1,7 +1,9 @@
 """A corpus pipeline of four stages over the documents table.
 
 Each stage takes what its predecessor kept.  The first three return the columns
-of documents, the last one the packed pieces.
+of documents, the last one the packed pieces.  In every stage an empty table gives
+an empty result, columns besides doc_id, text, lang and n_chars are carried along
+whatever their names, and null or repeated ids stand for rows of their own.
 """
 
 from __future__ import annotations
@@ -14,27 +16,25 @@ from joblattice.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the perplexity bands reject."""
+    """Documents that neither the base rules nor the perplexity bands reject; null texts are rejected."""
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8."""
-    groups = near_dedup.similar_groups(docs, width=5, percent=80)
-    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8; texts without words stay."""
+    return near_dedup.one_of_each(docs, width=5, percent=80)
 
 
 def substring_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 13 words or more that a smaller document already has."""
+    """Texts without the passages of 13 words or more that a smaller document already has; a null text becomes empty."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     rows = substring_dedup.deduplicate(docs, width=13, with_text=True, carry=carry)
-    text = F.col("kept_text").alias("text")
-    made = {"text": text, "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
-    return rows.select(*[made.get(c, F.col(c)) for c in docs.columns])
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return rows.select(*[(made[c] if c in made else F.col(f"carried_{c}")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' token pieces in sequences of 2048."""
+    """The kept documents' token pieces in sequences of 2048; an empty text is its end id alone."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), length=2048, end_id=1)
 
 
