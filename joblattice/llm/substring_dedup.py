@@ -129,8 +129,8 @@ def runs_of(batches: DataFrame, width: int, bits: int) -> DataFrame:
     """The index rows of batches (columns rank, doc_id, text): one run per rank."""
 
     def build(key, table):
-        batch = _Batch(table, width)
-        return pa.Table.from_batches([_run_rows(batch, key[0].as_py(), bits)])
+        tk.give_back()
+        return pa.Table.from_batches([_run_rows(_Batch(table, width), key[0].as_py(), bits)])
 
     return batches.groupBy("rank").applyInArrow(build, RUN_SCHEMA)
 
@@ -139,6 +139,7 @@ def merge_join(runs: DataFrame) -> DataFrame:
     """For each run and bucket, a bit per hash: does a run of lower rank hold it?"""
 
     def merge(key, table):
+        tk.give_back()
         table = table.sort_by("rank")
         ranks = table.column("rank").to_pylist()
         parts = [_unpack(b) for b in table.column("hashes").to_pylist()]
@@ -171,6 +172,7 @@ def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, wi
         if not docs.num_rows:
             kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string()}
             return pa.table({c: pa.array([], kinds[c] if c in kinds else docs.column(c).type) for c in names})
+        tk.give_back()
         batch = _Batch(docs, width)
         known = dict(zip(marks.column("bucket").to_pylist(), marks.column("seen").to_pylist(), strict=True))
         old = np.zeros(len(batch.unique), bool)
@@ -198,7 +200,7 @@ def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, wi
     return batches.groupBy("rank").cogroup(seen.groupBy("rank")).applyInArrow(apply, schema)
 
 
-def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 16 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 8 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Bulk load: each document without the words that a smaller document already has.
 
     A word goes if a window of ``width`` words that covers it also starts in a
@@ -232,7 +234,7 @@ def append_batch(index_path: str, docs: DataFrame, width: int = 13, bits: int =
         history, top = spark.createDataFrame([], RUN_SCHEMA), None
     base = 0 if top is None else top + 1
     docs = docs.select("doc_id", "text")
-    rank, n, _ = plan_ranges(docs, 16 << 20)
+    rank, n, _ = plan_ranges(docs, 8 << 20)
     batches = docs.select((rank + base).alias("rank"), "doc_id", "text")
     new = runs_of(batches, width, bits)
     marks = merge_join(history.unionByName(new)).where(F.col("rank") >= base)
