@@ -115,7 +115,12 @@ def substring_only(needle: Column, text: Column) -> Column:
 
 
 # Words of a company's legal form.
-CORPORATE = "pty ltd limited inc incorporated corp corporation company co plc llc llp group holdings gmbh ag sa nv bv australia international".split()
+CORPORATE = (
+    "group groups holdings holding ltd limited plc pty inc incorporated corp corporation company co the "
+    "international global shared services service solutions operations business support centre center and of "
+    "bank banking insurance philippines philippine malaysia malaysian australia australian asia pacific apac "
+    "sdn bhd berhad nv sa ag llc llp"
+).split()
 
 
 def advertiser_matches(advertiser: Column, employer: Column, aliases: list[str] = ()) -> Column:
@@ -197,18 +202,30 @@ def search_phrases(name: Column, brands: Column) -> Column:
 
 
 # Words of rank in a job's title.
-SENIORITY = "senior junior lead principal graduate entry level mid chief head assistant associate trainee casual temporary contract permanent".split()
+SENIORITY = "senior principal lead junior assistant graduate trainee".split()
 
 
 def title_head(title: Column) -> Column:
     """The title before its first separator, without words of rank, normalised."""
-    head = F.get(F.split(title, r"[,\-–(|/]"), F.lit(0))
-    words = F.filter(F.split(norm(head), " "), lambda w: ~w.isin(SENIORITY) & (w != ""))
-    return F.array_join(words, " ")
+    head = F.get(F.split(F.replace(title, F.lit("&amp;"), F.lit("&")), r"[,\-–(|/]"), F.lit(0))
+    bare = F.regexp_replace(F.lower(head), r"\b(" + "|".join(SENIORITY) + r")\b", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9 ]+", " "), " +", " "))
 
 
 # Words that carry no meaning for matching.
-STOPWORDS = "the and for with from this that these those its their our your are was were been being will would can could should not nor such other any all each both few more most some many much very also per via within without across between about above below during after before while when where which who what how why use used using new various one two three".split()
+STOPWORDS = (
+    "a an the and or of to in for on with at by from as is are be been being this that these those it its "
+    "their his her our your my we you they he she i us them then than there here into over under out up down off "
+    "will would can could should may might must shall not no nor so such other others any all each both few more most "
+    "some many much very also both either neither per via within without across between about above below during "
+    "after before while when where which who whom whose what how why use used uses using including include includes "
+    "included based provide provides provided providing perform performs performed performing work works working "
+    "worked activities duty duties task tasks ensure ensures ensured ensuring determine determines identify identifies "
+    "maintain maintains prepare prepares develop develops operate operates conduct conducts new various related "
+    "appropriate necessary etc may due able make makes made take takes given follow follows following record records "
+    "report reports process processes procedure procedures general standard standards "
+    "required requires requiring order orders one two three"
+).split()
 
 
 def stem(w: Column) -> Column:

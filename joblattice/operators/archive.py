@@ -132,5 +132,7 @@ def aged_listings(seen: DataFrame, as_of: date, days: int = 4, cap: int = 80) ->
 def filled_from(fresh: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Stored rows with the fresh row's fields where these aren't empty; an empty fresh sample changes nothing."""
     f, s = fresh.alias("f"), stored.alias("s")
-    cols = [F.coalesce(F.nullif(F.col(f"f.{c}").cast("string"), F.lit("")), F.col(f"s.{c}").cast("string")).cast(stored.schema[c].dataType).alias(c) for c in stored.columns if c != key]
+    text = lambda c: fresh.schema[c].dataType.simpleString() == "string"
+    new = lambda c: F.nullif(F.trim(f"f.{c}"), F.lit("")) if text(c) else F.col(f"f.{c}")
+    cols = [F.coalesce(new(c), F.col(f"s.{c}")).cast(stored.schema[c].dataType).alias(c) for c in stored.columns if c != key]
     return s.join(f, key, "full_outer").select(key, *cols)

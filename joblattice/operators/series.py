@@ -48,8 +48,8 @@ def carry_forward(value: Column, keys: list[str], order: str) -> Column:
 def hold_rounds(rounds: DataFrame, months: DataFrame, panel: str = "panel") -> DataFrame:
     """Survey rounds (panel, start, value) held from their start until the panel's next round begins."""
     following = F.lead("start").over(Window.partitionBy(panel).orderBy("start"))
-    last = months.agg(F.max("month")).first()[0]
-    held = rounds.withColumn("until", F.coalesce(F.add_months(following, -1), F.lit(last)))
+    last = months.agg(F.max("month").alias("last"))
+    held = rounds.withColumn("next", following).join(F.broadcast(last)).withColumn("until", F.coalesce(F.add_months("next", -1), F.col("last")))  # one row
     return held.where(F.col("start") <= F.col("until")).select(panel, "value", F.explode(F.expr("sequence(start, until, interval 1 month)")).alias("month"))
 
 
@@ -92,6 +92,24 @@ def lag_change(value: Column, keys: list[str], order: str, steps: int, start: Co
     return F.when(fits, half_up((value - base) / base * 100, 1))
 
 
+def on_month_axis(points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every key (keys, month, value) on all months from the first to the last of the table; nought where nothing was counted.
+
+    The axis has one row per month, so it is small whatever the table's size.
+    """
+    axis = points.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    grid = points.select(*keys).distinct().join(F.broadcast(axis))
+    return grid.join(points, [*keys, "month"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+
+
+def trailing_change(value: Column, keys: list[str], order: str, steps: int = 12) -> Column:
+    """Change in percent against ``steps`` before, or against the first point where there are fewer; 0 where the base isn't positive."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    first = F.first(value).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    base = F.coalesce(F.lag(value, steps).over(by), first)
+    return F.when(base > 0, half_up((value - base) / base * 100, 1)).otherwise(0.0)
+
+
 def with_share(rows: DataFrame, group: list[str], weight: Column, floor: float = 1.0) -> DataFrame:
     """Each row's share of its group's weights, a weight counting at least ``floor``."""
     w = F.greatest(weight, F.lit(floor))

@@ -59,6 +59,18 @@ def banded(x: Column, edges: list[tuple[str, float]]) -> Column:
     return found
 
 
+def scaled(x: Column, *keys: str) -> Column:
+    """Where x lies between its group's least and largest value, 0 to 1; 0.5 where they are equal."""
+    by = Window.partitionBy(*keys)
+    least, most = F.min(x).over(by), F.max(x).over(by)
+    return F.when(most > least, (x - least) / (most - least)).when(most == least, 0.5)
+
+
+def per_head(millions: Column, heads: Column) -> Column:
+    """A figure in millions per employee, to two decimals; null without employees."""
+    return F.when(heads > 0, half_up(millions * 1_000_000 / heads, 2))
+
+
 def share_percent(n: Column, *keys: str) -> Column:
     """Share of the group's sum in whole percent, at least 1."""
     return F.greatest(F.lit(1), half_up(100 * n / F.sum(n).over(Window.partitionBy(*keys))).cast("long"))

@@ -66,17 +66,31 @@ def demand_band(spark, sf_dir):
     return m.join(F.broadcast(cuts)).select("skill", "month", "v", band.alias("band"))
 
 
-@query(f"""WITH {MONTHLY}, l AS (SELECT *, lag(v, 12) OVER w AS y1, lag(v, 60) OVER w AS y5 FROM monthly WINDOW w AS (PARTITION BY skill ORDER BY month)),
-p AS (SELECT skill, month AS peak_month, v AS peak FROM monthly QUALIFY row_number() OVER (PARTITION BY skill ORDER BY v DESC, month) = 1)
+_AXIS = MONTHLY + ", axis AS (SELECT CAST(d AS DATE) AS month FROM range((SELECT min(month) FROM monthly), (SELECT max(month) + INTERVAL 1 DAY FROM monthly), INTERVAL 1 MONTH) AS r(d)), full_m AS (SELECT k.skill, axis.month, coalesce(m.v, 0)::BIGINT AS v FROM (SELECT DISTINCT skill FROM monthly) k CROSS JOIN axis LEFT JOIN monthly m ON m.skill = k.skill AND m.month = axis.month)"
+
+
+def _full_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.on_month_axis(monthly(spark, sf_dir), ["skill"], "v")
+
+
+@query(f"""WITH {_AXIS}, l AS (SELECT x.*, b.v AS y1, c.v AS y5 FROM full_m x LEFT JOIN full_m b ON b.skill = x.skill AND b.month = x.month - INTERVAL 12 MONTH LEFT JOIN full_m c ON c.skill = x.skill AND c.month = x.month - INTERVAL 60 MONTH),
+p AS (SELECT skill, month AS peak_month, v AS peak FROM full_m QUALIFY row_number() OVER (PARTITION BY skill ORDER BY v DESC, month) = 1)
 SELECT skill, month, v, CASE WHEN y1 > 0 THEN floor((v - y1) / y1 * 1000 + 0.5) / 10 END AS yoy, CASE WHEN y5 > 0 THEN floor((v - y5) / y5 * 1000 + 0.5) / 10 END AS five_year, peak_month, peak
-FROM l JOIN p USING (skill) QUALIFY row_number() OVER (PARTITION BY skill ORDER BY month DESC) = 1""", days="month peak_month")
+FROM l JOIN p USING (skill) WHERE month = (SELECT max(month) FROM monthly)""", days="month peak_month")
 def yoy_five_year_peak(spark, sf_dir):
-    """The latest month of each skill against one and five years before, and the first month of its peak."""
-    m = monthly(spark, sf_dir)
+    """The latest month of each skill against 12 and 60 months before, whatever months hold no advertisement, and the first month of its peak."""
+    m = _full_months(spark, sf_dir)
     v, by = F.col("v"), Window.partitionBy("skill")
-    marked = m.select("*", series.lag_change(v, ["skill"], "month", 12).alias("yoy"), series.lag_change(v, ["skill"], "month", 60).alias("five_year"), F.row_number().over(by.orderBy(F.desc("month"))).alias("i"))
-    peak = m.groupBy("skill").agg(F.max("v").alias("peak"), F.min_by("month", F.struct(-F.col("v"), F.col("month"))).alias("peak_month"))
-    return marked.where("i = 1").drop("i").join(peak, "skill")
+    peak = F.max(F.struct("v", -F.unix_date("month"), "month")).over(by)
+    marked = m.select("*", series.lag_change(v, ["skill"], "month", 12).alias("yoy"), series.lag_change(v, ["skill"], "month", 60).alias("five_year"), F.max("month").over(by).alias("latest"), peak.alias("p"))
+    return marked.where("month = latest").select("skill", "month", "v", "yoy", "five_year", F.col("p.month").alias("peak_month"), F.col("p.v").alias("peak"))
+
+
+@query(f"""WITH {_AXIS}, l AS (SELECT *, coalesce(lag(v, 12) OVER w, first_value(v) OVER w) AS b FROM full_m WINDOW w AS (PARTITION BY skill ORDER BY month))
+SELECT skill, month, CASE WHEN b > 0 THEN floor((v - b) / b * 1000 + 0.5) / 10 ELSE 0 END AS pct FROM l""", days="month")
+def trailing_change(spark, sf_dir):
+    """Each month against twelve before, or against the first month of all where there are fewer."""
+    return _full_months(spark, sf_dir).select("skill", "month", series.trailing_change(F.col("v"), ["skill"], "month").alias("pct"))
 
 
 @query(f"WITH {CUBE}, s AS (SELECT skill, month, sum(v)::BIGINT AS v FROM cube WHERE place IN ('CHINA', 'INDIA', 'JAPAN', 'FRANCE', 'GERMANY', 'NATION_1', 'NATION_2', 'NATION_3') OR place LIKE '%1%' GROUP BY ALL) SELECT skill, month, v FROM s QUALIFY row_number() OVER (PARTITION BY skill ORDER BY month DESC) = 1 AND v >= 3 ORDER BY v DESC, skill LIMIT 12", days="month")
@@ -141,16 +155,23 @@ def popular_skills(spark, sf_dir):
     return j.select("skill", half_up(series.own_maximum(F.col("v")) + 1.25 * series.own_maximum(F.col("e")), 3).alias("score"))
 
 
-@query(f"""WITH {MONTHLY}, l AS (SELECT *, lag(v, 3) OVER (PARTITION BY skill ORDER BY month) AS b FROM monthly), c AS (SELECT skill, month, v, (v - b) * 100.0 / b AS pct FROM l WHERE b > 0)
+@query(f"""WITH {_AXIS}, l AS (SELECT x.*, b.v AS b FROM full_m x JOIN full_m b ON b.skill = x.skill AND b.month = x.month - INTERVAL 3 MONTH), c AS (SELECT skill, month, v, (v - b) * 100.0 / b AS pct FROM l WHERE b > 0)
 SELECT skill, month, floor(pct * 10 + 0.5) / 10 AS pct, CASE WHEN abs(pct) <= 0.35 THEN 'flat' WHEN pct > 0 THEN 'up' ELSE 'down' END AS direction FROM c""", days="month")
 def skill_card_change(spark, sf_dir):
-    """Change over three months with a flat band of 0.35 percent."""
+    """Change over three months, counted on the calendar, with a flat band of 0.35 percent."""
     b = F.lag("v", 3).over(Window.partitionBy("skill").orderBy("month"))
-    c = monthly(spark, sf_dir).withColumn("b", b).where("b > 0").withColumn("pct", (F.col("v") - F.col("b")) * 100 / F.col("b"))
+    c = _full_months(spark, sf_dir).withColumn("b", b).where("b > 0").withColumn("pct", (F.col("v") - F.col("b")) * 100 / F.col("b"))
     direction = F.when(F.abs("pct") <= 0.35, "flat").when(F.col("pct") > 0, "up").otherwise("down")
     return c.select("skill", "month", half_up(F.col("pct"), 1).alias("pct"), direction.alias("direction"))
 
 
+@query(f"""{_FEEDS.replace("WITH ads", "WITH ads")}, r AS (SELECT hub, n, floor((n - lo) / nullif(hi - lo, 0)::DOUBLE * 1000 + 0.5) / 1000 AS s FROM feeds, (SELECT min(n) AS lo, max(n) AS hi FROM feeds)) SELECT hub, n, coalesce(s, 0.5) AS position, floor(n * 1000000 / 7.0 * 100 + 0.5) / 100 AS per_head FROM r""")
+def radar_positions(spark, sf_dir):
+    """Where each hub lies between the least and the largest, and a ratio per head."""
+    f = _feeds(spark, sf_dir).select("hub", "n")
+    return f.select("hub", "n", half_up(stats.scaled(F.col("n")), 3).alias("position"), stats.per_head(F.col("n"), F.lit(7.0)).alias("per_head"))
+
+
 @query(f"""WITH {ADS}, c AS (SELECT company_id, any_value(country) AS country, avg(salary) AS pay, count(*)::DOUBLE AS roles FROM ads GROUP BY company_id), b AS (SELECT country, avg(nullif(pay, 0)) AS pay_b, avg(nullif(roles, 0)) AS roles_b FROM c GROUP BY country)
 SELECT company_id, CASE WHEN abs(floor(1000 * (pay - pay_b) / pay_b + 0.5) / 10) < 0.5 THEN 0.0 ELSE floor(1000 * (pay - pay_b) / pay_b + 0.5) / 10 END AS pay_gap, CASE WHEN abs(floor(1000 * (roles - roles_b) / roles_b + 0.5) / 10) < 0.5 THEN 0.0 ELSE floor(1000 * (roles - roles_b) / roles_b + 0.5) / 10 END AS roles_gap,
   floor(100.0 * (rank() OVER (PARTITION BY country ORDER BY roles) - 1) / count(*) OVER (PARTITION BY country) + 0.5)::BIGINT AS percentile FROM c JOIN b USING (country)""")

@@ -68,7 +68,7 @@ SELECT skill, now_n, prev_n, now_n - prev_n AS delta, CASE WHEN prev_n = 0 THEN
 FROM c WHERE now_n + prev_n > 0 ORDER BY abs(now_n - prev_n) DESC, delta DESC, skill LIMIT 8""")
 def skill_movers(spark, sf_dir):
     """New advertisements of 30 days against the 30 before (they share the boundary day); the eight largest moves."""
-    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds()))
+    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds() & F.col("first_seen").between(F.lit(_back(60)), F.lit(AS_OF))))
     c = rows.groupBy("skill").agg(count_between("first_seen", _back(30), AS_OF).alias("now_n"), count_between("first_seen", _back(60), _back(30)).alias("prev_n")).where("now_n + prev_n > 0")
     delta = F.col("now_n") - F.col("prev_n")
     pct = F.when(F.col("prev_n") == 0, 100.0).otherwise(half_up(100 * delta / F.col("prev_n"), 1))
@@ -81,11 +81,10 @@ SELECT skill, w, now_n, prev_n, least(greatest(CASE WHEN prev_n = 0 THEN 100.0 E
 FROM c WHERE now_n + prev_n >= 3 QUALIFY row_number() OVER (PARTITION BY w ORDER BY abs(now_n - prev_n) DESC, abs(pct) DESC, skill) <= 16""")
 def market_ticker(spark, sf_dir):
     """Movers of 1, 7 and 30 days: at least three advertisements in both windows, changes clamped, sixteen each."""
-    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds() & (F.col("first_seen") <= F.lit(AS_OF))))
-    parts = None
-    for w in (1, 7, 30):
-        c = rows.groupBy("skill").agg(count_between("first_seen", _back(w - 1), AS_OF).alias("now_n"), count_between("first_seen", _back(2 * w - 1), _back(w)).alias("prev_n")).withColumn("w", F.lit(w))
-        parts = c if parts is None else parts.unionByName(c)
+    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds() & F.col("first_seen").between(F.lit(_back(59)), F.lit(AS_OF))))
+    counts = [c.alias(f"{side}{w}") for w in (1, 7, 30) for side, c in (("now", count_between("first_seen", _back(w - 1), AS_OF)), ("prev", count_between("first_seen", _back(2 * w - 1), _back(w))))]
+    wide = rows.groupBy("skill").agg(*counts)
+    parts = wide.select("skill", F.expr("stack(3, 1, now1, prev1, 7, now7, prev7, 30, now30, prev30) AS (w, now_n, prev_n)"))
     delta = F.col("now_n") - F.col("prev_n")
     pct = clamp(F.when(F.col("prev_n") == 0, 100.0).otherwise(half_up(100 * delta / F.col("prev_n"), 1)), -16.0, 24.0)
     return stats.rank_within(parts.where("now_n + prev_n >= 3").withColumn("pct", pct), ["w"], [F.desc(F.abs(delta)), F.desc(F.abs("pct")), F.asc("skill")], 16).drop("place")
@@ -99,7 +98,7 @@ SELECT * FROM (SELECT *, 'up' AS side, row_number() OVER (ORDER BY pct DESC, ski
 UNION ALL SELECT * FROM (SELECT *, 'down' AS side, row_number() OVER (ORDER BY pct, skill) AS place FROM m WHERE pct <= -0.5) WHERE place <= 6""")
 def market_risers_fallers(spark, sf_dir):
     """Mean daily level of 30 days against the 30 before: six skills that rose most, six that fell most."""
-    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds()))
+    rows = exploded(ads(spark, sf_dir).where(archive.live_feeds() & (F.col("last_seen") >= F.lit(_back(59))) & (F.col("first_seen") <= F.lit(AS_OF))))
     level = lambda a, b: F.sum(series.overlap_days(a, b)) / 30.0
     c = rows.groupBy("skill").agg(level(_back(29), AS_OF).alias("now_level"), level(_back(59), _back(30)).alias("prev_level")).where("now_level >= 3 AND prev_level >= 3")
     m = c.withColumn("pct", half_up(100 * (F.col("now_level") - F.col("prev_level")) / F.col("prev_level"), 1))
@@ -141,14 +140,17 @@ def priced_median_of_medians(spark, sf_dir):
     return stats.median_of_medians(exploded(_live(spark, sf_dir)), ["skill"], "country", "salary")
 
 
-@query(f"""WITH {ADS}, pts AS (SELECT category, CAST(d AS DATE) AS day, count(job_key) AS n FROM range(DATE '2001-07-02', DATE '2001-08-01', INTERVAL 1 DAY) AS r(d) JOIN ads ON first_seen <= d AND last_seen >= d GROUP BY ALL),
+@query(f"""WITH {ADS}, pts AS (SELECT k.category, CAST(d AS DATE) AS day, count(job_key) AS n FROM range(DATE '2001-07-02', DATE '2001-08-01', INTERVAL 1 DAY) AS r(d) CROSS JOIN (SELECT DISTINCT category FROM ads WHERE first_seen <= DATE '2001-07-31' AND last_seen >= DATE '2001-07-02') k LEFT JOIN ads ON first_seen <= d AND last_seen >= d AND ads.category = k.category GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day) AS i, count(*) OVER (PARTITION BY category) AS k FROM pts),
 m AS (SELECT category, max(k) AS n_points, avg(n) FILTER (i <= k // 2) AS a, avg(n) FILTER (i > k - k // 2) AS b FROM p GROUP BY category)
 SELECT category, n_points, CASE WHEN n_points >= 5 AND a > 0 THEN floor((b - a) / a * 100 * 10 + 0.5) / 10 END AS pct FROM m""")
 def half_window_change(spark, sf_dir):
+    """First against last half of thirty days; a day without advertisements counts as nought."""
     rows = ads(spark, sf_dir).where(archive.live_feeds())
     daily = series.live_days(rows, _back(29), AS_OF).groupBy("category", "day").agg(F.count(F.lit(1)).alias("n"))
-    return series.half_window_change(daily, ["category"], "day", "n")
+    grid = daily.select("category").distinct().join(F.broadcast(series.calendar(spark, _back(29), AS_OF)))  # thirty rows
+    full = grid.join(daily, ["category", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return series.half_window_change(full, ["category"], "day", "n")
 
 
 @query(f"""{SKILLS}, live AS (SELECT * FROM ex WHERE first_seen <= DATE '2001-07-31' AND last_seen >= DATE '2001-07-31')

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import archive, stats
+from ..operators import archive, roster
 from .fixture import ADS, AS_OF, LIVE, ads
 from .registry import query
 
@@ -60,12 +60,10 @@ def skill_remap(spark, sf_dir):
 r AS (SELECT DISTINCT s_name AS roster, string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS rt FROM supplier), a AS (SELECT DISTINCT replace(company, 'Customer', 'Supplier') AS advertiser, string_split(replace(c, 'customer', 'supplier'), ' ') AS wt FROM n)
 SELECT advertiser, roster FROM a JOIN r ON wt[1] = rt[1] WHERE wt[1:least(len(wt), len(rt))] = rt[1:least(len(wt), len(rt))]""")
 def attribution_token_prefix(spark, sf_dir):
-    """Advertisers and roster names where one begins the other: joined on the first word, then verified."""
-    a = _live(spark, sf_dir).select(F.regexp_replace("company", "Customer", "Supplier").alias("advertiser")).distinct()
-    r = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("roster")).distinct()
-    first = lambda c: F.split_part(tx.norm(F.col(c)), F.lit(" "), F.lit(1))
-    joined = a.withColumn("k", first("advertiser")).join(r.withColumn("k", first("roster")), "k")
-    return joined.where(tx.same_company(F.col("advertiser"), F.col("roster"))).select("advertiser", "roster")
+    """Advertisers and roster names where one's words begin the other: joined on the words a name begins with."""
+    a = _live(spark, sf_dir).select(F.regexp_replace("company", "Customer", "Supplier").alias("a"))
+    r = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("b"))
+    return roster.same_name_pairs(a, r).select(F.col("a").alias("advertiser"), F.col("b").alias("roster"))
 
 
 @query(f"""WITH {ADS}, d AS (SELECT source, first_seen AS day, count(*) AS n, avg((company_id % 3 = 0)::INT) AS filled FROM ads WHERE first_seen <= DATE '2001-07-31' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS i FROM d),
@@ -79,14 +77,48 @@ def field_regression(spark, sf_dir):
     return p.where("i = 1").join(b, "source").select("source", "day", r("filled").alias("filled"), r("usual").alias("usual"), F.when(F.col("filled") < 0.5 * F.col("usual"), "FIELD REGRESSION").otherwise("ok").alias("finding"))
 
 
+# When a latest day's volume is critical or worth a warning, the least usual volume and days of history.
+CRITICAL, WARN, LEAST_USUAL, LEAST_DAYS = 0.25, 0.55, 20, 5
+
+
+@query(f"""WITH {ADS}, e AS (SELECT source || '/' || hub AS source, company_id, first_seen FROM ads WHERE first_seen <= DATE '2001-07-31'), d AS (SELECT source, first_seen AS day, count(*) AS n FROM e GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS i, count(*) OVER (PARTITION BY source) AS days FROM d), b AS (SELECT source, median(n) AS usual FROM p WHERE i BETWEEN 2 AND 15 GROUP BY source),
+x AS (SELECT source || '/' || hub AS source FROM ads UNION SELECT 'expected/none')
+SELECT x.source, p.day, p.n, b.usual, CASE WHEN p.day IS NULL THEN 'NO ROWS' WHEN datediff('day', p.day, DATE '2001-07-31') >= 3 THEN 'STALE' WHEN days >= 5 AND usual >= {LEAST_USUAL / 10} AND p.n / usual < 0.25 THEN 'VOLUME COLLAPSE' WHEN days >= 5 AND usual >= {LEAST_USUAL / 10} AND p.n / usual < 0.55 THEN 'VOLUME DROP' ELSE 'ok' END AS finding,
+  CASE WHEN p.day IS NULL OR datediff('day', p.day, DATE '2001-07-31') > 3 THEN 'CRITICAL' WHEN datediff('day', p.day, DATE '2001-07-31') = 3 THEN 'WARN' WHEN days >= 5 AND usual >= {LEAST_USUAL / 10} AND p.n / usual < 0.25 THEN 'CRITICAL' WHEN days >= 5 AND usual >= {LEAST_USUAL / 10} AND p.n / usual < 0.55 THEN 'WARN' ELSE '' END AS level
+FROM x LEFT JOIN (SELECT * FROM p WHERE i = 1) p USING (source) LEFT JOIN b USING (source)""", days="day")
+def source_health(spark, sf_dir):
+    """Each feed of a place: without rows, stale, or with a latest day far under its usual volume, with levels.
+
+    The test tables' feeds are small, so a tenth of the least usual volume is asked of them.
+    """
+    rows = ads(spark, sf_dir).withColumn("source", F.concat_ws("/", "source", "hub"))
+    expected = rows.select("source").union(spark.createDataFrame([("expected/none",)], "source string")).distinct()
+    return feed_health(rows.where(F.col("first_seen") <= F.lit(AS_OF)), expected, AS_OF, 3, LEAST_USUAL / 10)
+
+
+def feed_health(rows: DataFrame, expected: DataFrame, as_of, allowed_days: int, least_usual: float = LEAST_USUAL) -> DataFrame:
+    """(source, day, n, usual, finding, level) per expected source, from rows of source and first_seen."""
+    d = rows.groupBy("source", F.col("first_seen").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("source")
+    p = d.withColumn("i", F.row_number().over(by.orderBy(F.desc("day")))).withColumn("days", F.count(F.lit(1)).over(by)).where("i <= 15")
+    latest = p.groupBy("source").agg(F.max(F.when(F.col("i") == 1, F.col("day"))).alias("day"), F.max(F.when(F.col("i") == 1, F.col("n"))).alias("n"), F.median(F.when(F.col("i") > 1, F.col("n"))).alias("usual"), F.max("days").alias("days"))
+    age = F.datediff(F.lit(as_of), "day")
+    judged = (F.col("days") >= LEAST_DAYS) & (F.col("usual") >= least_usual)
+    share = F.col("n") / F.col("usual")
+    finding = F.when(F.col("day").isNull(), "NO ROWS").when(age >= allowed_days, "STALE").when(judged & (share < CRITICAL), "VOLUME COLLAPSE").when(judged & (share < WARN), "VOLUME DROP").otherwise("ok")
+    level = F.when(F.col("day").isNull() | (age > allowed_days), "CRITICAL").when(age == allowed_days, "WARN").when(judged & (share < CRITICAL), "CRITICAL").when(judged & (share < WARN), "WARN").otherwise("")
+    return expected.join(latest, "source", "left").select("source", "day", "n", "usual", finding.alias("finding"), level.alias("level"))
+
+
 @query(f"""WITH {ADS}, d AS (SELECT source, first_seen AS day, count(*) AS n FROM ads WHERE first_seen <= DATE '2001-07-31' GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) AS i FROM d), b AS (SELECT source, median(n) AS usual FROM p WHERE i BETWEEN 2 AND 15 GROUP BY source)
-SELECT source, day, n, usual, CASE WHEN day < DATE '2001-07-28' THEN 'STALE' WHEN n < 0.4 * usual THEN 'VOLUME' ELSE 'ok' END AS finding FROM p JOIN b USING (source) WHERE i = 1""", days="day")
+SELECT source, day, n, usual, CASE WHEN day < DATE '2001-07-28' THEN 'STALE' WHEN n < 0.25 * usual THEN 'VOLUME COLLAPSE' WHEN n < 0.55 * usual THEN 'VOLUME DROP' ELSE 'ok' END AS finding FROM p JOIN b USING (source) WHERE i = 1""", days="day")
 def volume_collapse(spark, sf_dir):
-    """Stale sources, and sources whose latest day falls under 40 percent of its usual volume."""
+    """Stale sources, and sources whose latest day falls under 25 or 55 percent of its usual volume."""
     d = ads(spark, sf_dir).where(F.col("first_seen") <= F.lit(AS_OF)).groupBy("source", F.col("first_seen").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     p = d.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("day")))).where("i <= 15")
     b = p.where("i > 1").groupBy("source").agg(F.median("n").alias("usual"))
-    finding = F.when(F.col("day") < F.lit(AS_OF - timedelta(days=3)), "STALE").when(F.col("n") < 0.4 * F.col("usual"), "VOLUME").otherwise("ok")
+    finding = F.when(F.col("day") < F.lit(AS_OF - timedelta(days=3)), "STALE").when(F.col("n") < CRITICAL * F.col("usual"), "VOLUME COLLAPSE").when(F.col("n") < WARN * F.col("usual"), "VOLUME DROP").otherwise("ok")
     return p.where("i = 1").join(b, "source").select("source", "day", "n", "usual", finding.alias("finding"))
 
 
@@ -156,15 +188,15 @@ def turn_carry_forward(spark, sf_dir):
     return t.select("conv_id", "turn", F.last("scope", True).over(past).alias("scope"))
 
 
-@query(r"""WITH h AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM benchmark), n AS (SELECT DISTINCT lower(p) AS name FROM (SELECT unnest(string_split(substring(text, 1, 200), ' ')) AS p FROM documents WHERE doc_id < 40) WHERE regexp_matches(lower(p), '^[a-z]{3,}$'))
-SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest(ws) AS w FROM h) JOIN n ON w = name""")
+@query(r"""WITH h AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM benchmark), d AS (SELECT string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS ws FROM documents),
+n AS (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS name FROM d, unnest(range(1, len(ws))) AS r(i)), g AS (SELECT DISTINCT item_id, ws[i] || ' ' || ws[i + 1] AS name FROM (SELECT item_id, string_split(trim(t), ' ') AS ws FROM h), unnest(range(1, len(ws))) AS r(i))
+SELECT item_id, name FROM g JOIN n USING (name)""")
 def headline_mentions(spark, sf_dir):
-    """Names of one word that stand in headlines: headlines are cut into words and joined on equality."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 40")
-    words = docs.select(F.explode(F.split(F.substring("text", 1, 200), " ")).alias("p"))
-    names = words.select(F.lower("p").alias("name")).where(F.col("name").rlike("^[a-z]{3,}$")).distinct()
-    heads = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")).alias("name"))
-    return heads.distinct().join(names, "name").select("item_id", "name")
+    """Names of two words, taken from all documents and whole texts, that stand in headlines."""
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1)))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(words.alias("ws")).where(F.size("ws") > 1)
+    return mentions(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), texts.select(F.explode(pairs).alias("name")).distinct())
 
 
 def mentions(heads, names):
