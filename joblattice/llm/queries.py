@@ -51,7 +51,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.pair_by_parity(_table(spark, sf_dir, "conversations")))
+    return preference.format_pairs(preference.pair_by_answer(_table(spark, sf_dir, "conversations")))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +128,16 @@ FROM n JOIN reach ON reach.v = n.doc_id GROUP BY n.doc_id, n.n
 
 
 _OP8_SQL = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
-  FROM conversations
+WITH c AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations
+), a AS (
+  SELECT conv_id, max(i) FILTER (role = 'assistant') AS i FROM c GROUP BY conv_id
+), t AS (
+  SELECT conv_id AS pair_id, 0 AS side, role, text, i FROM c
+  UNION ALL
+  SELECT c.conv_id, 1, role, text, c.i FROM c JOIN a USING (conv_id) WHERE a.i IS NULL OR c.i < a.i
+  UNION ALL
+  SELECT a.conv_id, 1, c.role, c.text, a.i FROM a JOIN a n ON n.conv_id = xor(a.conv_id, 1) JOIN c ON c.conv_id = n.conv_id AND c.i = n.i WHERE a.i IS NOT NULL
 ), p AS (
   SELECT DISTINCT pair_id FROM t
 ), both_sides AS (
