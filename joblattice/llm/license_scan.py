@@ -11,7 +11,7 @@ furthest counts, and a template's places don't overlap.
 
 Words are maximal runs of ASCII letters and digits and all non-ASCII characters,
 after lower-casing A-Z.  Texts without a template's longest mandatory words are
-passed over by one bit mask per text; that loses nothing.
+passed over by a table of the texts' anchor words; that loses nothing.
 
 Edge cases: a null or empty text has no words, no places and score 0; a text of
 any length is read whole; repeated rows are judged alike; a null doc_id is kept;
@@ -47,6 +47,14 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "[[the]] mit license [[mit]] [[copyright {{12}}]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[{{1}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[{{1}}]] neither the name of {{16}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"),
+    ("isc", "the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, n_words long, base array<struct<label:string,start:long,words:int>>, accepted array<struct<label:string,template:int,start:long,words:long>>"
@@ -130,13 +138,11 @@ class _Scanner:
         known = {w for p, _ in self.phrases for w in p} | {w for a in self.automata for w in a.words if w}
         self.names = {w: i for i, w in enumerate(sorted(known), 1)}
         self.anchors = [sorted(set(a.mandatory), key=lambda w: (-len(w), w))[:4] for a in self.automata]
-        bits = {w: 1 << i for i, w in enumerate(sorted({w for ws in self.anchors for w in ws}))}
-        if len(bits) > 63:
-            raise ValueError("too many templates for one bit mask; scan them in two calls")
-        self.bit = np.zeros(len(self.names) + 1, np.int64)
-        for w, b in bits.items():
-            self.bit[self.names[w]] = b
-        self.need = [sum(bits[w] for w in ws) for ws in self.anchors]
+        every = sorted({w for ws in self.anchors for w in ws})
+        self.anchor = np.full(len(self.names) + 1, -1, np.int64)
+        self.anchor[[self.names[w] for w in every]] = np.arange(len(every))
+        self.need = [[every.index(w) for w in ws] for ws in self.anchors]
+        self.n_anchors = len(every)
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[list], list[list]]:
         words = tk.split_words(pc.replace_substring_regex(tk.lower_ascii(texts), BREAKS, " "))
@@ -155,13 +161,13 @@ class _Scanner:
             for i in at.tolist():
                 d = int(owner[i])
                 base[d].append({"label": label, "start": i - int(bounds[d]), "words": len(phrase)})
-        held = np.zeros(n, np.int64)
-        bits = self.bit[code]
-        for i in np.unique(owner[bits != 0]).tolist():
-            held[i] = np.bitwise_or.reduce(bits[bounds[i] : bounds[i + 1]])
+        held = np.zeros((n, self.n_anchors), bool)
+        anchor = self.anchor[code]
+        at = np.flatnonzero(anchor >= 0)
+        held[owner[at], anchor[at]] = True
         for t, automaton in enumerate(self.automata):
             starts = {names[automaton.words[s]] for s in automaton.after[0]}
-            for d in np.flatnonzero((held & self.need[t]) == self.need[t]).tolist():
+            for d in np.flatnonzero(held[:, self.need[t]].all(axis=1)).tolist():
                 part = code[bounds[d] : bounds[d + 1]]
                 free = 0
                 for i in np.flatnonzero(np.isin(part, list(starts))).tolist():
