@@ -6,6 +6,7 @@ A word is a maximal run of characters outside ``\\x20`` and ``\\x09-\\x0D``.
 from __future__ import annotations
 
 import ctypes
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_LIBC = ctypes.CDLL(None)
+_TRIM = getattr(_LIBC, "malloc_trim", None)
+_MALLOPT = getattr(_LIBC, "mallopt", None)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -40,8 +43,22 @@ class Words:
         return vocab_hashes(self.vocab, seed)[self.ids]
 
 
+@functools.cache
+def _map_large_arrays() -> None:
+    """Let this process map arrays of 512 KB or more one by one, Arrow's too, so that each goes back when it is freed."""
+    if _MALLOPT is not None:
+        m_trim_threshold, m_mmap_threshold = -1, -3
+        _MALLOPT(m_trim_threshold, 1 << 20)
+        _MALLOPT(m_mmap_threshold, 1 << 19)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def give_back() -> None:
-    """Hand memory that numpy and Arrow have freed back to the system, as Python workers outlive their tasks."""
+    """Hand memory that numpy and Arrow have freed back to the system, as Python workers outlive their tasks.
+
+    For use in tasks only: from the first call on, the process maps large arrays one by one.
+    """
+    _map_large_arrays()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
