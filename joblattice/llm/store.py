@@ -30,11 +30,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, name: str):
+    """A path for Hadoop's file systems, and its file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def move(spark: SparkSession, folder: str, to: str) -> None:
+    """Rename a folder; ``to`` is not there yet."""
+    (path, files), (new, _) = _path(spark, folder), _path(spark, to)
+    files.mkdirs(new.getParent())
+    if not files.rename(path, new):
+        raise OSError(f"{folder} was not renamed to {to}")
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)

@@ -11,8 +11,9 @@ taken for one with a chance of 2**-80 per pair.
 
 A bulk load makes one run per range of doc_id, so that "an earlier run" means
 "a smaller doc_id"; inside a run, the batch itself settles which document is
-the smallest.  Later batches are merged with the stored runs only, and
-:func:`compact` merges stored runs into one.
+the smallest.  Later batches (:func:`append_batch`) are merged with the stored runs
+only, and once these are many, :func:`compact` merges them into one run of a new
+generation, with as many buckets as its size asks for.
 
 Edge cases: a null text has no words; a text shorter than ``width`` words has
 no window and keeps everything; rows with equal doc_id do not precede each
@@ -23,6 +24,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import shared_folder
+from .store import delete, forget, move, written
 
 RUN_SCHEMA = "bucket int, rank long, n long, hashes binary, checks binary"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -217,44 +219,76 @@ def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 8 << 20, with
     return out.withColumnsRenamed({n: f"carried_{c}" for n, c in along.items()})
 
 
-def append_batch(index_path: str, docs: DataFrame, width: int = 13, bits: int = 6, with_text: bool = False) -> DataFrame:
+def stored_runs(spark: SparkSession, index_path: str) -> tuple[DataFrame, int, int | None]:
+    """The runs of the newest generation of an index, its number, and the bits of its buckets (None: nothing stored)."""
+    runs = RUN_SCHEMA.split(", ")
+    try:
+        rows = spark.read.schema(f"{RUN_SCHEMA}, generation int, bits int, batch string").parquet(index_path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], RUN_SCHEMA), 0, None
+    newest = rows.agg(F.max(F.struct("generation", "bits"))).first()[0]
+    if newest is None:
+        return spark.createDataFrame([], RUN_SCHEMA), 0, None
+    return rows.where(F.col("generation") == newest.generation).select(*[c.split()[0] for c in runs]), newest.generation, newest.bits
+
+
+def _store(runs: DataFrame, index_path: str, generation: int, bits: int) -> None:
+    """Write runs aside, then move them into the index at once, so that a job that dies leaves no half of a run."""
+    name = uuid.uuid4().hex
+    aside = f"{index_path}/_aside-{name}"
+    runs.write.parquet(aside)
+    move(runs.sparkSession, aside, f"{index_path}/generation={generation}/bits={bits}/batch={name}")
+
+
+def append_batch(index_path: str, docs: DataFrame, width: int = 13, bits: int = 6, with_text: bool = False, most_runs: int = 32, bucket_hashes: int = 2_000_000) -> DataFrame:
     """Incremental use: merge a new batch with the stored runs, then store its own run.
 
     The batch counts as later than every stored run.  Inside the batch, smaller
     doc_ids come first.  Returns the result read back from the shared folder,
-    since the stored runs change under it.
+    since the stored runs change under it.  Once there are more than ``most_runs``
+    stored runs, they are compacted into a new generation of the index, with more
+    buckets if one would hold more than ``bucket_hashes`` hashes; ``bits`` are those
+    of a new index.  One batch is appended at a time.
     """
     spark: SparkSession = docs.sparkSession
-    try:
-        history = spark.read.schema(RUN_SCHEMA).parquet(index_path)
-        top = history.agg(F.max("rank")).first()[0]
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        history, top = spark.createDataFrame([], RUN_SCHEMA), None
+    history, generation, known = stored_runs(spark, index_path)
+    bits = bits if known is None else known
+    top = history.agg(F.max("rank")).first()[0]
     base = 0 if top is None else top + 1
-    docs = docs.select("doc_id", "text")
-    rank, n, _ = plan_ranges(docs, 8 << 20)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rank, _, _ = plan_ranges(docs, 8 << 20)
     batches = docs.select((rank + base).alias("rank"), "doc_id", "text")
-    new = runs_of(batches, width, bits)
+    new = written(runs_of(batches, width, bits), "runs")
     marks = merge_join(history.unionByName(new)).where(F.col("rank") >= base)
-    out = f"{shared_folder(spark)}/batch-{base}-{abs(hash(index_path)):x}"
-    _drop_repeats(batches, marks, width, bits, with_text).write.mode("overwrite").parquet(out)
-    new.write.mode("append").parquet(index_path)
-    return spark.read.parquet(out)
+    out = written(_drop_repeats(batches, marks, width, bits, with_text), "batch")
+    _store(new, index_path, generation, bits)
+    forget(new)
+    runs, generation, bits = stored_runs(spark, index_path)
+    if bits is not None and runs.select("rank").distinct().count() > most_runs:
+        wide = int(np.ceil(np.log2(max(1, runs.agg(F.sum("n")).first()[0] / bucket_hashes))))
+        _store(compact(runs, max(bits, wide)), index_path, generation + 1, max(bits, wide))
+        delete(spark, f"{index_path}/generation={generation}")
+    return out
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One run per bucket that holds all hashes of ``runs``, under the lowest rank."""
+def compact(runs: DataFrame, bits: int | None = None) -> DataFrame:
+    """One run per bucket that holds all hashes of ``runs``, under the lowest rank; its buckets cut into those of ``bits``, if given."""
+    types = {"bucket": pa.int32(), "rank": pa.int64(), "n": pa.int64(), "hashes": pa.binary(), "checks": pa.binary()}
 
     def merge(key, table):
+        tk.give_back()
         h = np.concatenate([_unpack(b) for b in table.column("hashes").to_pylist()])
         c = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("checks").to_pylist()])
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
         keep = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
         h, c = h[keep], c[keep]
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.full(len(h), key[0].as_py())
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(h)])).tolist()
         lowest = min(table.column("rank").to_pylist())
-        return pa.table({"bucket": [key[0].as_py()], "rank": [lowest], "n": [len(h)], "hashes": [_pack(h)], "checks": [c.tobytes()]}, schema=pa.schema([("bucket", pa.int32()), ("rank", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("checks", pa.binary())]))
+        rows = [(int(bucket[a]), lowest, b - a, _pack(h[a:b]), c[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types.values(), strict=True)], schema=pa.schema(types))
 
     return runs.groupBy("bucket").applyInArrow(merge, RUN_SCHEMA)

@@ -218,6 +218,19 @@ def test_substring_index_in_batches(spark, tmp_path):
     assert merged.count() == runs.select("bucket").distinct().count() and merged.agg(F.sum("n")).first()[0] <= runs.agg(F.sum("n")).first()[0]
 
 
+def test_substring_index_compacts_between_batches(spark, tmp_path):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()][:150] + ODD
+    path, out, runs = str(tmp_path / "index"), [], []
+    for a in range(0, len(texts), 40):
+        out += substring_dedup.append_batch(path, documents(spark, texts[a : a + 40], a), bits=2, most_runs=2, bucket_hashes=2_000).collect()
+        rows, generation, bits = substring_dedup.stored_runs(spark, path)
+        runs.append((rows.select("rank").distinct().count(), generation, bits))
+        assert rows.where(F.col("bucket") >= 2**bits).isEmpty()
+    assert sorted(map(tuple, out)) == brute_substrings(texts)
+    assert max(n for n, _, _ in runs) <= 2 and runs[-1][1] >= 1 and runs[-1][2] > 2
+    assert substring_dedup.append_batch(path, documents(spark, [])).count() == 0
+
+
 def test_collision_search_recall_and_ties(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
