@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, html_extract, infill, lattice_sampling, license_scan, near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import collision_search, html_extract, infill, lattice_sampling, license_scan, near_dedup, packing, phrase_index, preference, quality, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.transform(_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op9_html_extraction, op10_url_filter, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op9_html_extraction, op10_url_filter, op11_fill_in_middle, op12_decontamination)}
 
 
 _OP4_SQL = r"""
@@ -186,5 +190,30 @@ FROM c
 """
 
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), asked AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS g
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(k) WHERE len(w) > 0
+), sizes AS (
+  SELECT DISTINCT n FROM asked
+), stood AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS r(k)
+), found AS (
+  SELECT doc_id, k, n, item_id FROM stood JOIN asked USING (n, g)
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_in_middle": _OP11_SQL, "op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op7_license_scan": license_scan.summary_sql(), "op8_preference_chat": _OP8_SQL}
+    return {"op12_decontamination": _OP12_SQL, "op11_fill_in_middle": _OP11_SQL, "op2_near_dedup": _OP2_SQL, "op4_substring_dedup": _OP4_SQL, "op7_license_scan": license_scan.summary_sql(), "op8_preference_chat": _OP8_SQL}
