@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, html_extract, infill, lattice_sampling, license_scan, near_dedup, packing, phrase_index, preference, quality, substring_dedup, url_filter
+from . import collision_search, html_extract, infill, lattice_sampling, license_scan, near_dedup, packing, phrase_index, preference, quality, substring_dedup, token_alignment, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,8 +85,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op9_html_extraction, op10_url_filter, op11_fill_in_middle, op12_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_near_dedup, op3_gumbel_segmentation, op4_substring_dedup, op5_collision_search, op6_packing, op7_license_scan, op8_preference_chat, op9_html_extraction, op10_url_filter, op11_fill_in_middle, op12_decontamination, op13_token_alignment)}
 
 
 _OP4_SQL = r"""
