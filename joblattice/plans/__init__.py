@@ -1,6 +1,6 @@
 """Queries, each registered with the SQL that says the same."""
 
-from . import engagement, finding, history, market, newsroom, pages, quality, releases, rosters
+from . import asking, engagement, finding, history, market, newsroom, pages, quality, releases, rosters
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "engagement", "finding", "history", "market", "newsroom", "pages", "quality", "releases", "rosters"]
