@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import connected_components
-from .store import forget, written
+from .store import delete, forget, noted, written
 
 COORDS = 128
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +88,9 @@ def _minwise(items: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def _row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """128 bits for a row's id and text; null and empty ones have keys of their own."""
+    spelled = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), "text")))
+    return F.unhex(F.md5(spelled))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -111,7 +113,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "k", "n_shingles", "fp", "sig", "s1", "s2"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("k")).mapInArrow(sketch, "doc_id long, k long, n_shingles long, fp binary, sig binary, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("k")).mapInArrow(sketch, "doc_id long, k binary, n_shingles long, fp binary, sig binary, s1 long, s2 long")
 
 
 def _children(branches: int, roots: list[int] | None):
@@ -237,14 +239,16 @@ def _blocks(large: DataFrame, classes: DataFrame, groups: DataFrame, block_rows:
     blocks of the largest component need no comparison.  Of nodes with the same
     members one is taken.
     """
-    rooted = large.join(classes.select("fp", "n_shingles"), "fp").join(groups.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    marked = large.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y"))
+    once = marked.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
+    distinct = large.join(once, "path", "left_semi")
+    rooted = distinct.join(classes.select("fp", "n_shingles"), "fp").join(groups.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = written(rooted, "rooted")
-    by_root = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(F.xxhash64("fp")).alias("x"))
-    nodes = by_root.groupBy("path").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("x").alias("x"), F.max(F.struct("n", "w", "root")).alias("main")).where("roots > 1")
+    by_root = rooted.groupBy("path", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    nodes = by_root.groupBy("path").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "root")).alias("main")).where("roots > 1")
     blocks = lambda n, w: F.ceil(F.greatest(n / block_rows, w / block_shingles)).cast("int")
-    sized = nodes.select("n", "x", F.struct("path", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("km"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("ko")).alias("node"))
-    once = sized.groupBy("n", "x").agg(F.min("node").alias("node")).select("node.*")
-    rows = rooted.join(once, "path")
+    sized = nodes.select("path", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("km"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("ko"))
+    rows = rooted.join(sized, "path")
     is_main, h = F.col("root") == F.col("main"), F.xxhash64("fp")
     rows = rows.withColumn("block", F.when(is_main, F.col("ko") + F.pmod(h, F.col("km"))).otherwise(F.pmod(h, F.col("ko"))).cast("int"))
     rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("ko")).otherwise(F.col("ko") + F.col("km")) - 1)))
@@ -309,7 +313,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, **options: f
     agree in doc_id and text one stays, whichever.  Rows without words are similar to
     nothing and stay.
     """
-    rows = written(_grouped(docs, width, percent, **options).select("doc_id", "k", "n_shingles", "fp", "root"), "grouped")
+    rows = _grouped(docs, width, percent, **options)
     filled = rows.where("n_shingles > 0").withColumn("g", F.coalesce("root", "fp"))
     first = filled.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k")).distinct()
     blank = rows.where("n_shingles = 0").select(F.col("k").alias("_k")).distinct()
@@ -318,7 +322,18 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, **options: f
     return stay.unionByName(keyed.join(blank, "_k", "left_semi")).select(*docs.columns)
 
 
-def _grouped(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = 2048, block_shingles: int = 500_000, **tree: float) -> DataFrame:
+def _grouped(docs: DataFrame, width: int = 5, percent: int = 80, **options: float) -> DataFrame:
+    """The rows of :func:`similar_groups` with k, fp and root, written; the tables made on the way are deleted."""
+    with noted() as folders:
+        out = _rooted(docs, width, percent, **options)
+        grouped = written(out, "grouped")
+    for folder in folders:
+        if folder != grouped.folder:
+            delete(docs.sparkSession, folder)
+    return grouped
+
+
+def _rooted(docs: DataFrame, width: int, percent: int, block_rows: int = 2048, block_shingles: int = 500_000, **tree: float) -> DataFrame:
     """The rows of :func:`similar_groups` with k, fp and root, the fingerprint that stands for the group (null for a class on its own).
 
     ``block_rows`` and ``block_shingles`` bound a block of a large node, and so the memory of one task.

@@ -23,6 +23,12 @@ probability of one character.  A document of n characters is rejected if its mea
 lies outside centre -/+ (band + noise * s / sqrt(n)), with separate upper and
 lower bands.  Only documents that passed the base rules set the centre.
 
+Where labels are given, the bands are fitted: for each language and each doubling of
+the length (below 512 characters and from 8,192 on one class each) they reach from the lowest to the
+highest mean of the documents labelled good, and ``margin`` standard deviations of
+these beyond.  All labelled rows count; a class with fewer than ``least_good`` of
+them keeps the bands above.
+
 Edge cases: null and empty texts have no words and fail the base rules; a null
 language is a language of its own; a document without characters is not scored
 (perplexity null); rows with equal or null doc_id are separate rows; an empty
@@ -277,7 +283,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         for table in [counted] if below is None else [counted, below]:
             forget(table)
         below = new
-    return below.select("lang", "hi", "lo", F.log("q").alias("logp"))
+    model = below.select("lang", "hi", "lo", F.log("q").alias("logp"))
+    model.folder = below.folder
+    return model
 
 
 def _hashes(lang: str, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -443,8 +451,27 @@ def bands(rows: DataFrame, grid: float = 0.01) -> DataFrame:
     return marked.groupBy("lang").agg(centre.alias("centre"), spread.alias("spread"))
 
 
+def _length_class(n: Column) -> Column:
+    """Doublings of the length, from 8 to 13."""
+    return F.least(F.greatest(F.floor(F.log2(n)), F.lit(8)), F.lit(13)).cast("int")
+
+
+def fitted_bands(rows: DataFrame, labels: DataFrame, margin: float, least_good: int) -> DataFrame:
+    """(lang, fitted): per language the lowest and highest mean log probability to keep, by length class.
+
+    ``labels`` has doc_id and quality, 1 for good.
+    """
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    mean = F.col("log_sum") / F.col("n_scored")
+    seen = rows.where(~F.col("base_failed") & (F.col("n_scored") > 0)).select("doc_id", "lang", _length_class(F.col("n_scored")).alias("class"), mean.alias("mean")).join(good, "doc_id", "left_semi")
+    wide = margin * F.stddev_samp("mean")
+    by_class = seen.groupBy("lang", "class").agg((F.min("mean") - wide).alias("low"), (F.max("mean") + wide).alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, least_good))
+    return by_class.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("class", F.struct("low", "high")))).alias("fitted"))  # six classes at most
+
+
 def judge(
     docs: DataFrame,
+    labels: DataFrame | None = None,
     min_words: int = 20,
     max_repeat_percent: int = 30,
     low_band: float = 0.35,
@@ -453,12 +480,15 @@ def judge(
     range_rows: int = 200_000,
     slice_bytes: int = 32 << 20,
     slices_at_once: int = 1024,
+    margin: float = 1.0,
+    least_good: int = 50,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Statistics and verdict per document, and the columns to carry under their names with ``carried_``.
 
     ``low_band`` bounds how much better than its language's centre the model may
-    predict a character of a document (in nats), ``high_band`` how much worse.
+    predict a character of a document (in nats), ``high_band`` how much worse, where
+    ``labels`` (doc_id, quality) don't fit them.
     ``range_rows`` n-grams make a hash range of the model.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -478,12 +508,17 @@ def judge(
     off = mean - F.col("centre")
     slack = F.col("spread") * noise / F.sqrt(F.nullif(F.col("n_scored"), F.lit(0)))
     inside = (off <= low_band + slack) & (off >= -(high_band + slack))
+    of_language = bands(rows)
+    if labels is not None:
+        fit = F.try_element_at("fitted", _length_class(F.col("n_scored")))
+        inside = F.when(fit.isNull(), inside).otherwise(mean.between(fit["low"], fit["high"]))
+        of_language = of_language.join(fitted_bands(rows, labels, margin, least_good), "lang", "left")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     more = [F.col(f"c{i}").alias(f"carried_{c}") for i, c in enumerate(carry)]
-    return _with_language(rows, bands(rows)).select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre", *more)
+    return _with_language(rows, of_language).select("doc_id", *STATS, "base_failed", kept.alias("kept"), F.exp(-mean).alias("perplexity"), "centre", *more)
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    rows = judge(docs, carry=tuple(docs.columns), **options).where("kept")
+    rows = judge(docs, labels, carry=tuple(docs.columns), **options).where("kept")
     return rows.select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,11 @@ def written(df: DataFrame, label: str, compression: str | None = None) -> DataFr
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    for folders in _noted:
+        folders.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.folder = path
+    return table
 
 
 def _path(spark: SparkSession, name: str):
@@ -52,5 +58,17 @@ def move(spark: SparkSession, folder: str, to: str) -> None:
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written`, once nothing reads it any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
+    delete(df.sparkSession, df.folder)
+
+
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the tables written meanwhile."""
+    _noted.append(folders := [])
+    try:
+        yield folders
+    finally:
+        _noted.pop()

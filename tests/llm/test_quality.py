@@ -109,6 +109,33 @@ def test_verdicts_by_plain_python(spark, sizes):
     assert seen == {True, False}
 
 
+def test_bands_fitted_on_labels_by_plain_python(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
+    docs = documents(spark, [(r.text, "en" if i % 3 else None) for i, r in enumerate(rows)])
+    labels = spark.createDataFrame([(i, 1 if i % 4 else 0) for i in range(0, len(rows), 2)] + [(0, 1), (2, 1), (2, 1), (None, 1), (10**6, 1), (4, None)], "doc_id long, quality int")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    got = quality.judge(docs, labels, margin=0.5, least_good=5, low_band=0.01, high_band=0.01, noise=0.0).collect()
+    n = {r.doc_id: len(symbols(rows[r.doc_id].text)) - 4 if rows[r.doc_id].text else 0 for r in got}
+    class_of = lambda r: ("en" if r.doc_id % 3 else None, min(max(int(math.log2(n[r.doc_id])), 8), 13))
+    means, seen = defaultdict(list), set()
+    for r in got:
+        if r.doc_id in good and not r.base_failed and n[r.doc_id] > 0:
+            means[class_of(r)].append(-math.log(r.perplexity))
+    for r in got:
+        if n[r.doc_id] <= 0 or r.base_failed:
+            assert not r.kept
+            continue
+        known, mean = means[class_of(r)], -math.log(r.perplexity)
+        if len(known) >= 5:
+            wide = 0.5 * np.std(known, ddof=1)
+            low, high = min(known) - wide, max(known) + wide
+        else:
+            low, high = r.centre - 0.01, r.centre + 0.01
+        assert r.kept == (low <= mean <= high) or min(abs(mean - low), abs(mean - high)) < 1e-9
+        seen.add((len(known) >= 5, r.kept))
+    assert len(seen) == 4
+
+
 def test_odd_rows_and_columns(spark):
     rows = [(None, PROSE, None), (1, PROSE, "en"), (1, PROSE, "en"), (2, None, "en"), (3, "é " * 30_000, ""), (4, PROSE, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
