@@ -4,7 +4,7 @@ Both tokenizers cut the same bytes: a space and the text.  Byte offsets at which
 tokens of both end cut them into groups; a token of A and one of B are linked if
 their byte ranges overlap.  Ranges that overlap do so in one stretch between two
 neighbouring ends of either side, so the links of a text are exactly these
-stretches, and a sorted union of ends finds them for a whole batch at once.
+stretches, and marks on the bytes of a whole batch find them all at once.
 
 Counting: a pair is one int64 key (A's id in the upper, B's in the lower 32 bits).
 A task reduces each document to its distinct pairs, then its whole partition to
@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -100,7 +99,7 @@ class ByteLevel:
         for piece, i in vocab.items():
             pieces[i] = bytes(byte[c] for c in piece)
         self.vocabulary = Vocabulary.of(pieces)
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and the text, for each text."""
@@ -118,7 +117,7 @@ class Pieces:
         self.vocabulary = Vocabulary.of([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError("a piece goes on after a word's end: words can't be encoded one by one")
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -133,29 +132,46 @@ def _loaded(kind: type, path: str):
 # -------------------------------------------------------------------- encoding
 
 
-def ids_of(texts: list[str], tokenizer: ByteLevel | Pieces) -> list[bytes]:
-    """The ids of a space and each text, little-endian, 32 bits each.
+def _learn(words: list[str], tokenizer: ByteLevel | Pieces) -> list[bytes]:
+    """The ids of each word behind a space, 500 words to a text; exactly the first token of a word begins with the space."""
+    v, out = tokenizer.vocabulary, []
+    parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+    for part, ids in zip(parts, tokenizer.encode([" ".join(p) for p in parts]), strict=True):
+        coded = np.array(ids, "<u4")
+        starts = np.flatnonzero(v.data[v.begin[coded]] == 32)
+        if len(starts) != len(part):
+            out += [np.array(x, "<u4").tobytes() for x in tokenizer.encode(part)]
+            continue
+        raw, cuts = coded.tobytes(), [*(4 * starts).tolist(), 4 * len(coded)]
+        out += [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
 
-    Neither tokenizer joins across a single space between two characters that are
+
+def ids_of(texts: list[str], *tokenizers: ByteLevel | Pieces) -> list[list[bytes]]:
+    """For each tokenizer the ids of a space and each text, little-endian, 32 bits each.
+
+    No tokenizer here joins across a single space between two characters that are
     no white space, so each distinct word is encoded once, with the space before
     it, and remembered.  A text with other white space at the edge of a word, or
     with the sign that stands for a space, is encoded as a whole.
     """
-    known = tokenizer.known
-    if len(known) > _CACHE_WORDS:
-        known.clear()
     split = [t.split(" ") for t in texts]
-    new = {w for words in split for w in words if w not in known}
-    plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace() and "▁" not in w]
-    known.update(dict.fromkeys(new))
-    for i in range(0, len(plain), 20_000):
-        part = plain[i : i + 20_000]
-        known.update((w, array("I", ids).tobytes()) for w, ids in zip(part, tokenizer.encode(part), strict=True))
-    out = [list(map(known.__getitem__, words)) for words in split]
-    whole = [i for i, ids in enumerate(out) if None in ids]
-    for i, ids in zip(whole, tokenizer.encode([texts[i] for i in whole]), strict=True):
-        out[i] = [array("I", ids).tobytes()]
-    return list(map(b"".join, out))
+    every = set().union(*split)
+    odd = {w for w in every if not w or w[0].isspace() or w[-1].isspace() or "▁" in w}
+    whole = [i for i, words in enumerate(split) if not odd.isdisjoint(words)] if odd else []
+    told = set(whole)
+    out = []
+    for tokenizer in tokenizers:
+        known = tokenizer.known
+        if len(known) > _CACHE_WORDS:
+            known.clear()
+        new = [w for w in every if w not in known and w not in odd]
+        known.update(zip(new, _learn(new, tokenizer), strict=True))
+        mine = [b"" if i in told else b"".join(map(known.__getitem__, words)) for i, words in enumerate(split)]
+        for i, ids in zip(whole, tokenizer.encode([texts[i] for i in whole]), strict=True):
+            mine[i] = np.array(ids, "<u4").tobytes()
+        out.append(mine)
+    return out
 
 
 def _portions(texts: pa.Array, size: int = _BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -184,7 +200,7 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 tk.give_back()
                 mine = texts.slice(x, y - x).to_pylist()
                 rows = []
-                for text, *ids in zip(mine, ids_of(mine, one), ids_of(mine, two), strict=True):
+                for text, *ids in zip(mine, *ids_of(mine, one, two), strict=True):
                     raw = np.frombuffer((" " + text).encode(), np.uint8)
                     a, b = (np.frombuffer(x, "<u4") for x in ids)
                     same = bool(text) and np.array_equal(one.vocabulary.joined(a), raw) and np.array_equal(two.vocabulary.joined(b), raw)
@@ -197,6 +213,11 @@ def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 # ------------------------------------------------------------------- alignment
 
 
+def _before(marks: np.ndarray) -> np.ndarray:
+    """How many marks stand before each place."""
+    return np.cumsum(marks, dtype=np.int32) - marks
+
+
 class Aligned:
     """The links and groups of a batch of documents, all at once."""
 
@@ -206,12 +227,16 @@ class Aligned:
         self.a, self.b = (np.frombuffer(b"".join(side), kind).astype(np.int64) for side in (a, b))
         self.end_a, self.end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         last = np.concatenate(([0], self.end_a))[np.cumsum(self.n_a)]  # where each document ends, in bytes
-        ends = np.union1d(self.end_a, self.end_b)
-        at_a, at_b = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
-        self.pair = self.a[at_a] << 32 | self.b[at_b]
-        self.n_links = np.diff(np.searchsorted(ends, last, side="right"), prepend=0)
-        self.common = ends[(self.end_a[at_a] == ends) & (self.end_b[at_b] == ends)]
-        self.n_groups = np.diff(np.searchsorted(self.common, last, side="right"), prepend=0)
+        # Everything is found by marks on the batch's bytes, so nothing is sorted or searched.
+        in_a, in_b = (np.zeros(int(last[-1]) + 1 if len(last) else 1, bool) for _ in range(2))
+        in_a[self.end_a], in_b[self.end_b] = True, True
+        either, both = in_a | in_b, in_a & in_b
+        ends = np.flatnonzero(either)
+        self.pair = self.a[_before(in_a)[ends]] << 32 | self.b[_before(in_b)[ends]]
+        self.n_links = np.diff(np.cumsum(either, dtype=np.int64)[last], prepend=0)
+        self.n_groups = np.diff(np.cumsum(both, dtype=np.int64)[last], prepend=0)
+        self.groups = _before(both)
+        self.all_groups = int(np.count_nonzero(both))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Each document's distinct pairs, all documents together: document and pair."""
@@ -227,13 +252,13 @@ class Aligned:
 
         ``text_a`` holds ``id,`` of all ids, then ``id|`` of all; ``text_b`` ``id,``, then ``id;``.
         """
-        group_a, group_b = np.searchsorted(self.common, self.end_a), np.searchsorted(self.common, self.end_b)
-        in_a = np.bincount(group_a, minlength=len(self.common))
-        in_b = np.bincount(group_b, minlength=len(self.common))
+        group_a, group_b = self.groups[self.end_a], self.groups[self.end_b]
+        in_a = np.bincount(group_a, minlength=self.all_groups)
+        in_b = np.bincount(group_b, minlength=self.all_groups)
         place_a = np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[group_a]
         place_b = np.arange(len(self.b)) + np.cumsum(in_a)[group_b]
-        last_a = np.isin(np.arange(len(self.a)), np.cumsum(in_a) - 1, assume_unique=True)
-        last_b = np.isin(np.arange(len(self.b)), np.cumsum(in_b) - 1, assume_unique=True)
+        last_a, last_b = (np.zeros(len(side), np.int64) for side in (self.a, self.b))
+        last_a[np.cumsum(in_a) - 1], last_b[np.cumsum(in_b) - 1] = 1, 1
         words = np.empty(len(self.a) + len(self.b), np.int64)
         words[place_a] = self.a + last_a * (len(text_a) // 2)
         words[place_b] = len(text_a) + self.b + last_b * (len(text_b) // 2)
