@@ -44,11 +44,17 @@ def _scalar(v: Column) -> Column:
     return F.when(js.kind(v).isin("OBJECT", "ARRAY", "VOID"), "").otherwise(F.coalesce(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _named(fields: Column, value) -> Column:
     """A map of a record's fields by key; of fields with one key the last."""
     entries = F.transform(F.map_entries(fields), lambda e: F.struct(_key(e["key"]).alias("k"), value(e["value"]).alias("t")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(entries, lambda e: e["k"] == k), F.lit(-1))["t"]))
+    last = lambda es, k: F.try_element_at(F.filter(es, lambda e: e["k"] == k), F.lit(-1))["t"]
+    by_key = lambda es: _let(F.array_distinct(F.transform(es, lambda e: e["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: last(es, k))))
+    return _let(entries, by_key)
 
 
 def _first(names: list[str], of: Column) -> Column:
@@ -68,12 +74,11 @@ def fields_of(v: Column) -> Column:
     A vacancy has a title of 4 to 160 characters under a name that only vacancies
     have, or under any title name beside an employer, a place, pay, a closing date or a vacancy's number.
     """
-    shown = js.record(v)
-    named = _named(shown, _shown)
-    held = F.get(F.transform(F.array(named), lambda m: F.struct(*[_first(names, m).alias(f) for f, names in FIELDS.items()])), F.lit(0))
+    texts = lambda m: F.struct(*[_first(names, m).alias(f) for f, names in FIELDS.items()])
     context = lambda s: (s["own_title"] != "") | (s["agency"] != "") | (s["loc"] != "") | (s["salary"] != "") | (s["close"] != "") | (s["own_id"] != "")
-    good = lambda s: (F.size(F.map_keys(shown)) >= 2) & F.length(s["title"]).between(MIN_TITLE, MAX_TITLE) & context(s)
-    return F.get(F.filter(F.array(held), good), F.lit(0))
+    good = lambda s: F.length(s["title"]).between(MIN_TITLE, MAX_TITLE) & context(s)
+    held = _let(_named(js.record(v), _shown), texts)
+    return F.when(F.size(js.record(v)) >= 2, F.get(F.filter(F.array(held), good), F.lit(0)))
 
 
 # ---------------------------------------------------------------------- salvage

@@ -102,11 +102,6 @@ def test_prices_and_axis(spark):
 
 
 def test_page_readers(spark):
-    html = '<script type="application/ld+json">[{"title": "Welder", "url": "u1", "datePosted": "2026-08-01"}]</script>'
-    links = '<a class="x" href="/jobs/7"><b>Nurse</b> &amp; carer</a><a href="/about">About</a>'
-    df = spark.createDataFrame([(1, html), (2, links), (3, None), (4, '<script type="application/json">{broken</script>')], "page_id int, html string")
-    got = sorted((r.page_id, r.title, r.url, r.posted, r.strategy) for r in pages.page_records(df).collect())
-    assert got == [(1, "Welder", "u1", "2026-08-01", "json"), (2, "Nurse & carer", "/jobs/7", None, "anchors")]
     rss = "<rss><item><title><![CDATA[A & B]]></title><link>https://l.x/?url=https%3A%2F%2Fa.b</link><pubDate>Mon</pubDate></item><item><title>C</title></item></rss>"
     items = pages.rss_items(spark.createDataFrame([("f", rss)], "feed string, xml string")).collect()
     assert [(r.title, r.link) for r in items] == [("A & B", "https://a.b"), ("C", "")]

@@ -116,37 +116,6 @@ def test_four_medians(spark):
     assert tuple(row) == (2.5, 2, 3, 3, None)
 
 
-def test_streaming_upsert_is_idempotent(spark, tmp_path):
-    from joblattice.streaming.ingest import merge_batch
-
-    batch = spark.createDataFrame([("k1", "T", None, 0)], "job_key string, title string, salary string, ordinal int")
-    for batch_id in (0, 0, 1):
-        merge_batch(batch, batch_id, str(tmp_path / "archive"), day(3 + batch_id))
-    row = spark.read.parquet(str(tmp_path / "archive") + "/version=1").first()
-    assert (row.seen_count, row.first_seen, row.last_seen) == (2, day(3), day(4))
-
-
-def test_weekly_stream(spark, tmp_path):
-    from joblattice.streaming.ingest import weekly_users
-
-    source = str(tmp_path / "events")
-    spark.createDataFrame([(1, "view", "2024-01-01 10:00:00"), (1, "view", "2024-01-03 10:00:00"), (2, "bad", "2024-01-02 10:00:00"), (3, "view", "2024-01-09 10:00:00")], "user_key long, name string, ts string").select("user_key", "name", F.col("ts").cast("timestamp").alias("at")).write.parquet(source)
-    stream = spark.readStream.schema("user_key long, name string, at timestamp").parquet(source)
-    q = weekly_users(stream, ["view"]).writeStream.outputMode("complete").format("memory").queryName("weeks").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.events for r in spark.table("weeks").collect()) == [1, 2]
-
-
-def test_page_records(spark):
-    from joblattice.sources.pages import page_records
-
-    page = '<html><script type="application/ld+json">[{"@type":"JobPosting","title":"Welder","url":"/j/1","datePosted":"2026-08-01"}]</script></html>'
-    anchors = '<a href="/jobs/7">Senior Welder</a><a href="/about">About</a>'
-    df = spark.createDataFrame([(1, page), (2, anchors), (3, None)], "page_id long, html string")
-    got = {(r.page_id, r.title, r.strategy) for r in page_records(df).collect()}
-    assert got == {(1, "Welder", "json"), (2, "Senior Welder", "anchors")}
-
-
 def test_mentions_of_names_of_several_words(spark):
     heads = spark.createDataFrame([(1, "New York: Port Authority, York"), (2, "york new"), (3, None), (4, "new new york")], "item_id long, text string")
     names = spark.createDataFrame([("New York",), ("york",), ("Port-Authority",), (None,), ("",), ("York Port Authority Hall",)], "name string")
