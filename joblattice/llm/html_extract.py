@@ -36,6 +36,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -76,6 +77,7 @@ _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r">|=\s*[\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NOTICE = re.compile(r"^[©®]|all rights reserved", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true|\bhidden\b", re.IGNORECASE)
 
 
@@ -147,6 +149,7 @@ def parse(page: str) -> Tree:
     """The block tree of a page."""
     tree, reader = Tree(), _Reader(page)
     stack: list[tuple[str, int]] = [("", 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # of each name's open elements on the stack
     pieces: list[str] = []
     links = in_link = silent = 0
     loose = 0  # where the stack holds a control that is never closed
@@ -163,8 +166,9 @@ def parse(page: str) -> Tree:
         nonlocal silent, loose
         flush()
         while len(stack) > upto:
-            if stack.pop()[0] in SILENT:
-                silent -= 1
+            name = stack.pop()[0]
+            places[name].pop()
+            silent -= name in SILENT
         if loose >= upto:
             loose = 0
 
@@ -184,11 +188,8 @@ def parse(page: str) -> Tree:
         if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
-            elif name not in INLINE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
+            elif name not in INLINE and places[name]:
+                close(places[name][-1])
             continue
         if stack[-1][0] == "head" and name not in IN_HEAD or name in CONTROLS and name == stack[-1][0]:
             close(len(stack) - 1)
@@ -202,12 +203,11 @@ def parse(page: str) -> Tree:
         in_link = 0
         if name in ENDS_P and stack[-1][0] == "p":
             close(len(stack) - 1)
-        for i in range(len(stack) - 1, 0, -1) if name in ENDS_SAME else ():
-            if stack[i][0] in ENDS_SAME[name]:
-                close(i)
-                break
-            if stack[i][0] in FENCES:
-                break
+        if name in ENDS_SAME:
+            latest = lambda names: max((places[x][-1] for x in names if places[x]), default=0)
+            same = latest(ENDS_SAME[name])
+            if same and same >= latest(FENCES):
+                close(same)
         flush()
         if name in VOID or attributes.endswith("/") and name in ("svg", "iframe"):
             continue
@@ -218,7 +218,8 @@ def parse(page: str) -> Tree:
             elif name in ("script", "style"):
                 at = n
             elif name in ("title", "textarea"):
-                at = page.find("<", at) if "<" in page[at:] else n
+                at = page.find("<", at)
+                at = at if at >= 0 else n
             continue
         hints = 0
         for value in _NAMES.findall(attributes):
@@ -228,6 +229,7 @@ def parse(page: str) -> Tree:
         parent = stack[-1][1]
         marked = tree.label[parent] or 'data-label="1"' in attributes
         node = _add(tree, parent, _TAG_OF.get(name, len(TAGS)), hints, None, 0, bool(_HIDDEN.search(attributes)), marked)
+        places[name].append(len(stack))
         stack.append((name, node))
         silent += name in SILENT
         if name in CONTROLS and not loose and reader.left_open(name, at):
@@ -319,12 +321,17 @@ class Forest:
         x[leaf, at + 1] = np.minimum(stops[leaf] / np.maximum(words[leaf], 1), 0.5)
         for k, edge in enumerate((3, 8, 20, 50, 120)):
             x[leaf, at + 2 + k] = words[leaf] >= edge
-        x[leaf, at + 7] = [t[:1] in ("©", "®") for t in self.texts if t is not None]
+        x[leaf, at + 7] = [_NOTICE.search(t) is not None for t in self.texts if t is not None]
         x[leaf, at + 8] = 1
         at += _N_TEXT
         x[:, at] = ~leaf
         x[:, at + 1] = hidden
         x[:, at + 2] = self.parent < 0
+        inside, in_links = chars.astype(np.float64), np.minimum(linked, chars).astype(np.float64) * leaf
+        for level in self.levels[:0:-1]:  # of an element the text of all that lies in it
+            np.add.at(inside, self.parent[level], inside[level])
+            np.add.at(in_links, self.parent[level], in_links[level])
+        x[:, at + 3] = in_links / np.maximum(inside, 1) * ~leaf
         at, wide = at + 4, len(HINTS) + 2
         bits = (around[:, None] >> np.arange(wide)) & 1
         x[:, at : at + wide] = bits * ~leaf[:, None]
@@ -437,6 +444,8 @@ class _Writer:
         names = HINTS[kind].split()
         tag = {"menu": ("nav", "div", "nav", "ul"), "frame": ("header", "footer", "div"), "side": ("aside", "div", "section"), "notice": ("div", "section", "dialog", "aside"), "advert": ("div", "aside", "section"), "talk": ("section", "div"), "form": ("form", "div", "form")}[kind]
         tag = self.one(*tag)
+        if (kind == "menu" or inner.startswith("&copy;")) and self.chance(0.25):  # nothing but what it holds tells what it is
+            return self.one("<div>{}</div>", '<div class="top">{}</div>', '<div class="{}">{{}}</div>'.format(self.words(1, 1).strip(".,").lower()), "<div><div>{}</div></div>", "<section>{}</section>").format(inner)
         lone = tag in ("nav", "header", "footer", "aside", "form", "dialog") and self.chance(0.5)
         name = "" if lone else f' {self.one("class", "class", "id")}="{self.one("", "", "site-", "box ", "c-")}{self.one(*names)}{self.one("", "", "-box", "_1", " wide")}"'
         return f"<{tag}{name}>{inner}</{tag}>"
@@ -444,7 +453,7 @@ class _Writer:
     def junk(self) -> str:
         kind = self.one("menu", "frame", "side", "notice", "advert", "form")
         prose = lambda: self.one("<p>{}</p>", "{}", "<span>{}</span>", "<div>{}</div>").format(self.words(1, 40))
-        inner = {"menu": lambda: self.links(3, 8), "frame": lambda: self.one("&copy; ", "", "<h1>") + prose() + self.one("", self.links(1, 4)), "side": lambda: self.one("<h3>" + self.words(1, 4) + "</h3>", "") + self.one(self.links(2, 6), prose()), "form": lambda: f"<label>{self.words(1, 4)}</label><input name='q'>" + self.one("", prose()) + "<button>Go</button>"}.get(kind, prose)()
+        inner = {"menu": lambda: self.links(3, 8), "frame": lambda: self.one("&copy; ", "&copy; All rights reserved. ", "", "<h1>") + prose() + self.one("", self.links(1, 4)), "side": lambda: self.one("<h3>" + self.words(1, 4) + "</h3>", "") + self.one(self.links(2, 6), prose()), "form": lambda: f"<label>{self.words(1, 4)}</label><input name='q'>" + self.one("", prose()) + "<button>Go</button>"}.get(kind, prose)()
         return self.part(kind, inner)
 
     def block(self) -> str:

@@ -4,6 +4,7 @@ import re
 import time
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from conftest import DATA
 
@@ -62,6 +63,38 @@ def test_time_grows_with_the_length(piece):
     assert seconds(40_000) < 16 * max(seconds(5_000), 0.02)
 
 
+@pytest.mark.parametrize("opening,closing", [("<div>", "</section>"), ("<div>", "<dt></dt>"), ("<li><ul><div>", "<li></li>"), ("<title>", "x"), ("<table><div>", "<td></td>"), ("<p>", "</a>")])
+def test_time_grows_with_unmatched_tags(opening, closing):
+    def seconds(n):
+        begun = time.process_time()
+        html_extract.parse(opening * n + closing * n)
+        return time.process_time() - begun
+
+    seconds(100)
+    assert seconds(40_000) < 16 * max(seconds(5_000), 0.02)
+
+
+def _other_writer(rng, i):
+    """A page in another hand: no telling names, real words, a menu and a notice around the article."""
+    words = "the harbour master said that boats from all three islands would be moved before winter because repairs to the wall had been put off".split()
+    prose = lambda n: " ".join(rng.choice(words, n)).capitalize() + "."
+    menu = "".join(f"<a href='/{k}'>{w.capitalize()}</a> " for k, w in enumerate(rng.choice(words, int(rng.integers(3, 9)))))
+    blocks = [prose(int(rng.integers(15, 70))) for _ in range(int(rng.integers(2, 8)))]
+    heading = prose(6)
+    body = f"<h2>{heading}</h2>" + "".join(f"<p>{b}</p>" for b in blocks)
+    body = (f"<div class='k{i}'>{body}</div>", f"<section>{body}</section>", f"<div><div>{body}</div></div>", body)[i % 4]
+    foot = ("<div class='y'>All rights reserved</div>", "<div>&copy; 2020 Harbour Times</div>", f"<div>{menu}</div>")[i % 3]
+    return f"<html><body><div class='top'>{menu}</div>{body}{foot}</body></html>", "\n\n".join([heading, *blocks])
+
+
+def test_pages_of_another_writer_without_names():
+    rng = np.random.default_rng(5)
+    pages = [_other_writer(rng, i) for i in range(120)]
+    texts = html_extract.main_texts([p for p, _ in pages], html_extract.fitted(400, 11))
+    right = sum(t == want for t, (_, want) in zip(texts, pages, strict=True))
+    assert right >= 0.9 * len(pages), right
+
+
 class _Article(HTMLParser):
     """The blocks of the article element, by the standard library's reader."""
 
