@@ -9,9 +9,12 @@ array; a vector collides where it lies in the window.  Virtual rehashing widens
 all windows by ``growth`` at a time, and only the newly covered stretches are
 counted.  Vectors that collide in ``threshold`` of the arrays are verified, by
 the inner product of the original vectors in double precision.  The windows grow
-until ``k`` vectors, ``verify_least`` and ``verify_share`` of the shard are verified,
-or all of it.
-Whatever passes the threshold is verified: there is no cap on copies.
+until as many vectors are verified as the shard's index found to be needed when it
+was built: for ``sample`` of its own vectors it ranks the whole shard exactly, widens
+the windows until the true ``k`` nearest have passed the threshold, and keeps the
+number at which ``recall`` of all of them had.  So the verified share follows the
+data: small where near vectors collide early, all of the shard where nothing tells
+them apart.  Whatever passes the threshold is verified: there is no cap on copies.
 
 Queries are streamed through each shard's task in blocks, and each task holds one
 shard only; per query and shard at most ``k`` rows leave it, and a ranking over
@@ -64,24 +67,47 @@ class ShardIndex:
         found = self.flat.searchsorted(np.clip(at, self.low, self.high) + self.shift, side=side)
         return found - np.arange(len(self.order)) * len(self.ids)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, verify_share: float, verify_least: int, growth: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best verified vectors."""
+    def _widening(self, query: np.ndarray, threshold: float, growth: float) -> Iterator[np.ndarray]:
+        """The vectors over the threshold, after each widening of the windows; all in the end."""
         n, m = len(self.ids), len(self.order)
         at = (query / np.sqrt((query**2).sum()) * self.reach) @ self.directions[:-1]
         need = max(1, int(np.ceil(threshold * m)))
-        enough = max(k + int((self.ids == query_id).sum()), verify_least, int(np.ceil(verify_share * n)))
         lo = self._ends(at, "left")
         hi = lo.copy()
         counts, width = np.zeros(n, np.int64), self.step
-        while True:
+        while lo.max() > 0 or hi.min() < n:
             new_lo, new_hi = self._ends(at - width, "left"), self._ends(at + width, "right")
             fresh = [o[a:b] for o, a, b in zip(self.order, new_lo, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi, strict=True)]
             counts += np.bincount(np.concatenate(fresh), minlength=n)
             lo, hi = new_lo, new_hi
-            passed = np.flatnonzero(counts >= need)
-            if len(passed) >= min(enough, n) or (lo.max() == 0 and hi.min() == n):
-                break
+            yield np.flatnonzero(counts >= need)
             width *= growth
+
+    def calibrate(self, k: int, threshold: float, growth: float, recall: float, sample: int) -> None:
+        """Find how many vectors have to be verified for the recall, on the shard's own vectors."""
+        n = len(self.ids)
+        needed: list[int] = []
+        for i in np.random.default_rng(n).permutation(n)[:sample].tolist():
+            query = self.vectors[i]
+            scores = np.where(self.ids == self.ids[i], -np.inf, self.vectors @ query)
+            missing = np.zeros(n, bool)
+            missing[np.argsort(-scores, kind="stable")[:k]] = True
+            for passed in self._widening(query, threshold, growth):
+                new = passed[missing[passed]]
+                missing[new] = False
+                needed += [len(passed)] * len(new)
+                if not missing.any():
+                    break
+        self.enough = int(np.quantile(needed, recall, method="higher")) if n > 4 * k and needed else n
+
+    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best verified vectors."""
+        enough = max(self.enough, k + int((self.ids == query_id).sum()))
+        passed = np.arange(len(self.ids))
+        for passed in self._widening(query, threshold, growth):  # noqa: B007
+            if len(passed) >= enough:
+                break
+        self.verified = len(passed)
         passed = passed[self.ids[passed] != query_id]
         scores = (self.vectors[passed] * query).sum(axis=1)
         best = np.lexsort((self.ids[passed], -scores))[:k]
@@ -104,10 +130,10 @@ def search(
     is_query: Column,
     k: int = 20,
     projections: int = 64,
-    threshold: float = 0.6,
-    verify_share: float = 0.18,
-    verify_least: int = 240,
-    growth: float = 1.25,
+    threshold: float = 0.8,
+    recall: float = 0.92,
+    sample: int = 48,
+    growth: float = 1.06,
     shard_rows: int = 8192,
     block_queries: int = 16384,
     seed: int = 7,
@@ -137,8 +163,10 @@ def search(
                 if kind == 0:
                     parts.append((ids, matrix))
                 elif parts:
-                    index = index or ShardIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), projections, seed)
-                    found = [(q, *index.search(q, v, k, threshold, verify_share, verify_least, growth)) for q, v in zip(ids.tolist(), matrix, strict=True)]
+                    if index is None:
+                        index = ShardIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), projections, seed)
+                        index.calibrate(k, threshold, growth, recall, sample)
+                    found = [(q, *index.search(q, v, k, threshold, growth)) for q, v in zip(ids.tolist(), matrix, strict=True)]
                     who = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
                     yield pa.record_batch([pa.array(who), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
 

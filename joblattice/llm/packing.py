@@ -7,9 +7,9 @@ fill sequences exactly, and the rest is packed: largest first, each into the
 first open sequence with room, which a binary tree of maxima over the open
 sequences' free space finds in logarithmic time.
 
-Groups are formed by a hash of doc_id and the first piece's checksum, so a group
-stays near ``group_docs`` documents at every table size, a retried task makes the
-same groups, and rows that share a doc_id spread over groups by their texts.  Only piece lengths and
+Groups are formed by a hash of doc_id, the first piece's checksum, and a running number
+among equal rows of a batch, so a group stays near ``group_docs`` documents at every table
+size, whatever repeats, and a retried task makes the same groups.  Only piece lengths and
 checksums are shuffled, never the token ids.
 
 Edge cases: a null or empty text is the end id alone; equal doc_ids are packed
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-PIECE_SCHEMA = "doc_id long, doc_tokens long, grp long, row long, start array<long>, length array<long>, crc array<long>"
+PIECE_SCHEMA = "doc_id long, doc_tokens long, grp long, start array<long>, length array<long>, crc array<long>"
 RESULT_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
 _CACHE_WORDS = 400_000
@@ -132,10 +132,15 @@ def _cut(batch: pa.RecordBatch, path: str, length: int, end_id: int, groups: int
         totals.append(n)
     doc_id = batch.column(0)
     key = np.array([-1 if d is None else d for d in doc_id.to_pylist()], np.int64).view(np.uint64)
-    row = np.arange(len(key), dtype=np.uint64)
     first = np.array([c[0] for c in crcs], np.uint64)  # a retried task deals its rows alike, whatever their order
-    grp = tk.mix(tk.mix(key + np.uint64(seed)) + (first << np.uint64(32)) + np.array(totals, np.uint64)) % np.uint64(groups)
-    cols = [doc_id, pa.array(totals, pa.int64()), pa.array(grp.astype(np.int64)), pa.array(row.astype(np.int64))]
+    mixed = tk.mix(tk.mix(key + np.uint64(seed)) + (first << np.uint64(32)) + np.array(totals, np.uint64))
+    order = np.argsort(mixed, kind="stable")
+    ranked = mixed[order]
+    begins = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.zeros(0, np.int64)
+    nth = np.zeros(len(ranked), np.uint64)  # the first, second, ... of equal rows: which is which makes no difference
+    nth[order] = np.arange(len(ranked)) - np.repeat(begins, np.diff(np.append(begins, len(ranked))))
+    grp = tk.mix(mixed + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(groups)
+    cols = [doc_id, pa.array(totals, pa.int64()), pa.array(grp.astype(np.int64))]
     cols += [pa.array(x, pa.list_(pa.int64())) for x in (starts, lengths, crcs)]
     return pa.record_batch(cols, names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 

@@ -235,7 +235,7 @@ def test_collision_search_recall_and_ties(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
     got = defaultdict(dict)
-    for r in collision_search.search(table, F.col("vec_id") % 20 == 0, shard_rows=700).collect():
+    for r in queries.op5_collision_search(spark, "/root/testdata/sf0.1").collect():
         got[r.query_id][r.rank] = (r.vec_id, r.score)
     ids = np.array(list(rows))
     matrix = np.array(list(rows.values()))
@@ -248,6 +248,23 @@ def test_collision_search_recall_and_ties(spark):
     assert len(got) == sum(q % 20 == 0 for q in rows) and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("size", [64, 256, 512])
+def test_collision_search_recall_by_dimension(size):
+    """The registered settings on full shards of vectors that nothing sets apart, and on clustered ones."""
+    rng = np.random.default_rng(size)
+    centres = rng.standard_normal((40, size))
+    for matrix in (rng.standard_normal((8192, size)), centres[rng.integers(0, 40, 8192)] + 0.5 * rng.standard_normal((8192, size))):
+        index = collision_search.ShardIndex(np.arange(8192), matrix, 64, 7)
+        index.calibrate(20, 0.8, 1.06, 0.92, 48)
+        hits = 0
+        for q in range(0, 8192, 160):
+            scores = matrix @ matrix[q]
+            scores[q] = -np.inf
+            true = set(np.argsort(-scores, kind="stable")[:20].tolist())
+            hits += len(true & set(index.search(q, matrix[q], 20, 0.8, 1.06)[0].tolist()))
+        assert hits >= 0.9 * 20 * 52
+
+
 def test_collision_search_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))

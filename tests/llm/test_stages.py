@@ -64,3 +64,11 @@ def test_borderline_links_are_found(spark):
     got = {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs, width=2).collect()}
     linked = [got[2 * k + 1] == got[2 * k] for k in range(2000)]
     assert sum(want) > 1500 and linked == want
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_equal_rows_are_packed_in_many_groups(spark, doc_id):
+    rows = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("three words here").alias("text"))
+    packed = packing.pack(rows, queries.tokenizer_path("word_bpe_49k.json"), group_docs=100)
+    groups = packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count()
+    assert packed.count() == 20_000 and groups.count() > 150 and groups.agg(F.max("count")).first()[0] < 250
