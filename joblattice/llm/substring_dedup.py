@@ -184,12 +184,12 @@ def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, wi
         gone = batch.repeated(old, width)
         before = np.concatenate(([0], np.cumsum(gone)))[batch.words.bounds]
         text = tk.joined(batch.words, ~gone)
-        raw = text.cast(pa.large_binary()).to_pylist()
+        offsets, data = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1].tolist(), memoryview(text.buffers()[2] or b"")
         cols = {
             "doc_id": pa.array(batch.ids, pa.int64()),
             "n_words": pa.array(batch.words.counts, pa.int64()),
             "n_removed": pa.array(np.diff(before), pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
+            "kept_sha256": pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()),
         }
         if with_text:
             original = tk.one_array(docs.column("text")).take(pa.array(batch.rows, pa.int64()))
@@ -202,7 +202,7 @@ def _drop_repeats(batches: DataFrame, seen: DataFrame, width: int, bits: int, wi
     return batches.groupBy("rank").cogroup(seen.groupBy("rank")).applyInArrow(apply, schema)
 
 
-def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 8 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 13, run_bytes: int = 4 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Bulk load: each document without the words that a smaller document already has.
 
     A word goes if a window of ``width`` words that covers it also starts in a
@@ -258,7 +258,7 @@ def append_batch(index_path: str, docs: DataFrame, width: int = 13, bits: int =
     top = history.agg(F.max("rank")).first()[0]
     base = 0 if top is None else top + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rank, _, _ = plan_ranges(docs, 8 << 20)
+    rank, _, _ = plan_ranges(docs, 4 << 20)
     batches = docs.select((rank + base).alias("rank"), "doc_id", "text")
     new = written(runs_of(batches, width, bits), "runs")
     marks = merge_join(history.unionByName(new)).where(F.col("rank") >= base)
