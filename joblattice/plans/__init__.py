@@ -1,6 +1,6 @@
 """Queries, each registered with the SQL that says the same."""
 
-from . import asking, engagement, finding, history, market, newsroom, pages, quality, releases, rosters, streams
+from . import asking, engagement, finding, history, market, newsroom, pages, priced, quality, releases, rosters, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "asking", "engagement", "finding", "history", "market", "newsroom", "pages", "quality", "releases", "rosters", "streams"]
+__all__ = ["QUERIES", "SQL", "asking", "engagement", "finding", "history", "market", "newsroom", "pages", "priced", "quality", "releases", "rosters", "streams"]
