@@ -51,12 +51,12 @@ def skill_words(spark, sf_dir):
     return _index(spark, sf_dir)
 
 
-_ASKED = f"""{_INDEX}, asked AS (SELECT p_partkey AS id, p_type || ' parts, fitting and ' || p_name AS text FROM part WHERE p_partkey <= 100), {_tokens("asked", "qt")},
+_ASKED = f"""{_INDEX}, asked AS (SELECT p_partkey AS id, p_type || ' parts, fitting and ' || p_name AS text FROM part), {_tokens("asked", "qt")},
 sc AS (SELECT id AS query_id, skill, floor(sum(w * share) * 1000000 + 0.5) / 1000000 AS score FROM qt JOIN idx USING (token) GROUP BY ALL)"""
 
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("query_id"), F.concat("p_type", F.lit(" parts, fitting and "), "p_name").alias("text"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.concat("p_type", F.lit(" parts, fitting and "), "p_name").alias("text"))
     return search.described_skills(asked, _index(spark, sf_dir))
 
 

@@ -30,12 +30,13 @@ def cities_shown(spark, sf_dir):
     return roster.cities_shown(places.select("city"), employers.select("city", "c_acctbal"), F.col("c_acctbal") > 9500)
 
 
-@query("""SELECT c_custkey, c_custkey % 4 = 1 AS in_slice, (c_custkey - 95 + 100) % 100 < 10 AS at_cursor FROM customer WHERE c_custkey < 100 AND (c_custkey % 4 = 1 OR (c_custkey - 95 + 100) % 100 < 10)""")
+@query("""WITH c AS (SELECT c_custkey, count(*) OVER () AS n FROM customer) SELECT c_custkey, c_custkey % 4 = 1 AS in_slice, (c_custkey + 5) % n < 10 AS at_cursor FROM c WHERE c_custkey % 4 = 1 OR (c_custkey + 5) % n < 10""")
 def turns(spark, sf_dir):
     """A quarter of the roster in turn, and ten places from a cursor that goes round at the end."""
-    few = table(spark, sf_dir, "customer").where("c_custkey < 100").select("c_custkey")
-    part = roster.in_turn(few, "c_custkey", 4, 1).withColumn("in_slice", F.lit(True))
-    here = roster.from_cursor(few, "c_custkey", 100, 95, 10)[0].withColumn("at_cursor", F.lit(True))
+    all_of = table(spark, sf_dir, "customer").select("c_custkey")
+    n = all_of.count()
+    part = roster.in_turn(all_of, "c_custkey", 4, 1).withColumn("in_slice", F.lit(True))
+    here = roster.from_cursor(all_of, "c_custkey", n, n - 5, 10)[0].withColumn("at_cursor", F.lit(True))
     return part.join(here, "c_custkey", "full_outer").select("c_custkey", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_slice", "at_cursor")])
 
 
