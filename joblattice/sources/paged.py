@@ -1,7 +1,9 @@
 """Boards that answer page by page: a batch data source over windows of pages, and its rows as advertisements.
 
 ``spark.dataSource.register(PagedSource)`` and then
-``spark.read.format("paged").option("fetch", "package.module:function").option("pages", n).load()``.
+``spark.read.format("paged").option("fetch", "package.module:function").load()``.
+Planning asks for the last page of each window of six in turn and ends with the window
+whose last page is short, so no number of pages is needed; ``pages`` bounds it where one is given.
 The function takes a page number, from 0, and gives that page's rows as tuples of
 the source's columns; a page after the last one has no rows.
 """
@@ -34,10 +36,18 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         module, name = options["fetch"].split(":")
         self.fetch = getattr(import_module(module), name)
-        self.pages, self.size = int(options["pages"]), int(options.get("pagesize", 20))
+        self.pages, self.size = int(options.get("pages", 1 << 62)), int(options.get("pagesize", 20))
 
     def partitions(self) -> list[InputPartition]:
-        return [Pages(a, min(a + WINDOW, self.pages)) for a in range(0, self.pages, WINDOW)]
+        """The windows up to the one that ends short; a board without rows has one."""
+        windows, first = [], 0
+        while first < self.pages:
+            last = min(first + WINDOW, self.pages)
+            windows.append(Pages(first, last))
+            if len(self.fetch(last - 1)) < self.size:
+                break
+            first = last
+        return windows
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         """The window's pages up to the first short one, which is the board's last."""

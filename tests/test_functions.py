@@ -116,9 +116,20 @@ def fetch_page(page):
     return [(f"Job {page}-{i}", "Acme", "Perth", f"u{page}-{i}", "") for i in range(2 if page < 7 else 1 if page == 7 else 0)]
 
 
+def fetch_nothing(page):
+    return []
+
+
+def test_paged_source_plans_windows_up_to_the_short_page():
+    reader = lambda **options: paged.PagedReader({"fetch": "tests.test_functions:fetch_page", "pagesize": "2", **options})
+    assert [(p.first, p.last) for p in reader().partitions()] == [(0, 6), (6, 12)]
+    assert [(p.first, p.last) for p in reader(pages="4").partitions()] == [(0, 4)]
+    assert [(p.first, p.last) for p in reader(fetch="tests.test_functions:fetch_nothing").partitions()] == [(0, 6)]
+
+
 def test_paged_source_and_portal_rows(spark, tmp_path):
     spark.dataSource.register(paged.PagedSource)
-    rows = spark.read.format("paged").option("fetch", "tests.test_functions:fetch_page").option("pages", 20).option("pagesize", 2).load()
+    rows = spark.read.format("paged").option("fetch", "tests.test_functions:fetch_page").option("pagesize", 2).load()
     assert rows.count() == 15
     ads = paged.portal_rows(rows.union(rows.limit(3)).unionByName(rows.limit(1).withColumn("title", F.lit(" "))), "acme")
     assert ads.count() == 15 and {r.source for r in ads.collect()} == {"portal-acme"}
