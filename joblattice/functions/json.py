@@ -20,21 +20,35 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(F.trim(F.regexp_replace(text, GUARD, "")))
 
 
+def as_object(v: Column) -> Column:
+    """An object's fields as a map; null for anything else.  Looks at one level only, unlike :func:`kind`."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def as_array(v: Column) -> Column:
+    """An array's elements; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def scalar(v: Column) -> Column:
+    """A scalar's trimmed text; '' for everything else."""
+    plain = as_object(v).isNull() & as_array(v).isNull() & ~F.is_variant_null(v)
+    return F.coalesce(F.when(plain, F.trim(F.try_variant_get(v, "$", "string"))), F.lit(""))
+
+
 def record(v: Column) -> Column:
     """An object as a map of its fields; anything else as an empty one."""
-    fields = F.when(kind(v) == "OBJECT", F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.coalesce(fields, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
+    return F.coalesce(as_object(v), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")))
 
 
 def elements(v: Column) -> Column:
     """The elements of an array; anything else has none."""
-    items = F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
-    return F.coalesce(items, F.array().cast("array<variant>"))
+    return F.coalesce(as_array(v), F.array().cast("array<variant>"))
 
 
 def records(v: Column) -> Column:
     """The objects and arrays among an array's elements."""
-    return F.filter(elements(v), lambda x: kind(x).isin("OBJECT", "ARRAY"))
+    return F.filter(elements(v), lambda x: as_object(x).isNotNull() | as_array(x).isNotNull())
 
 
 def text(v: Column) -> Column:

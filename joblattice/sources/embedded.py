@@ -39,11 +39,6 @@ def _key(k: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(k), "__c$", ""), "[^a-z0-9]", "")
 
 
-def _scalar(v: Column) -> Column:
-    """A scalar's trimmed text; '' for everything else."""
-    return F.when(js.kind(v).isin("OBJECT", "ARRAY", "VOID"), "").otherwise(F.coalesce(F.trim(F.try_variant_get(v, "$", "string")), F.lit("")))
-
-
 def _let(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -64,8 +59,8 @@ def _first(names: list[str], of: Column) -> Column:
 
 def _shown(v: Column) -> Column:
     """The text that a field shows: its own, its label's, or its first element's."""
-    nested = _first(SHOWN, _named(js.record(v), _scalar))
-    return F.when(js.kind(v) == "OBJECT", nested).when(js.kind(v) == "ARRAY", F.coalesce(_scalar(F.get(js.elements(v), F.lit(0))), F.lit(""))).otherwise(_scalar(v))
+    nested = _first(SHOWN, _named(js.record(v), js.scalar))
+    return F.when(js.as_object(v).isNotNull(), nested).when(js.as_array(v).isNotNull(), js.scalar(F.get(js.elements(v), F.lit(0)))).otherwise(js.scalar(v))
 
 
 def fields_of(v: Column) -> Column:
@@ -127,12 +122,10 @@ WITH RECURSIVE walked(doc_id, at, v, depth) AS (
   SELECT doc_id, obj, v, 0 FROM {roots}
   UNION ALL
   SELECT doc_id, array_append(at, CAST(pos AS BIGINT)), kid, depth + 1 FROM (
-    SELECT doc_id, at, depth, posexplode(
-      CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN map_values(try_variant_get(v, '$', 'map<string,variant>'))
-           WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN try_variant_get(v, '$', 'array<variant>') END) AS (pos, kid)
+    SELECT doc_id, at, depth, posexplode(coalesce(map_values(try_variant_get(v, '$', 'map<string,variant>')), try_variant_get(v, '$', 'array<variant>'))) AS (pos, kid)
     FROM walked WHERE depth < {deepest}
-  ) WHERE schema_of_variant(kid) LIKE 'OBJECT%' OR schema_of_variant(kid) LIKE 'ARRAY%'
-       OR schema_of_variant(kid) = 'STRING' AND trim(try_variant_get(kid, '$', 'string')) RLIKE '^[{{\\[]' AND length(trim(try_variant_get(kid, '$', 'string'))) > 2
+  ) WHERE try_variant_get(kid, '$', 'map<string,variant>') IS NOT NULL OR try_variant_get(kid, '$', 'array<variant>') IS NOT NULL
+       OR trim(try_variant_get(kid, '$', 'string')) RLIKE '^[{{\\[]' AND length(trim(try_variant_get(kid, '$', 'string'))) > 2
 )
 SELECT doc_id, at, v FROM walked
 """
@@ -166,10 +159,10 @@ def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
     """
     part = F.col("part") if "part" in bodies.columns else F.lit(0)
     nodes = cut(walk(cut(values(bodies.select(F.struct("doc_id", part.cast("long").alias("part")).alias("doc_id"), "text")))))
-    records = nodes.where("schema_of_variant(v) LIKE 'OBJECT%'")
+    records = nodes.where(js.as_object(F.col("v")).isNotNull())
     if double_encoded:
-        inner = nodes.where("schema_of_variant(v) = 'STRING'").select(F.struct("doc_id", "at").alias("doc_id"), F.try_variant_get("v", "$", "string").alias("text"))
-        deeper = walk(cut(values(cut(inner)))).where("schema_of_variant(v) LIKE 'OBJECT%'")
+        inner = nodes.where(js.as_object(F.col("v")).isNull() & js.as_array(F.col("v")).isNull()).select(F.struct("doc_id", "at").alias("doc_id"), F.try_variant_get("v", "$", "string").alias("text"))
+        deeper = walk(cut(values(cut(inner)))).where(js.as_object(F.col("v")).isNotNull())
         records = records.unionByName(deeper.select("doc_id.doc_id", F.concat("doc_id.at", F.array(F.lit(-1).cast("long")), "at").alias("at"), "v"))
     found = _outermost(cut(records.select("doc_id", "at", fields_of(F.col("v")).alias("f")).where("f IS NOT NULL")))
     same = [F.col("doc_id.doc_id"), F.lower("f.title"), F.col("f.id"), F.lower("f.loc")]
