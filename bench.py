@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from joblattice.plans import QUERIES
 
-HEADLINE = ["skill_market_ranks", "daily_live_series", "market_risers_fallers", "skill_market_value", "half_window_change", "skill_index_groupingsets", "archive_upsert", "vacancy_rate_asof", "locf_series", "cohort_retention", "source_unique", "skill_remap"]
+HEADLINE = ["skill_market_ranks", "daily_live_series", "market_risers_fallers", "skill_market_value", "half_window_change", "skill_index_groupingsets", "archive_upsert", "vacancy_rate_asof", "locf_series", "cohort_retention", "source_unique", "skill_remap", "mention_index", "global_search", "group_totals_to_cities", "priced_market"]
 
 
 def main() -> None:

@@ -92,14 +92,21 @@ def lag_change(value: Column, keys: list[str], order: str, steps: int, start: Co
     return F.when(fits, half_up((value - base) / base * 100, 1))
 
 
-def on_month_axis(points: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Every key (keys, month, value) on all months from the first to the last of the table; nought where nothing was counted.
+def month_axis(points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every key (keys, month, value) on all months from the first to the last of the table; null where nothing was counted.
 
-    The axis has one row per month, so it is small whatever the table's size.
+    Points are unique by key and month.  They are read once, into a map of months per key;
+    the ends of the axis come from the same maps, so both sides share one exchange.
     """
-    axis = points.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
-    grid = points.select(*keys).distinct().join(F.broadcast(axis))
-    return grid.join(points, [*keys, "month"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    per_key = points.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month", value))).alias("known"))
+    ends = per_key.agg(F.min(F.array_min(F.map_keys("known"))).alias("a"), F.max(F.array_max(F.map_keys("known"))).alias("b"))
+    axis = per_key.join(F.broadcast(ends)).select(*keys, "known", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))  # one row
+    return axis.select(*keys, "month", F.try_element_at("known", "month").alias(value))
+
+
+def on_month_axis(points: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The points on the whole axis, nought where nothing was counted."""
+    return month_axis(points, keys, value).withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def trailing_change(value: Column, keys: list[str], order: str, steps: int = 12) -> Column:

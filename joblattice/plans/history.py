@@ -114,13 +114,8 @@ def vacancy_rate_asof(spark, sf_dir):
 @query(f"""WITH {CUBE}, ax AS (SELECT DISTINCT month FROM cube), s AS (SELECT DISTINCT skill, place FROM cube), g AS (SELECT skill, place, month, v FROM s CROSS JOIN ax LEFT JOIN cube USING (skill, place, month))
 SELECT skill, place, month, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY skill, place ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS v FROM g""", days="month")
 def locf_series(spark, sf_dir):
-    """Every series on the whole axis: the last value carried forward, zero before the first.
-
-    The axis has one row per month, so it is small whatever the archive's size.
-    """
-    c = cube(spark, sf_dir)
-    axis = c.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
-    grid = c.select("skill", "place").distinct().join(F.broadcast(axis)).join(c, ["skill", "place", "month"], "left")
+    """Every series on the whole axis: the last value carried forward, zero before the first."""
+    grid = series.month_axis(cube(spark, sf_dir), ["skill", "place"], "v")
     return grid.select("skill", "place", "month", F.coalesce(series.carry_forward(F.col("v"), ["skill", "place"], "month"), F.lit(0)).alias("v"))
 
 
