@@ -86,8 +86,8 @@ def indexed(index: DataFrame, members: DataFrame, months: DataFrame, anchor: Col
 
     Nought before a group's first quarter; 100 stands in for an index missing at the anchor.
     """
-    w = F.greatest(F.coalesce("weight", F.lit(0)), F.lit(1))
-    now = members.select("skill", "grp", (F.lit(level) * w / F.sum(w).over(Window.partitionBy())).alias("cur"))
+    weighed = members.select("skill", "grp", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(1)).alias("w"))
+    now = weighed.join(F.broadcast(weighed.agg(F.sum("w").alias("all")))).select("skill", "grp", (F.lit(level) * F.col("w") / F.col("all")).alias("cur"))  # one row
     at = _on_months(index.withColumn("value", F.col("value").cast("double")), months, ["grp"], "quarter", "value")
     base = at.where(F.col("month") == anchor).select("grp", F.col("value").alias("base"))
     joined = at.join(base, "grp", "left").join(now, "grp")

@@ -210,9 +210,10 @@ def follow_alerts(spark, sf_dir):
 @query(f"""{LIVE}, c AS (SELECT company_id, count(*) AS n FROM live GROUP BY company_id) SELECT company_id, n, floor(100.0 * n / max(n) OVER () + 0.5)::BIGINT AS of_leader, (SELECT count(*) FROM c) AS employers FROM c ORDER BY n DESC, company_id LIMIT 4""")
 def top_employers(spark, sf_dir):
     """The four largest employers, each in percent of the first, beside the number of all employers."""
-    whole = Window.partitionBy()
     c = _live(spark, sf_dir).groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.select("company_id", "n", half_up(100 * F.col("n") / F.max("n").over(whole)).cast("long").alias("of_leader"), F.count(F.lit(1)).over(whole).alias("employers")).orderBy(F.desc("n"), "company_id").limit(4)
+    whole = c.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("employers"))
+    first = c.orderBy(F.desc("n"), "company_id").limit(4).join(F.broadcast(whole))  # one row
+    return first.select("company_id", "n", half_up(100 * F.col("n") / F.col("most")).cast("long").alias("of_leader"), "employers")
 
 
 @query(f"{LIVE}, a AS (SELECT company_id, category, count(*) AS n, median(salary) AS pay FROM live GROUP BY ALL) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY n DESC, category) <= 8")

@@ -43,7 +43,7 @@ def unmapped_titles(spark, sf_dir):
     recent = ads(spark, sf_dir).where((F.col("last_seen") >= F.lit(AS_OF - timedelta(days=30))) & (F.col("first_seen") <= F.lit(AS_OF)))
     titles = recent.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
     none = titles.where(tx.matched_skills(F.col("title"), _TAXONOMY).isNull())
-    return none.withColumn("total", F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "title").limit(40)
+    return none.orderBy(F.desc("n"), "title").limit(40).join(F.broadcast(none.agg(F.sum("n").alias("total"))))  # one row
 
 
 @query(f"""WITH {ADS}, d AS (SELECT DISTINCT title, ' ' || lower(title) || ' ' AS t FROM ads), m AS (SELECT title, list_sort({_MAPPED}) AS new FROM d)
