@@ -378,8 +378,9 @@ def test_pipeline_stage_by_stage(spark):
     ids = sorted(texts)
     groups = brute_groups([texts[i] for i in ids], 5)
     near = cp.near_duplicates(spark, kept, DATA)
-    assert {r.doc_id for r in near.collect()} == {ids[i] for i, _, root in groups if i == root}
-    left = [i for i in ids if i in {r.doc_id for r in near.collect()}]
+    stay = {r.doc_id for r in near.collect()}
+    assert stay == {ids[i] for i, _, root in groups if i == root}
+    left = [i for i in ids if i in stay]
     sub = {r.doc_id: r for r in cp.substring_duplicates(spark, near, DATA).collect()}
     for (k, _, n_gone, digest), i in zip(brute_substrings([texts[i] for i in left]), left, strict=True):
         now = sub[i].text
