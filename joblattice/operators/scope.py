@@ -46,9 +46,8 @@ def mentions(questions: DataFrame, names: DataFrame) -> DataFrame:
     """
     known = _dictionary(names)
     longest = known.agg(F.max("n")).first()[0] or 1
-    spelled = words(F.col("text"))
-    ahead = F.transform(F.sequence(F.lit(1), F.size(spelled)), lambda i: F.slice(spelled, i, F.lit(longest)))
-    at = questions.where(F.size(spelled) > 0).select("question_id", F.posexplode(ahead).alias("start", "ahead"))
+    ahead = tx.let(words(F.col("text")), lambda ws: F.transform(ws, lambda _, i: F.slice(ws, i + 1, F.lit(longest))))  # cut once a text, not once a word
+    at = questions.select("question_id", F.posexplode(ahead).alias("start", "ahead"))
     heads = known.select("first", "n").distinct()
     runs = at.withColumn("first", F.lower(F.col("ahead")[0])).join(heads, "first").where(F.size("ahead") >= F.col("n"))
     said = runs.select("question_id", "start", F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("said")).withColumn("key", F.lower("said"))
@@ -71,7 +70,7 @@ def detect_scope(questions: DataFrame, names: DataFrame) -> DataFrame:
     world = questions.where(F.col("text").rlike(WORLD)).select("question_id", F.lit("world").alias("kind"), F.lit("").alias("id"), F.lit("Worldwide").alias("name"), F.lit(None).cast(names.schema["ordinal"].dataType).alias("ordinal"))
     every = mentions(questions, names).select("question_id", "kind", F.col("id").cast("string").alias("id"), "name", "ordinal").unionByName(world)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    best = F.min_by(F.struct("kind", "id", "name"), F.struct(rank, -F.length("name"), F.col("ordinal")))
+    best = F.min_by(F.struct("kind", "id", "name"), F.struct(rank, -F.length("name"), F.col("ordinal"), F.col("id")))
     return every.groupBy("question_id").agg(best.alias("b")).select("question_id", "b.kind", "b.id", "b.name")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as js
 from ..functions.dates import loose_date
+from ..functions.text import let as _let
 from ..operators.cutting import cut
 
 DEEPEST = 30
@@ -39,11 +40,6 @@ def _key(k: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(k), "__c$", ""), "[^a-z0-9]", "")
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _named(fields: Column, value) -> Column:
     """A map of a record's fields by key; of fields with one key the last."""
     entries = F.transform(F.map_entries(fields), lambda e: F.struct(_key(e["key"]).alias("k"), value(e["value"]).alias("t")))
