@@ -56,9 +56,13 @@ def skill_words(seeds: DataFrame, texts: DataFrame, most_words: int = MOST_WORDS
 
 
 def described_skills(queries: DataFrame, index: DataFrame, top: int = 6) -> DataFrame:
-    """(query_id, skill, score, place): skills ranked by the weights of a query's distinct words; queries of fewer than three characters have none."""
+    """(query_id, skill, score, place): skills ranked by the weights of a query's distinct words; queries of fewer than three characters have none.
+
+    The index is sent to the queries: it holds the taxonomy's words and at most MOST_WORDS others, with MOST_SKILLS
+    skills each.  Left open, Spark sends the queries' words, whose table it takes for no larger than the queries'.
+    """
     asked = queries.where(F.length(F.trim("text")) >= 3).select("query_id", F.explode(F.array_distinct(tx.search_tokens(F.col("text")))).alias("token"))
-    scores = asked.join(index, "token").groupBy("query_id", "skill").agg(half_up(F.sum(F.col("w") * F.col("share")), 6).alias("score"))
+    scores = asked.join(F.broadcast(index), "token").groupBy("query_id", "skill").agg(half_up(F.sum(F.col("w") * F.col("share")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "skill")
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
 
