@@ -1,10 +1,10 @@
 """Vacancies out of JSON of unknown shape: bodies of responses, and the JSON that pages embed.
 
 A body is parsed as a whole, or, where it isn't JSON, its balanced regions are.  A
-recursive query walks the values of all bodies at once, level by level down to
-``DEEPEST``, and stops at what looks like a vacancy.  Texts that hold JSON themselves
-are parsed and walked once more, in the same way.  Everything is built-in functions
-over VARIANT; a body's values meet in no list.
+value is walked inside its row, level by level down to ``DEEPEST``, and no further than
+what looks like a vacancy.  Texts that hold JSON themselves are parsed and walked once
+more, in the same way.  Everything is built-in functions over VARIANT; a level of one
+value is the most that a row holds.
 """
 
 from __future__ import annotations
@@ -113,37 +113,46 @@ def values(texts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------- walk
 
-_WALK = r"""
-WITH RECURSIVE walked(doc_id, at, v, depth) AS (
-  SELECT doc_id, obj, v, 0 FROM {roots}
-  UNION ALL
-  SELECT doc_id, array_append(at, CAST(pos AS BIGINT)), kid, depth + 1 FROM (
-    SELECT doc_id, at, depth, posexplode(coalesce(map_values(try_variant_get(v, '$', 'map<string,variant>')), try_variant_get(v, '$', 'array<variant>'))) AS (pos, kid)
-    FROM walked WHERE depth < {deepest}
-  ) WHERE try_variant_get(kid, '$', 'map<string,variant>') IS NOT NULL OR try_variant_get(kid, '$', 'array<variant>') IS NOT NULL
-       OR trim(try_variant_get(kid, '$', 'string')) RLIKE '^[{{\\[]' AND length(trim(try_variant_get(kid, '$', 'string'))) > 2
-)
-SELECT doc_id, at, v FROM walked
-"""
+_RECORD = f"struct<{', '.join(f'{f}: string' for f in FIELDS)}>"
 
 
-def walk(roots: DataFrame) -> DataFrame:
-    """(doc_id, at, v): the objects and arrays under the roots (doc_id, obj, v), down to ``DEEPEST`` levels, and texts that begin like JSON.
+def walked(obj: Column, v: Column, double_encoded: bool) -> Column:
+    """array(at, f, text) of one value: the vacancies under it, in no other vacancy, down to ``DEEPEST`` levels.
 
-    ``at`` is the value's path behind its root's ``obj``; an object's fields are in
-    alphabetical order.  The session's limit on the rows of a recursion is lifted.
+    ``at`` is a vacancy's path behind ``obj``, ``f`` its fields; an object's fields are in alphabetical order.
+    With ``double_encoded`` a text that begins like JSON is walked as well (-1 in the path), or, where only parts of
+    it can be JSON, given back as ``text``.  A row holds one level of its value at a time.
     """
-    spark = roots.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(_WALK, roots=roots, deepest=DEEPEST)
-
-
-def _outermost(found: DataFrame) -> DataFrame:
-    """Vacancies that lie in no other vacancy."""
-    above = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda n: F.slice("at", F.lit(1), n))
-    under = found.where(F.size("at") > 1).select("doc_id", F.col("at").alias("below"), F.explode(above).alias("at"))
-    nested = under.join(found.select("doc_id", "at"), ["doc_id", "at"], "left_semi").select("doc_id", F.col("below").alias("at")).distinct()
-    return found.join(nested, ["doc_id", "at"], "left_anti")
+    node = lambda at, value, depth, inner: F.struct(at.alias("at"), value.alias("v"), depth.alias("depth"), inner.alias("inner"))
+    nodes = "array<struct<at: array<bigint>, v: variant, depth: int, inner: boolean>>"
+    out = f"array<struct<at: array<bigint>, f: {_RECORD}, text: string>>"
+    string = lambda x: F.try_variant_get(x, "$", "string")
+    deep = lambda x: js.as_object(x).isNotNull() | js.as_array(x).isNotNull()
+    like = lambda x: _let(F.trim(string(x)), lambda t: t.rlike(r"^[{\[]") & (F.length(t) > 2))
+
+    def judge(n: Column) -> Column:
+        record = js.as_object(n["v"]).isNotNull()
+        text = F.when(F.lit(double_encoded) & ~n["inner"] & ~deep(n["v"]), string(n["v"]))
+        return F.struct(n.alias("n"), F.when(record, fields_of(n["v"])).alias("f"), text.alias("text"), F.when(text.isNotNull(), js.parsed(text)).alias("parsed"))
+
+    def below(j: Column) -> Column:
+        n = j["n"]
+        held = F.when(n["depth"] < DEEPEST, F.coalesce(F.map_values(js.as_object(n["v"])), js.elements(n["v"])))
+        kids = F.filter(F.transform(held, lambda x, i: node(F.concat(n["at"], F.array(i.cast("long"))), x, n["depth"] + 1, n["inner"])), lambda k: deep(k["v"]) | (~k["inner"] & like(k["v"])))
+        again = F.array(node(F.concat(n["at"], F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))), j["parsed"], F.lit(0), F.lit(True)))
+        return F.when(j["parsed"].isNotNull(), again).otherwise(F.coalesce(kids, F.array().cast(nodes)))
+
+    def level(state: Column) -> Column:
+        def split(judged: Column) -> Column:
+            told = F.filter(judged, lambda j: j["f"].isNotNull() | (j["text"].isNotNull() & j["parsed"].isNull()))
+            front = F.flatten(F.transform(F.filter(judged, lambda j: j["f"].isNull()), below))
+            return F.struct(front.cast(nodes).alias("front"), F.concat(state["out"], F.transform(told, lambda j: F.struct(j["n"]["at"].alias("at"), j["f"].alias("f"), j["text"].alias("text"))).cast(out)).alias("out"))
+
+        return _let(F.transform(state["front"], judge), split)
+
+    first = F.array(node(obj, v, F.lit(0), F.lit(False))).cast(nodes)
+    begin = F.struct(first.alias("front"), F.array().cast(out).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit((2 if double_encoded else 1) * (DEEPEST + 1))), begin, lambda state, _: F.when(F.size(state["front"]) == 0, state).otherwise(level(state)), lambda state: state["out"])
 
 
 def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
@@ -154,13 +163,14 @@ def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
     Null texts and texts without JSON give none.
     """
     part = F.col("part") if "part" in bodies.columns else F.lit(0)
-    nodes = cut(walk(cut(values(bodies.select(F.struct("doc_id", part.cast("long").alias("part")).alias("doc_id"), "text")))))
-    records = nodes.where(js.as_object(F.col("v")).isNotNull())
+    each = lambda roots, twice: roots.select("doc_id", F.inline(walked(F.col("obj"), F.col("v"), twice)))
+    nodes = each(values(bodies.select(F.struct("doc_id", part.cast("long").alias("part")).alias("doc_id"), "text")), double_encoded)
+    found = nodes.where("f IS NOT NULL").select("doc_id", "at", "f")
     if double_encoded:
-        inner = nodes.where(js.as_object(F.col("v")).isNull() & js.as_array(F.col("v")).isNull()).select(F.struct("doc_id", "at").alias("doc_id"), F.try_variant_get("v", "$", "string").alias("text"))
-        deeper = walk(cut(values(cut(inner)))).where(js.as_object(F.col("v")).isNotNull())
-        records = records.unionByName(deeper.select("doc_id.doc_id", F.concat("doc_id.at", F.array(F.lit(-1).cast("long")), "at").alias("at"), "v"))
-    found = _outermost(cut(records.select("doc_id", "at", fields_of(F.col("v")).alias("f")).where("f IS NOT NULL")))
+        # Texts that are JSON in parts only are few, so these are kept, and everything else is walked again.
+        broken = cut(nodes.where("text IS NOT NULL").select(F.struct("doc_id", "at").alias("doc_id"), "text"))
+        deeper = each(values(broken), False).select("doc_id.doc_id", F.concat("doc_id.at", F.array(F.lit(-1).cast("long")), "at").alias("at"), "f")
+        found = found.unionByName(deeper.where("f IS NOT NULL"))
     same = [F.col("doc_id.doc_id"), F.lower("f.title"), F.col("f.id"), F.lower("f.loc")]
     nth = F.row_number().over(Window.partitionBy(*same).orderBy("doc_id.part", "at"))
     kept = found.withColumn("nth", nth).where("nth = 1")
