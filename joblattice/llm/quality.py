@@ -53,7 +53,8 @@ ORDER = 5
 _BITS = 12
 _POINT = 21
 _PAD = "\x02" * (ORDER - 1)
-_CHARS = 500_000
+_CHARS = 1_000_000
+_TOGETHER = 8 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "[#*$%&|<>]"
@@ -96,7 +97,8 @@ def _repeated_words(words: tk.Words, window: int) -> np.ndarray:
     """Word positions covered by a window that its text holds at least twice."""
     at = np.flatnonzero(tk.window_starts(words.bounds, window))
     flag = np.zeros(len(words.ids), bool)
-    h = tk.mix(tk.window_hashes(words.hashes(), window)[at] + tk.mix(words.owner()[at].astype(np.uint64)))
+    word = tk.mix(words.ids.astype(np.uint64) + _GOLD)  # windows are compared within a text only, so a word's number will do
+    h = tk.mix(tk.window_hashes(word, window)[at] + tk.mix(words.owner()[at].astype(np.uint64)))
     ranked = np.sort(h)
     twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
     if len(twice):
@@ -346,19 +348,42 @@ def slices_of(docs: DataFrame, slices: int, carry: tuple[str, ...]) -> DataFrame
 
 
 def _unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of a slice's parts, about ``_TOGETHER`` bytes at a time."""
+    held, size = [], 0
     for part in table.column("part"):
-        yield from pa.ipc.open_stream(part.as_buffer())
+        for batch in pa.ipc.open_stream(part.as_buffer()):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _TOGETHER:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _distinct(runs: Iterator[np.ndarray]) -> np.ndarray:
+    """The distinct values of all runs, sorted; they are united whenever the unsorted ones outgrow the sorted."""
+    whole, waiting, size = np.zeros(0, np.uint64), [], 0
+
+    def united() -> np.ndarray:
+        values = np.concatenate([whole, *waiting])
+        values.sort()
+        return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+    for run in runs:
+        waiting.append(run)
+        size += len(run)
+        if size > max(len(whole), _CHARS):
+            whole, waiting, size = united(), [], 0
+    return united()
 
 
 def questions(parts: DataFrame, ranges: int, slices_at_once: int) -> DataFrame:
     """(r, turn, slice, h): the distinct n-gram hashes of a slice in hash range r, sorted."""
 
     def ask(key, table):
-        some = [np.zeros(0, np.uint64)]
-        for batch in _unpacked(table):
-            some += [_hashes(lang, hi, lo) for lang, hi, lo, _ in _distinct_grams(batch.column("lang"), tk.one_array(batch.column("text")))]
-            some = [np.unique(np.concatenate(some))]
-        h, s = some[0], key[0].as_py()
+        grams = (x for batch in _unpacked(table) for x in _distinct_grams(batch.column("lang"), tk.one_array(batch.column("text"))))
+        h, s = _distinct(_hashes(lang, hi, lo) for lang, hi, lo, _ in grams), key[0].as_py()
         tk.give_back()
         r = _range_of(h, ranges)
         cuts = np.flatnonzero(np.diff(r)) + 1

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -153,3 +154,18 @@ def test_many_languages_are_joined_by_shuffle(spark, monkeypatch):
     want = sorted(map(str, quality.judge(docs).collect()))
     monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 2)
     assert sorted(map(str, quality.judge(docs).collect())) == want
+
+
+def test_small_parts_are_read_together_and_united_rarely(monkeypatch):
+    """Fifty parts of a slice are one batch, and a sorted whole is not sorted again for every run of hashes."""
+    parts = []
+    for i in range(50):
+        batch, sink = pa.record_batch([pa.array([i]), pa.array([f"text {i}"])], names=["doc_id", "text"]), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        parts.append(sink.getvalue().to_pybytes())
+    read = list(quality._unpacked(pa.table({"part": pa.array(parts, pa.binary())})))
+    assert [b.num_rows for b in read] == [50] and read[0].column("doc_id").to_pylist() == list(range(50))
+    monkeypatch.setattr(quality, "_CHARS", 10)
+    runs = [np.random.default_rng(i).integers(0, 500, 40).astype(np.uint64) for i in range(30)]
+    assert (quality._distinct(iter(runs)) == np.unique(np.concatenate(runs))).all() and not len(quality._distinct(iter([])))
