@@ -7,7 +7,8 @@ projected on ``projections`` random directions, and every projection is kept as
 one sorted array.  A query opens a window around its own projection in every
 array; a vector collides where it lies in the window.  Virtual rehashing widens
 all windows by ``growth`` at a time, and only the newly covered stretches are
-counted.  Vectors that collide in ``threshold`` of the arrays are verified, by
+counted; a query begins at the widths at which the one before it ended, and widens or
+narrows them from there.  Vectors that collide in ``threshold`` of the arrays are verified, by
 the inner product of the original vectors in double precision.  The windows grow
 until as many vectors are verified as the shard's index found to be needed when it
 was built: for ``sample`` of its own vectors it ranks the whole shard exactly, widens
@@ -55,33 +56,68 @@ class ShardIndex:
         lifted = np.column_stack([self.vectors, np.sqrt(np.maximum(norms.max() - norms, 0))])
         self.directions = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
         shadow = lifted @ self.directions
-        self.order = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(shadow, axis=0, kind="stable").T.copy()
         # All sorted arrays in one, each moved up behind the one before, so that one search finds all window ends.
         self.low, self.high = float(shadow.min()) - 1, float(shadow.max()) + 1
         self.shift = np.arange(projections) * (self.high - self.low + 1)
         self.flat = (np.take_along_axis(shadow, self.order.T, axis=0).T + self.shift[:, None]).ravel()
         self.step = float(shadow.std()) / 4 or 1.0
+        self.level = 0
 
     def _ends(self, at: np.ndarray, side: str) -> np.ndarray:
         """Places in the sorted arrays, one value per projection."""
         found = self.flat.searchsorted(np.clip(at, self.low, self.high) + self.shift, side=side)
         return found - np.arange(len(self.order)) * len(self.ids)
 
+    def _shadow(self, query: np.ndarray) -> np.ndarray:
+        return (query / np.sqrt((query**2).sum()) * self.reach) @ self.directions[:-1]
+
+    def _window(self, at: np.ndarray, level: int, growth: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ends of the windows in the sorted arrays after ``level`` widenings."""
+        width = self.step * growth**level
+        return self._ends(at - width, "left"), self._ends(at + width, "right")
+
+    def _covered(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many of the stretches [lo, hi) of the sorted arrays each vector lies in."""
+        some = [o[a:b] for o, a, b in zip(self.order, lo.tolist(), hi.tolist(), strict=True) if a < b]
+        return np.bincount(np.concatenate(some), minlength=len(self.ids)) if some else np.zeros(len(self.ids), np.int64)
+
     def _widening(self, query: np.ndarray, threshold: float, growth: float) -> Iterator[np.ndarray]:
         """The vectors over the threshold, after each widening of the windows; all in the end."""
-        n, m = len(self.ids), len(self.order)
-        at = (query / np.sqrt((query**2).sum()) * self.reach) @ self.directions[:-1]
-        need = max(1, int(np.ceil(threshold * m)))
-        lo = self._ends(at, "left")
-        hi = lo.copy()
-        counts, width = np.zeros(n, np.int64), self.step
-        while lo.max() > 0 or hi.min() < n:
-            new_lo, new_hi = self._ends(at - width, "left"), self._ends(at + width, "right")
-            fresh = [o[a:b] for o, a, b in zip(self.order, new_lo, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, new_hi, strict=True)]
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            lo, hi = new_lo, new_hi
+        need, at = max(1, int(np.ceil(threshold * len(self.order)))), self._shadow(query)
+        lo = hi = self._ends(at, "left")
+        counts, level = np.zeros(len(self.ids), np.int64), 0
+        while lo.max() > 0 or hi.min() < len(self.ids):
+            new_lo, new_hi = self._window(at, level, growth)
+            counts += self._covered(new_lo, lo) + self._covered(hi, new_hi)
+            lo, hi, level = new_lo, new_hi, level + 1
             yield np.flatnonzero(counts >= need)
-            width *= growth
+
+    def _passed(self, query: np.ndarray, enough: int, threshold: float, growth: float) -> np.ndarray:
+        """The vectors over the threshold after the first widening at which there are enough; all if there never are.
+
+        What passes only grows with the windows, so the way to that widening begins where the query before it
+        ended, up or down, and only the stretches between two widenings are counted.
+        """
+        need, at, level = max(1, int(np.ceil(threshold * len(self.order)))), self._shadow(query), self.level
+        lo, hi = self._window(at, level, growth)
+        counts = self._covered(lo, hi)
+        passed = np.flatnonzero(counts >= need)
+        if len(passed) >= enough:
+            while level:
+                new_lo, new_hi = self._window(at, level - 1, growth)
+                counts -= self._covered(lo, new_lo) + self._covered(new_hi, hi)
+                less = np.flatnonzero(counts >= need)
+                if len(less) < enough:
+                    break
+                passed, lo, hi, level = less, new_lo, new_hi, level - 1
+        while len(passed) < enough and (lo.max() > 0 or hi.min() < len(self.ids)):
+            level += 1
+            new_lo, new_hi = self._window(at, level, growth)
+            counts += self._covered(new_lo, lo) + self._covered(hi, new_hi)
+            passed, lo, hi = np.flatnonzero(counts >= need), new_lo, new_hi
+        self.level = level
+        return passed
 
     def calibrate(self, k: int, threshold: float, growth: float, recall: float, sample: int) -> None:
         """Find how many vectors have to be verified for the recall, on the shard's own vectors."""
@@ -103,13 +139,13 @@ class ShardIndex:
     def search(self, query_id: int, query: np.ndarray, k: int, threshold: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best verified vectors."""
         enough = max(self.enough, k + int((self.ids == query_id).sum()))
-        passed = np.arange(len(self.ids))
-        for passed in self._widening(query, threshold, growth):  # noqa: B007
-            if len(passed) >= enough:
-                break
+        passed = self._passed(query, enough, threshold, growth)
         self.verified = len(passed)
         passed = passed[self.ids[passed] != query_id]
         scores = (self.vectors[passed] * query).sum(axis=1)
+        if len(scores) > k:
+            least = ~(scores < np.partition(scores, -k)[-k])
+            passed, scores = passed[least], scores[least]
         best = np.lexsort((self.ids[passed], -scores))[:k]
         return self.ids[passed[best]], scores[best]
 

@@ -265,6 +265,26 @@ def test_collision_search_recall_by_dimension(size):
         assert hits >= 0.9 * 20 * 52
 
 
+def test_collision_search_begins_where_the_query_before_ended(monkeypatch):
+    """What a query finds is what widening from the smallest windows finds, in far fewer steps than that takes."""
+    rng = np.random.default_rng(5)
+    matrix = np.concatenate([rng.standard_normal((1500, 16)), 3 * rng.standard_normal((500, 16)), np.ones((100, 16))])
+    index = collision_search.ShardIndex(np.arange(len(matrix)), matrix, 64, 7)
+    index.calibrate(20, 0.8, 1.06, 0.92, 48)
+    steps, window = [0], index._window
+    monkeypatch.setattr(index, "_window", lambda *a: steps.__setitem__(0, steps[0] + 1) or window(*a))
+    near = far = 0
+    for q in range(0, len(matrix), 20):
+        enough = max(index.enough, 21)
+        steps[0] = 0
+        want = next((p for p in index._widening(matrix[q], 0.8, 1.06) if len(p) >= enough), np.arange(len(matrix)))
+        far, steps[0] = far + steps[0], 0
+        assert (index._passed(matrix[q], enough, 0.8, 1.06) == want).all()
+        near += steps[0]
+    assert near < far / 3
+    assert len(index._passed(matrix[0], 10**6, 0.8, 1.06)) == len(matrix)
+
+
 def test_collision_search_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (8, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
