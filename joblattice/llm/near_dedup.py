@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _children(branches: int, roots: list[int] | None):
-    """A batch function: from (tree, path, fp, sig, s1, s2), or (fp, ...) at the roots, to the child rows."""
+    """A batch function to the child rows: from (fp, sig, s1, s2) at the roots, or from these with ``nodes``, a list of (tree, path)."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,18 +130,31 @@ def _children(branches: int, roots: list[int] | None):
             if roots:
                 starts = [(pa.array(np.full(n, t, np.int32)), np.full(n, r, np.uint64)) for t, r in enumerate(roots)]
             else:
-                starts = [(batch.column("tree"), batch.column("path").to_numpy().view(np.uint64))]
+                nodes = batch.column("nodes")
+                row = np.repeat(row, pc.list_value_length(nodes).to_numpy(zero_copy_only=False))
+                nodes = nodes.flatten()
+                starts = [(nodes.field("tree"), nodes.field("path").to_numpy().view(np.uint64))]
+            same = [batch.column(c).take(pa.array(row)) for c in ("fp", "s1", "s2")]
             for tree, path in starts:
                 pick = (tk.mix(path + _GOLD) % np.uint64(COORDS)).astype(np.int64)
                 jump = (tk.mix(path ^ _GOLD) % np.uint64(COORDS // 2)).astype(np.int64) + 1
                 for b in range(branches):
                     at = (pick + b * jump) % COORDS
                     child = tk.mix(path * _GOLD + tk.mix(sig[row, at].astype(np.uint64) * np.uint64(COORDS) + at.astype(np.uint64)))
-                    yield pa.record_batch([tree, pa.array(child.view(np.int64)), batch.column("fp"), batch.column("s1"), batch.column("s2")], names=["tree", "path", "fp", "s1", "s2"])
+                    yield pa.record_batch([tree, pa.array(child.view(np.int64)), *same], names=["tree", "path", "fp", "s1", "s2"])
 
     return grow
 
 
+def _looked_up(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per document of the nodes' members (tree, path, fp, s1, s2), with its minwise values and the list of its nodes.
+
+    A document lies in as many nodes of one level as the trees have branches, so the values are fetched once for all of them.
+    """
+    held = nodes.groupBy("fp").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.collect_list(F.struct("tree", "path")).alias("nodes"))
+    return held.join(classes.select("fp", "sig"), "fp")
+
+
 _ROWS = "tree int, path long, fp binary, s1 long, s2 long"
 
 
@@ -180,8 +194,7 @@ def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (
             found.append(_node_pairs(large.select(cut.alias("path"), "fp", "s1", "s2"), least))
             still = written(large.select("path", "fp", "s1", "s2"), "large")
             break
-        with_sig = large.select("tree", "path", "fp", "s1", "s2").join(classes.select("fp", "sig"), "fp")
-        rows = written(with_sig.mapInArrow(_children(branches[level], None), _ROWS), "nodes")
+        rows = written(_looked_up(large, classes).mapInArrow(_children(branches[level], None), _ROWS), "nodes")
         used.append(rows)
         if not rows.take(1):
             break

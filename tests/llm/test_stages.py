@@ -2,6 +2,7 @@
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,18 @@ def test_equal_rows_are_packed_in_many_groups(spark, doc_id):
     packed = packing.pack(rows, queries.tokenizer_path("word_bpe_49k.json"), group_docs=100)
     groups = packed.groupBy(F.shiftright("sequence_id", 32).alias("g")).count()
     assert packed.count() == 20_000 and groups.count() > 150 and groups.agg(F.max("count")).first()[0] < 250
+
+
+def test_minwise_values_are_fetched_once_for_all_nodes(spark):
+    """A join of every node's members with their values made up to 60 rows for each document of a large group."""
+    docs = spark.createDataFrame([(i, f"{WORDS} own{i}") for i in range(40)], "doc_id long, text string")
+    classes = near_dedup.sketches(docs, 5).select("fp", "sig", "s1", "s2").cache()
+    rows = classes.mapInArrow(near_dedup._children(2, [11, 12, 13]), near_dedup._ROWS)
+    held = near_dedup._looked_up(rows, classes)
+    assert held.count() == 40 and {r.n for r in held.select(F.size("nodes").alias("n")).collect()} == {6}
+    below = held.mapInArrow(near_dedup._children(2, None), near_dedup._ROWS)
+    plain = {(r.tree, r.path, bytes(r.fp)): bytes(r.sig) for r in rows.join(classes.select("fp", "sig"), "fp").collect()}
+    one = [{"fp": f, "sig": s, "s1": 0, "s2": 0, "nodes": [{"tree": t, "path": p}]} for (t, p, f), s in plain.items()]
+    want = [b for b in near_dedup._children(2, None)([pa.RecordBatch.from_pylist(one, pa.schema([("fp", pa.binary()), ("sig", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("nodes", pa.list_(pa.struct([("tree", pa.int32()), ("path", pa.int64())])))]))])]
+    paths = sorted((t, p, f) for b in want for t, p, f in zip(*[b.column(c).to_pylist() for c in ("tree", "path", "fp")], strict=True))
+    assert sorted((r.tree, r.path, bytes(r.fp)) for r in below.collect()) == paths and len(paths) == 40 * 12
