@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Exchange rates to AUD, currencies of countries, countries of single-country boards, markers
 # of currencies in order of precedence.
 FX_TO_AUD = {"AUD": 1.0, "USD": 1.420319, "GBP": 1.91459, "EUR": 1.638525, "CAD": 1.013292, "NZD": 0.837048, "SGD": 1.108501, "MYR": 0.348539, "PHP": 0.023196, "CNY": 0.21033, "HKD": 0.181197, "INR": 0.014882, "JPY": 0.008981, "KRW": 0.000986, "AED": 0.386764, "SAR": 0.378771, "QAR": 0.390218, "THB": 0.04255, "IDR": 0.000079, "CHF": 1.758582, "ZAR": 0.086135}
@@ -36,11 +38,13 @@ def _numbers(text: Column) -> Column:
 
 def annual_aud(salary: Column, country: Column, source: Column) -> Column:
     """A salary text in AUD a year: midpoint of its least and largest plausible figure; null if unreadable."""
-    text = F.trim(salary)
+    return let(F.trim(salary), lambda text: _annual_aud(text, country, source))
+
+
+def _annual_aud(text: Column, country: Column, source: Column) -> Column:
     low = F.lower(text)
     marker = F.coalesce(*[F.when(text.rlike(f"(?i){p}"), F.lit(code)) for p, code in MARKERS])
     currency = F.coalesce(marker, _lookup(CURRENCY_OF, F.coalesce(country, _lookup(COUNTRY_OF_SOURCE, source))))
-    rate = _lookup(FX_TO_AUD, currency)
     wan = text.contains("万")
     scale = F.when(wan, 10_000.0).when(text.rlike(r"(?i)\d\s*k\b"), 1_000.0).otherwise(1.0)
     yearly = low.rlike(r"\bper year\b|\byearly\b|\bper annum\b|\bp\.?a\.?\b|/yr\b|年薪")
@@ -52,32 +56,36 @@ def annual_aud(salary: Column, country: Column, source: Column) -> Column:
         .when(low.rlike(r"\bper month\b|\bmonthly\b|/mo\b|/month\b|/月") | (~yearly & (wan | text.contains("元"))), months)
         .otherwise(1.0)
     )
-    each = F.transform(_numbers(text), lambda n: n * scale * times * rate)
+    # Inside a function over figures, rules of the text would run once for every figure.
+    read = F.struct(_numbers(text).alias("n"), scale.alias("scale"), times.alias("times"), _lookup(FX_TO_AUD, currency).alias("rate"))
+    each = let(read, lambda r: F.transform(r["n"], lambda n: n * r["scale"] * r["times"] * r["rate"]))  # all null without a rate
     fair = F.filter(each, lambda v: (v >= LEAST_YEAR) & (v <= MOST_YEAR))
-    return F.when((F.size(fair) > 0) & rate.isNotNull(), half_up((F.array_min(fair) + F.array_max(fair)) / 2).cast("long"))
+    return let(fair, lambda vs: F.when(F.size(vs) > 0, half_up((F.array_min(vs) + F.array_max(vs)) / 2).cast("long")))
 
 
 def parsed_pay(raw: Column, fallback: Column) -> Column:
     """The analyst's reading of a pay text as struct(annual, currency): figures in 万 a month, S$ by the
     month if tagged or below 30,000, bands in k, plain figures of 20,000 or more; else null."""
-    text = F.trim(raw)
+    return let(F.trim(raw), lambda text: _parsed_pay(text, fallback))
+
+
+def _parsed_pay(text: Column, fallback: Column) -> Column:
     number = lambda c: F.replace(F.nullif(c, F.lit("")), F.lit(","), F.lit("")).cast("double")
     pay = lambda annual, currency: F.struct(annual.cast("double").alias("annual"), currency.alias("currency"))
     wan = rf"({NUMBER})\s*(?:[-–~]\s*({NUMBER}))?\s*万"
-    w1, w2 = number(F.regexp_extract(text, wan, 1)), number(F.regexp_extract(text, wan, 2))
     sgd = rf"S\$\s*({NUMBER})(?:\s*[-–]\s*S?\$?\s*({NUMBER}))?"
-    s1, s2 = number(F.regexp_extract(text, sgd, 1)), number(F.regexp_extract(text, sgd, 2))
-    mid = (s1 + F.coalesce(s2, s1)) / 2
-    monthly = text.rlike(r"(?i)/\s*mo|per month|monthly") | (mid < 30_000)
+    both = lambda rule: F.struct(*[number(F.regexp_extract(text, rule, i)).alias(f"_{i}") for i in (1, 2)])
     bands = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)({NUMBER})\s*k\b"), F.lit(1)), lambda n: number(n) * 1000)
     plain = F.filter(_numbers(text), lambda n: n > 0)
-    middle = lambda xs: (F.array_min(xs) + F.array_max(xs)) / 2
-    return (
-        F.when(w1.isNotNull(), pay((w1 + F.coalesce(w2, w1)) / 2 * 120_000, F.lit("CNY")))
-        .when(s1.isNotNull(), pay(F.when(monthly, mid * 12).otherwise(mid), F.lit("SGD")))
-        .when(F.size(bands) > 0, pay(middle(bands), fallback))
-        .when(middle(plain) >= 20_000, pay(middle(plain), fallback))
-    )
+    centre = lambda p: (p["_1"] + F.coalesce(p["_2"], p["_1"])) / 2
+    middle = lambda xs: let(xs, lambda v: (F.array_min(v) + F.array_max(v)) / 2)
+    monthly = lambda mid: text.rlike(r"(?i)/\s*mo|per month|monthly") | (mid < 30_000)
+    # Each rule is read where the one before finds nothing, and once.
+    in_wan = let(both(wan), lambda p: F.when(p["_1"].isNotNull(), pay(centre(p) * 120_000, F.lit("CNY"))))
+    in_sgd = let(let(both(sgd), centre), lambda mid: F.when(mid.isNotNull(), pay(F.when(monthly(mid), mid * 12).otherwise(mid), F.lit("SGD"))))
+    in_bands = let(middle(bands), lambda v: F.when(v.isNotNull(), pay(v, fallback)))
+    in_figures = let(middle(plain), lambda v: F.when(v >= 20_000, pay(v, fallback)))
+    return F.coalesce(in_wan, in_sgd, in_bands, in_figures)
 
 
 def board_salary(low: Column, high: Column, period: Column) -> Column:

@@ -53,12 +53,12 @@ def pay_texts(spark, sf_dir):
     n, k = F.col("n"), F.col("k")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.lit(40) + F.col("p_size")).cast("int").alias("n"))
     shapes = [F.format_string("A$%d,000 - A$%d,000 per annum", n, n + 10), F.format_string("%dk to %dk", n, n + 10), F.format_string("US$%d per hour", n), F.format_string("S$%d per month", n * 100), F.lit("competitive, plus car"), F.format_string("£%d,000", n)]
-    text = _one_of(k, shapes)
-    country = F.when(k % 6 == 1, "nz")
-    pay = money.parsed_pay(text, F.lit("AUD"))
+    rows = rows.repartition("k").withColumn("text", _one_of(k, shapes))  # much work for each row of a small file
+    country, text = F.when(k % 6 == 1, "nz"), F.col("text")
     edges = rows.agg(F.min("n").alias("least"), F.max("n").alias("most"))
     period = _one_of(k, [F.lit("Monthly"), F.lit("hourly"), F.lit("yearly")])
-    wide = rows.join(F.broadcast(edges))  # one row
+    wide = rows.join(F.broadcast(edges)).withColumn("pay", money.parsed_pay(text, F.lit("AUD")))  # one row
+    pay = F.col("pay")
     return wide.select("k", money.annual_aud(text, country, F.lit("no-such")).alias("aud"), pay["annual"].alias("annual"), pay["currency"].alias("currency"), money.board_salary(n.cast("double"), (n + 2).cast("double"), period).alias("board"), F.round(money.heat_position(n, F.col("least"), F.col("most")), 9).alias("heat"))
 
 

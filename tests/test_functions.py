@@ -155,3 +155,11 @@ def test_empty_tables(spark):
     assert news.mention_index(none("article string, title string, own string, published date"), none("name string"), date(2026, 8, 1)).count() == 0
     assert search.skill_words(none("skill string, text string, weight double"), none("text string, weight double, skills array<string>")).count() == 0
     assert builders.held_flat(none("skill string, geo string, year int, thousands double"), none("month date")).count() == 0
+
+
+def test_rules_of_a_pay_text_run_once(spark):
+    """They ran for every figure and every mention of the result, which made pay_texts slow."""
+    rows = spark.createDataFrame([("ZAR 100,000 - 120,000", "za")], "s string, c string")
+    plan = rows.select(money.annual_aud(F.col("s"), F.col("c"), F.lit("x")).alias("aud"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\bZAR\b") == 1 and plan.count("annum") == 1
+    assert rows.select(money.annual_aud(F.col("s"), F.col("c"), F.lit("x"))).first()[0] == round(110_000 * money.FX_TO_AUD["ZAR"])
