@@ -35,11 +35,13 @@ def employer_movers(rows: DataFrame, as_of: date) -> DataFrame:
     return moved.select("*", pct.alias("pct"), way.alias("dir"), F.row_number().over(order).alias("place")).where(F.col("place") <= MOVERS_SHOWN)
 
 
-def _nearest(companies: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(id, peer, apart): of each company the ``k`` next in size within its keys: among the ``k`` before and after it, no others can be nearer."""
+def _nearest(companies: DataFrame, keys: list[str], k: int, only: DataFrame | None = None) -> DataFrame:
+    """(id, peer, apart): of each company (whose id is in ``only``) the ``k`` next in size within its keys: among the ``k`` before and after it, no others can be nearer."""
     by = Window.partitionBy(*keys).orderBy("headcount", "id")
     around = F.concat(F.collect_list(F.struct("id", "headcount")).over(by.rowsBetween(-k, -1)), F.collect_list(F.struct("id", "headcount")).over(by.rowsBetween(1, k)))
-    pairs = companies.withColumn("around", around).select("id", "headcount", F.explode("around").alias("p"))
+    asked = companies.withColumn("around", around)
+    asked = asked if only is None else asked.join(only, "id", "left_semi")
+    pairs = asked.select("id", "headcount", F.explode("around").alias("p"))
     return pairs.select("id", F.col("p.id").alias("peer"), F.abs(F.col("p.headcount") - F.col("headcount")).alias("apart"))
 
 
@@ -50,8 +52,8 @@ def peers(companies: DataFrame, k: int = 4) -> DataFrame:
     ``companies`` has id, country, sector, grp and headcount.  Of more than ``k`` of one headcount, those next to it by id are taken.
     """
     own = _nearest(companies, ["country", "sector"], k).withColumn("tier", F.lit("sector"))
-    alone = companies.join(own.select("id").distinct(), "id", "left_anti").select("id")
-    wider = _nearest(companies, ["country", "grp"], k).join(alone, "id", "left_semi").withColumn("tier", F.lit("group"))
+    alone = companies.groupBy("country", "sector").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").select("id")
+    wider = _nearest(companies, ["country", "grp"], k, alone).withColumn("tier", F.lit("group"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("apart", "peer"))
     return own.unionByName(wider).withColumn("place", nth).where(F.col("place") <= k).select("id", "place", "peer", "tier")
 

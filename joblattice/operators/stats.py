@@ -79,3 +79,17 @@ def share_percent(n: Column, *keys: str) -> Column:
 def rank_within(rows: DataFrame, keys: list[str], order: list[Column], top: int, name: str = "place") -> DataFrame:
     """The first rows of each group, numbered."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= top)
+
+
+def placed(rows: DataFrame, bucket: Column, *order: str) -> DataFrame:
+    """``rows`` with ``nth``: their place from 1 in ``order``, nulls last, over all rows.
+
+    ``bucket`` rises with the order and has few values; only these are numbered in one task, the rows within their buckets.
+    """
+    dealt = rows.withColumn("_bucket", bucket)
+    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.asc_nulls_last("_bucket")).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_bucket").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_last(c) for c in order]))
+    numbered = dealt.withColumn("_within", within).join(starts, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return numbered.withColumn("nth", F.col("_before") + F.col("_within")).drop("_bucket", "_of", "_before", "_within")

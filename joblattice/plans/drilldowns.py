@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money
-from ..operators import archive, drill
+from ..operators import archive, drill, stats
 from .fixture import ADS, AS_OF, ads, table
 from .registry import query
 
@@ -30,9 +29,9 @@ g AS (SELECT a.id, b.id AS peer, 'group' AS tier, row_number() OVER (PARTITION B
 SELECT id, place, peer, tier FROM s WHERE place <= 4 UNION ALL SELECT id, place, peer, tier FROM g WHERE place <= 4""")
 def peers_with_fallback(spark, sf_dir):
     """The four nearest in size of the same country and sector, else of the same country and group."""
-    rank = F.row_number().over(Window.orderBy("c_acctbal", "c_custkey"))  # distinct sizes for the employers of a roster
+    customers = stats.placed(table(spark, sf_dir, "customer"), F.floor("c_acctbal"), "c_acctbal", "c_custkey")  # distinct sizes; balances lie between -1,000 and 10,000
     sector = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("own "), "c_custkey")).otherwise(F.col("c_mktsegment"))
-    companies = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("country"), sector.alias("sector"), (F.col("c_custkey") % 2).alias("grp"), (rank * 3 + F.col("c_custkey") % 2).alias("headcount"))
+    companies = customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("country"), sector.alias("sector"), (F.col("c_custkey") % 2).alias("grp"), (F.col("nth") * 3 + F.col("c_custkey") % 2).alias("headcount"))
     return drill.peers(companies)
 
 

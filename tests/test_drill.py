@@ -6,7 +6,9 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from joblattice.operators import drill
+from conftest import DATA
+from joblattice.operators import drill, stats
+from joblattice.plans import QUERIES
 
 AS_OF = date(2024, 3, 31)
 
@@ -55,3 +57,15 @@ def test_employer_movers(spark):
     got = drill.employer_movers(spark.createDataFrame(rows, "company_id long, skills array<string>, first_seen date, last_seen date"), AS_OF).collect()
     assert {(r.company_id, r.skill, r.now_n, r.prev_n, r.pct, r.dir, r.place) for r in got} == {(1, "a", 1, 0, 100, "up", 1), (2, "a", 1, 0, 100, "up", 1)}
     assert got[0].series == [0] * 12 + [1] and drill.employer_movers(spark.createDataFrame([], "company_id long, skills array<string>, first_seen date, last_seen date"), AS_OF).select(F.count("*")).first()[0] == 0
+
+
+def test_places_over_all_rows_are_not_given_in_one_task(spark):
+    """Places in order, nulls last; the only window over everything is over the buckets' counts."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 17 == 0 else rng.randrange(-500, 500) / 100) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    out = stats.placed(df, F.floor("v"), "v", "k")
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [(r.k, r.v) for r in sorted(out.collect(), key=lambda r: r.nth)] == want and sorted(r.nth for r in out.collect()) == list(range(1, 301))
+    plan = QUERIES["peers_with_fallback"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_bucket" in plan and "row_number() windowspecdefinition(c_acctbal" not in plan
