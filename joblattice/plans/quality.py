@@ -193,10 +193,17 @@ n AS (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS name FROM d, unnest(range(1,
 SELECT item_id, name FROM g JOIN n USING (name)""")
 def headline_mentions(spark, sf_dir):
     """Names of two words, taken from all documents and whole texts, that stand in headlines."""
+    heads = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # Of the documents' names only those that a headline holds are gathered, as their number grows with all texts.
+    held = _word_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(_word_pairs(heads).distinct(), "name", "left_semi")
+    return mentions(heads, held.distinct())
+
+
+def _word_pairs(texts):
+    """(name): every two consecutive words of the texts."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
     pairs = F.transform(F.sequence(F.lit(0), F.size("ws") - 2), lambda i: F.concat_ws(" ", F.get("ws", i), F.get("ws", i + 1)))
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(words.alias("ws")).where(F.size("ws") > 1)
-    return mentions(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), texts.select(F.explode(pairs).alias("name")).distinct())
+    return texts.select(words.alias("ws")).where(F.size("ws") > 1).select(F.explode(pairs).alias("name"))
 
 
 def mentions(heads, names):

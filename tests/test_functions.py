@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from joblattice.functions import dates, money, text
@@ -163,3 +164,9 @@ def test_rules_of_a_pay_text_run_once(spark):
     plan = rows.select(money.annual_aud(F.col("s"), F.col("c"), F.lit("x")).alias("aud"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\bZAR\b") == 1 and plan.count("annum") == 1
     assert rows.select(money.annual_aud(F.col("s"), F.col("c"), F.lit("x"))).first()[0] == round(110_000 * money.FX_TO_AUD["ZAR"])
+
+
+def test_names_that_no_headline_holds_are_not_gathered(spark):
+    """All pairs of words of all documents went through a shuffle and a join on their first word."""
+    plan = quality.headline_mentions(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
