@@ -167,6 +167,15 @@ def _node_pairs(rows: DataFrame, least_agreement: int) -> DataFrame:
     return nodes.select(F.explode(F.flatten(F.transform("m", of_one))).alias("p")).select("p.*")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """The members of nodes of two classes or more, with the node's number of members ``n`` and its ``first`` one.
+
+    One row comes in and at most one goes out for a class and node, so the rows are as many as the trees have branches, whatever the size of a node.
+    """
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
+    return rows.join(sizes, "path")
+
+
 def _least_agreement(similarity: float) -> int:
     """One-bit values agree where the tokens do, and in half of the other cases."""
     return int(COORDS * (1 + similarity) / 2)
@@ -179,13 +188,15 @@ def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (
     """
     least = _least_agreement(least_similarity)
     roots = [int(x) for x in tk.mix(np.arange(1, trees + 1, dtype=np.uint64))]
-    rows = written(classes.select("fp", "sig", "s1", "s2").mapInArrow(_children(branches[0], roots), _ROWS), "nodes")
-    found, used, still = [], [rows], None
+    rows = classes.select("fp", "sig", "s1", "s2").mapInArrow(_children(branches[0], roots), _ROWS)
+    found, used, still = [], [], None
     for level in range(1, len(branches) + 1):
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1")
-        little = rows.join(sizes.where(F.col("n") <= small).select("path"), "path", "left_semi")
-        found.append(written(_node_pairs(little, least).distinct(), "pairs"))
-        large = rows.join(sizes.where(F.col("n") > small), "path")
+        nodes = written(rows, "nodes")
+        sized = written(_sized(nodes), "sized")
+        forget(nodes)
+        used.append(sized)
+        found.append(written(_node_pairs(sized.where(F.col("n") <= small), least).distinct(), "pairs"))
+        large = sized.where(F.col("n") > small)
         if level == len(branches):
             first = large.where(F.col("fp") != F.col("first")).select("first", "fp").distinct()
             found.append(first.select(F.col("first").alias("a"), F.col("fp").alias("b")))
@@ -193,11 +204,10 @@ def candidates(classes: DataFrame, trees: int = 6, branches: tuple[int, ...] = (
             cut = F.xxhash64("path", F.pmod(F.xxhash64("fp", "tree"), parts))
             found.append(_node_pairs(large.select(cut.alias("path"), "fp", "s1", "s2"), least))
             still = written(large.select("path", "fp", "s1", "s2"), "large")
+        elif not large.take(1):
             break
-        rows = written(_looked_up(large, classes).mapInArrow(_children(branches[level], None), _ROWS), "nodes")
-        used.append(rows)
-        if not rows.take(1):
-            break
+        else:
+            rows = _looked_up(large, classes).mapInArrow(_children(branches[level], None), _ROWS)
     whole = found[0]
     for part in found[1:]:
         whole = whole.unionByName(part)

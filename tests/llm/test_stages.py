@@ -88,3 +88,16 @@ def test_minwise_values_are_fetched_once_for_all_nodes(spark):
     want = [b for b in near_dedup._children(2, None)([pa.RecordBatch.from_pylist(one, pa.schema([("fp", pa.binary()), ("sig", pa.binary()), ("s1", pa.int64()), ("s2", pa.int64()), ("nodes", pa.list_(pa.struct([("tree", pa.int32()), ("path", pa.int64())])))]))])]
     paths = sorted((t, p, f) for b in want for t, p, f in zip(*[b.column(c).to_pylist() for c in ("tree", "path", "fp")], strict=True))
     assert sorted((r.tree, r.path, bytes(r.fp)) for r in below.collect()) == paths and len(paths) == 40 * 12
+
+
+@pytest.mark.parametrize("copies", [60, 240])
+def test_nodes_of_a_large_group_are_joined_once_a_level(spark, monkeypatch, copies):
+    """Each level's nodes were joined with their sizes twice; the rows are at most 12, 24, 24 and 24 a text, however large its group."""
+    joined = []
+    sized = near_dedup._sized
+    monkeypatch.setattr(near_dedup, "_sized", lambda rows: joined.append((rows.count(), sized(rows).count())) or sized(rows))
+    docs = spark.createDataFrame([(i, f"{WORDS} own{i}") for i in range(copies)], "doc_id long, text string")
+    classes = near_dedup.sketches(docs, 5).cache()
+    pairs, still = near_dedup.candidates(classes)
+    assert len(joined) == 4 and all(m <= n <= k * copies for (n, m), k in zip(joined, (12, 24, 24, 24), strict=True))
+    assert joined[0][1] > 10 * copies and still.count() > 20 * copies and pairs.count() >= copies - 1
