@@ -12,31 +12,43 @@ from .fixture import ADS, ads, table
 from .registry import query
 
 
-def _told(shape: str, *args) -> Column:
-    return F.format_string(shape, *[F.col(a) if isinstance(a, str) else a for a in args])
+def _told(shape: str, *args: Column) -> Column:
+    return F.format_string(shape, *args)
 
 
-def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, each followed by up to three vacancies, as cards, as state, as streamed chunks, or as both with more cards."""
-    pages = table(spark, sf_dir, "pages")
-    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 3).alias("page_id"), (F.col("p_partkey") % 3).alias("k"), "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    link = _told("/job/role-%d", F.col("p_partkey") + 1000)
+def _card(j: Column) -> Column:
+    """A vacancy as links with what screen readers are told, the third one of a page as text far from all else."""
+    link = _told("/job/role-%d", j["p_partkey"] + 1000)
     aria = F.concat(
-        _told('<a href="%s" aria-label="Organization: %s for %s">x</a>', link, "p_brand", "p_name"),
-        _told('<a class="c" href="%s" aria-label="Location: %s for %s">y</a><a href="%s">%s &amp; more</a>', link, "p_type", "p_name", link, "p_name"),
+        _told('<a href="%s" aria-label="Organization: %s for %s">x</a>', link, j["p_brand"], j["p_name"]),
+        _told('<a class="c" href="%s" aria-label="Location: %s for %s">y</a><a href="%s">%s &amp; more</a>', link, j["p_type"], j["p_name"], link, j["p_name"]),
     )
-    bare = _told('<div><a href="%s"><b>%s</b> opening</a><p>Organisation: %s | Salary: $%d | Location: %s | Posted: 3 March 2020 | </p></div>', link, "p_name", "p_brand", "p_size", "p_type")
-    card = F.when(F.col("k") == 2, F.concat(F.lit("<p>" + "." * 1300 + "</p>"), bare, F.lit("<p>" + "." * 1300 + "</p>"))).otherwise(aria)
-    item = F.struct(F.col("p_name").alias("jobTitle"), F.struct(F.col("p_type").alias("label")).alias("location"), F.col("p_brand").alias("Agency__c"), F.lit("2020-03-03T00:00").alias("postedDate"), F.concat(F.lit("J"), F.col("p_partkey") % 2).alias("id"))
-    by_page = part.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("k", card.alias("card"), item.alias("item")))).alias("jobs"))  # three at most
-    cards = F.array_join(F.transform("jobs", lambda j: j["card"]), "")
-    state = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("id"), F.lit("Sydney Region").alias("name"))).alias("facets"), F.struct(F.transform("jobs", lambda j: j["item"]).alias("list")).alias("results")))
-    one = F.to_json(F.struct(F.transform(F.slice("jobs", 1, 1), lambda j: j["item"]).alias("list")))
+    bare = _told('<div><a href="%s"><b>%s</b> opening</a><p>Organisation: %s | Salary: $%d | Location: %s | Posted: 3 March 2020 | </p></div>', link, j["p_name"], j["p_brand"], j["p_size"], j["p_type"])
+    return F.when(j["k"] == 2, F.concat(F.lit("<p>" + "." * 1300 + "</p>"), bare, F.lit("<p>" + "." * 1300 + "</p>"))).otherwise(aria)
+
+
+def _item(j: Column) -> Column:
+    return F.struct(j["p_name"].alias("jobTitle"), F.struct(j["p_type"].alias("label")).alias("location"), j["p_brand"].alias("Agency__c"), F.lit("2020-03-03T00:00").alias("postedDate"), F.concat(F.lit("J"), j["p_partkey"] % 2).alias("id"))
+
+
+def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, each followed by up to three vacancies, as cards, as state, as streamed chunks, or as both with more cards.
+
+    Only vacancies of a page that is there are gathered, as fields; they become html beside their page.
+    """
+    pages = table(spark, sf_dir, "pages")
+    fields = ["k", "p_partkey", "p_name", "p_brand", "p_type", "p_size"]
+    part = table(spark, sf_dir, "part").withColumn("page_id", F.floor(F.col("p_partkey") / 3)).withColumn("k", F.col("p_partkey") % 3).select("page_id", *fields)
+    shown_parts = part.join(pages.select("page_id"), "page_id", "left_semi")
+    by_page = shown_parts.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("jobs"))  # three at most
+    cards = F.array_join(F.transform("jobs", _card), "")
+    state = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("id"), F.lit("Sydney Region").alias("name"))).alias("facets"), F.struct(F.transform("jobs", _item).alias("list")).alias("results")))
+    one = F.to_json(F.struct(F.transform(F.slice("jobs", 1, 1), _item).alias("list")))
     script = lambda body: F.concat(F.lit('<script type="application/json">'), body, F.lit("</script>"))
     chunk = F.concat(F.lit('<script>self.__next_f.push([1,"'), F.regexp_replace(F.concat(F.lit("7:"), state, F.lit("\n")), r'(["\\])', r"\\$1"), F.lit('"])</script>'))
     chunk = F.replace(chunk, F.lit("\n"), F.lit("\\n"))
     shown = F.when(F.col("page_id") % 4 == 0, cards).when(F.col("page_id") % 4 == 1, script(state)).when(F.col("page_id") % 4 == 2, chunk).otherwise(F.concat(script(one), cards))
-    return pages.join(by_page, "page_id", "left").select("page_id", F.concat("html", F.coalesce(shown, F.lit(""))).alias("html"))
+    return pages.join(by_page.hint("shuffle_hash"), "page_id", "left").select("page_id", F.concat("html", F.when(F.col("jobs").isNull(), "").otherwise(shown)).alias("html"))
 
 
 @query("""WITH j AS (

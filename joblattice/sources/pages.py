@@ -57,12 +57,16 @@ def labelled(block: Column, labels: list[str]) -> Column:
 
 
 def job_links(pages: DataFrame, href: str) -> DataFrame:
-    """(page_id, start, stop, href, marks, inner): a page's links to vacancies, by their places in the html, from 0."""
+    """(page_id, start, stop, href, marks, inner): a page's links to vacancies, by their places in the html, from 0.
+
+    A link's row holds the link and the length of what stands before it; the rest of the html is sorted nowhere.
+    """
     link = rf'<a\b[^>]*?href="[^"]*{href}[^"]*"[^>]*>.*?</a>'
-    pieces = F.regexp_extract_all("html", F.lit(rf"(?is){link}|[^<]++|<"), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(pieces).alias("i", "piece"))
+    between = F.transform(F.split("html", rf"(?is){link}"), lambda s: F.length(s))
+    pieces = F.transform(F.regexp_extract_all("html", F.lit(rf"(?is){link}"), F.lit(0)), lambda s, i: F.struct(F.get(between, i).alias("gap"), s.alias("piece")))
+    rows = pages.select("page_id", F.posexplode(pieces).alias("i", "p")).select("page_id", "i", "p.gap", "p.piece")
     by = Window.partitionBy("page_id").orderBy("i")
-    placed = rows.withColumn("stop", F.sum(F.length("piece")).over(by)).where(F.lower("piece").startswith("<a"))
+    placed = rows.withColumn("stop", F.sum(F.col("gap") + F.length("piece")).over(by))
     inside = rf'(?is)^<a\b([^>]*?)href="([^"]*{href}[^"]*)"([^>]*)>(.*?)</a>$'
     part = lambda k: F.regexp_extract("piece", inside, k)
     return placed.where(F.col("piece").rlike(inside)).select("page_id", (F.col("stop") - F.length("piece")).alias("start"), "stop", part(2).alias("href"), F.concat(part(1), part(3)).alias("marks"), part(4).alias("inner"))
@@ -98,7 +102,7 @@ def job_cards(pages: DataFrame, href: str = r"/job/[\w-]+", site: str = "") -> D
     fields = [first(F.when(F.col("field").isin(names), value)).alias(f) for f, names in ARIA_FIELDS.items()]
     cards = rows.groupBy("page_id", "href").agg(first(title).alias("title"), *fields, F.min("start").alias("place"), F.min(F.when(~told, F.col("start"))).alias("start"), F.max(F.when(~told, F.col("stop"))).alias("stop"))
     poor = F.col("start").isNotNull() & (F.col("agency").isNull() | F.col("loc").isNull())
-    near = cards.join(pages.select("page_id", "html"), "page_id").withColumn("block", F.when(poor, _block("start", "stop"))).drop("html")
+    near = pages.select("page_id", "html").join(cards.hint("shuffle_hash"), "page_id").withColumn("block", F.when(poor, _block("start", "stop"))).drop("html")
     filled = {f: F.coalesce(F.col(f), labelled(F.col("block"), names), F.lit("")) for f, names in LABELS.items()}
     posted = loose_date(filled.pop("posted"))
     number = F.regexp_extract("href", r"-(\d{3,})(?:[/?#]|$)", 1)
@@ -127,7 +131,7 @@ def extract_jobs(pages: DataFrame, href: str = r"/job/[\w-]+", site: str = "") -
     both = n(json, "n_json").join(n(cards, "n_cards"), "page_id", "full_outer")
     winner = both.select("page_id", F.when(F.coalesce("n_json", F.lit(0)) >= F.coalesce("n_cards", F.lit(0)), "embedded-json").otherwise("job-cards").alias("strategy"))
     best = json.select("page_id", *COLUMNS, "strategy").unionByName(cards.select("page_id", *COLUMNS, "strategy")).join(winner, ["page_id", "strategy"], "left_semi")
-    rest = job_anchors(pages.join(winner, "page_id", "left_anti"), href, site).withColumn("strategy", F.lit("dom-anchors"))
+    rest = job_anchors(pages.join(winner.hint("shuffle_hash"), "page_id", "left_anti"), href, site).withColumn("strategy", F.lit("dom-anchors"))
     return best.unionByName(rest.select("page_id", *COLUMNS, "strategy"))
 
 
