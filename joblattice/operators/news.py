@@ -56,7 +56,7 @@ def mention_index(articles: DataFrame, roster: DataFrame, as_of: date, days: int
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     fresh = articles.where(F.col("published").isNull() | (F.datediff(F.lit(as_of), "published") <= days))
-    names = roster.where(F.length(F.trim("name")) >= 3).select("name", words("name").alias("nw")).distinct().where(F.size("nw") > 0).withColumn("w", F.get("nw", F.lit(0)))
+    names = roster.where(F.length(F.trim("name")) >= 3).select("name").distinct().withColumn("nw", words("name")).where(F.size("nw") > 0).withColumn("w", F.get("nw", F.lit(0)))
     placed = fresh.select("article", "own", "published", words("title").alias("ws")).select("*", F.posexplode("ws").alias("at", "w"))
     hits = placed.join(names, "w").where((F.slice("ws", F.col("at") + 1, F.size("nw")) == F.col("nw")) & ~F.col("own").eqNullSafe(F.col("name")))
     found = hits.select("name", F.col("article").alias("url"), "published").distinct()

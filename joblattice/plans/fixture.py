@@ -19,7 +19,8 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order line as an advertisement: job_key, source, title, company, hub, country, category, skills, salary, first_seen, last_seen."""
     t = lambda name: table(spark, sf_dir, name)
     place = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows by the data model
-    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # An order stands once, so a task's table of orders is its share of them; the lines, several times as many, need no sort.
+    lines = t("lineitem").join(t("orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
     wide = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     wide = wide.join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
     first = F.col("o_orderdate").cast("date")

@@ -52,7 +52,8 @@ def mention_index(spark, sf_dir):
     """The newest six headlines of a week for every name of one or two words that they hold."""
     rows = ads(spark, sf_dir)
     articles = rows.where(F.col("first_seen") <= F.lit(AS_OF)).select(F.col("job_key").alias("article"), "title", F.get("skills", F.lit(0)).alias("own"), F.col("first_seen").alias("published"))
-    names = rows.select(F.explode("skills").alias("name")).union(rows.select("title")).distinct()
+    told = rows.select("title", "skills").distinct()  # titles repeat, so words are cut from each once and the archive is read once
+    names = told.select(F.explode(F.concat("skills", F.array("title"))).alias("name"))
     return news.mention_index(articles, names, AS_OF)
 
 
