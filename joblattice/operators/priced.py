@@ -2,8 +2,8 @@
 
 Advertisements have skills (a list, each once), source, country, salary (a year's, in
 one currency, or null), first_seen and last_seen.  The window's length and its first
-covered day come out of the feeds as tables of one row and clip the advertisements inside the
-same plan, so nothing is collected and no advertisement is spread over days that are
+covered day come out of the feeds as tables of one row and clip the advertisements' counts inside
+the same plan, so nothing is collected and no count is spread over days that are
 cut off again.  Ranks over all skills run in one task: skills are as many as the taxonomy has.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import half_up
 from .coverage import covered_from
-from .stats import median_of_medians, upper_median
+from .stats import floored_median, median_of_medians, upper_median
 
 # Least points of a line, least advertisements on a skill's best day, the feeds' least share of all
 # rows, the ticker's windows, how much it shows and when it is filled up, and the band its changes are kept in.
@@ -45,20 +45,31 @@ def _half_change(line: Column) -> Column:
     return F.when((F.size(line) >= LEAST_POINTS) & (before > 0), half_up((after - before) / F.nullif(before, F.lit(0.0)) * 100, 1))
 
 
-def _covered(rows: DataFrame, as_of: date, want: int) -> DataFrame:
-    """The rows of the window with its first day ``begin``, no earlier than feeds with 95 % of its rows had begun."""
-    feeds = rows.groupBy("source").agg(F.min("first_seen").alias("mn"), F.count(F.lit(1)).alias("n"))
+def _begin(rows: DataFrame, as_of: date, want: int) -> DataFrame:
+    """One row (begin): the window's first day, no earlier than feeds with 95 % of its rows had begun; no row without a window.
+
+    The archive is counted once, by feed and last day inside the widest window; both steps read these counts.
+    """
+    inside = (F.col("last_seen") >= F.date_sub(F.lit(as_of), want - 1)) & (F.col("first_seen") <= F.lit(as_of))
+    counts = rows.groupBy("source", F.when(inside, F.least("last_seen", F.lit(as_of))).alias("seen")).agg(F.min("first_seen").alias("mn"), F.count(F.lit(1)).alias("n"))
+    feeds = counts.groupBy("source").agg(F.min("mn").alias("mn"), F.sum("n").alias("n"), F.collect_list(F.struct("seen", "mn", "n")).alias("counts"))  # a window's days at most
     span = market_window(feeds, as_of, want).where("span IS NOT NULL").select(F.date_sub(F.lit(as_of), F.col("span") - 1).alias("start"))
-    inside = rows.join(F.broadcast(span)).where((F.col("last_seen") >= F.col("start")) & (F.col("first_seen") <= F.lit(as_of)))  # one row
-    whole = covered_from(inside.groupBy("source").agg(F.min("first_seen").alias("mn"), F.count(F.lit(1)).alias("n")))
-    return inside.join(F.broadcast(whole)).withColumn("begin", F.least(F.lit(as_of), F.greatest("start", "covered_from"))).drop("start", "covered_from")  # one row
+    held = feeds.select("source", F.inline("counts")).join(F.broadcast(span)).where(F.col("seen") >= F.col("start"))  # one row
+    whole = covered_from(held.groupBy("source").agg(F.min("mn").alias("mn"), F.sum("n").alias("n")))
+    return span.join(F.broadcast(whole)).select(F.least(F.lit(as_of), F.greatest("start", "covered_from")).alias("begin"))  # one row
 
 
 def daily_lines(rows: DataFrame, as_of: date, want: int = 30) -> DataFrame:
-    """(skill, begin, line): each skill's advertisements on every day from the window's first covered day on."""
-    covered = _covered(rows, as_of, want).where(F.col("last_seen") >= F.col("begin"))
-    spread = covered.select("begin", F.explode("skills").alias("skill"), F.explode(F.sequence(F.greatest("first_seen", "begin"), F.least("last_seen", F.lit(as_of)))).alias("day"))
-    per_day = spread.groupBy("skill", "begin", "day").agg(F.count(F.lit(1)).alias("n"))
+    """(skill, begin, line): each skill's advertisements on every day from the window's first covered day on.
+
+    Advertisements of a skill with the same days inside the widest window are counted before they are spread.
+    """
+    low = F.date_sub(F.lit(as_of), want - 1)
+    recent = rows.where((F.col("last_seen") >= low) & (F.col("first_seen") <= F.lit(as_of)))
+    runs = recent.select(F.explode("skills").alias("skill"), F.greatest("first_seen", low).alias("from"), F.least("last_seen", F.lit(as_of)).alias("to")).groupBy("skill", "from", "to").agg(F.count(F.lit(1)).alias("k"))
+    covered = runs.join(F.broadcast(_begin(rows, as_of, want))).where(F.col("to") >= F.col("begin"))  # one row
+    spread = covered.select("skill", "begin", "k", F.explode(F.sequence(F.greatest("from", "begin"), "to")).alias("day"))
+    per_day = spread.groupBy("skill", "begin", "day").agg(F.sum("k").alias("n"))
     known = per_day.groupBy("skill", "begin").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("known"))  # a window's days at most
     return known.select("skill", "begin", F.transform(F.sequence("begin", F.lit(as_of)), lambda d: F.coalesce(F.try_element_at("known", d), F.lit(0).cast("long"))).alias("line"))
 
@@ -73,16 +84,17 @@ def priced_skills(rows: DataFrame, as_of: date, categories: DataFrame, want: int
     canonical = categories.select("skill", "category").distinct()
     kept = F.filter(F.array_distinct("skills"), lambda s: F.array_contains("_known", s))
     known = canonical.agg(F.collect_set("skill").alias("_known"))  # the taxonomy's skills
-    own = rows.join(F.broadcast(known)).withColumn("skills", kept).drop("_known").where(F.size("skills") > 0)
+    own = rows.join(F.broadcast(known)).where(F.arrays_overlap("skills", "_known")).withColumn("skills", kept).drop("_known")
     now = own.where((F.col("first_seen") <= F.lit(as_of)) & (F.col("last_seen") >= F.lit(as_of))).withColumn("skill", F.explode("skills"))
-    level = now.groupBy("skill").agg(F.count(F.lit(1)).alias("now_n"))
-    price = median_of_medians(now.where("country IS NOT NULL"), ["skill"], "country", "salary").select("skill", "pay", F.col("markets").alias("pay_markets"))
+    vote = F.when(F.col("country").isNotNull(), floored_median(F.col("salary")))
+    markets = now.groupBy("skill", "country").agg(F.count(F.lit(1)).alias("n"), vote.alias("m"))
+    level = markets.groupBy("skill").agg(F.sum("n").alias("now_n"), half_up(F.percentile("m", 0.5)).cast("long").alias("pay"), F.count("m").alias("pay_markets"))
     lines = daily_lines(own, as_of, want)
     loud = F.array_max("line") >= LEAST_VOLUME
     moves = (F.size("line") >= LEAST_POINTS) & (F.array_min("line") != F.array_max("line"))
     pct = F.when(loud, _half_change(F.col("line")))
-    all_of = level.join(lines, "skill").join(price, "skill", "left").join(canonical, "skill")
-    valued = all_of.select("skill", "category", "now_n", "begin", "line", F.when(moves, F.col("line")).alias("spark"), pct.alias("pct"), "pay", F.coalesce("pay_markets", F.lit(0)).alias("pay_markets"), (F.col("pay") * F.col("now_n")).alias("value"))
+    all_of = level.join(lines, "skill").join(canonical, "skill")
+    valued = all_of.select("skill", "category", "now_n", "begin", "line", F.when(moves, F.col("line")).alias("spark"), pct.alias("pct"), "pay", "pay_markets", (F.col("pay") * F.col("now_n")).alias("value"))
     way = F.when(F.coalesce("pct", F.lit(0.0)) == 0, "flat").when(F.col("pct") > 0, "up").otherwise("down")
     order = Window.orderBy(F.desc_nulls_last("value"), F.desc("now_n"), "skill")
     return valued.withColumn("dir", way).withColumn("place", F.row_number().over(order))
@@ -96,9 +108,15 @@ def value_series(skills: DataFrame, *keys: str) -> DataFrame:
 
 def category_market(skills: DataFrame) -> DataFrame:
     """Categories: skills, priced ones, advertisements, value (null if none is priced), and the change of their value."""
-    by_day = value_series(skills, "category").groupBy("category").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "value"))), lambda p: p["value"]).alias("line"))
-    sums = skills.groupBy("category").agg(F.count(F.lit(1)).alias("skills"), F.count("pay").alias("priced"), F.sum("now_n").alias("now_n"), F.sum("value").alias("value"))
-    return sums.join(by_day, "category", "left").select("category", "skills", "priced", "now_n", "value", _half_change(F.col("line")).alias("pct"))
+    # A skill's own figures stand with its first day, so the skills are read once for both.
+    days = skills.select("category", "begin", "pay", "now_n", "value", F.posexplode_outer("line").alias("i", "n"))
+    of_skill = lambda c: F.when(F.coalesce("i", F.lit(0)) == 0, c)
+    figures = [F.count(of_skill(F.lit(1))).alias("skills"), F.count(of_skill(F.col("pay"))).alias("priced"), F.sum(of_skill(F.col("now_n"))).alias("now_n"), F.sum(of_skill(F.col("value"))).alias("value")]
+    by_day = days.groupBy("category", F.date_add("begin", F.col("i")).alias("day")).agg(F.sum(F.col("n") * F.col("pay")).alias("worth"), *figures)
+    worths = F.collect_list(F.when(F.col("worth").isNotNull(), F.struct("day", "worth")))  # a window's days at most
+    sums = by_day.groupBy("category").agg(*[F.sum(c).alias(c) for c in ("skills", "priced", "now_n", "value")], F.transform(F.sort_array(worths), lambda p: p["worth"]).alias("line"))
+    line = F.when(F.size("line") > 0, F.col("line"))
+    return sums.withColumn("line", line).select("category", "skills", "priced", "now_n", "value", _half_change(F.col("line")).alias("pct"))
 
 
 def ticker(rows: DataFrame, as_of: date, canonical: DataFrame) -> DataFrame:

@@ -18,9 +18,14 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ads(spark, sf_dir).where(archive.live_feeds() & ~late)
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's skills; lists of them repeat, so each is spread once."""
+    return ads(spark, sf_dir).select("skills").distinct().select(F.explode("skills").alias("skill")).distinct()
+
+
 def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    names = ads(spark, sf_dir).select(F.explode("skills").alias("skill")).distinct().where("skill <> 'gizmo'")
+    names = _names(spark, sf_dir).where("skill <> 'gizmo'")
     return priced.priced_skills(rows, AS_OF, names.withColumn("category", F.upper(F.substring("skill", 1, 1))))
 
 
@@ -84,4 +89,4 @@ SELECT name AS "window", place, skill, v, sig, filled, pay, CASE WHEN len(line)
 def priced_ticker(spark, sf_dir):
     """Movers of a day, a week and a month with price and line, filled up where few move."""
     rows = _rows(spark, sf_dir)
-    return priced.ticker(rows, AS_OF, ads(spark, sf_dir).select(F.explode("skills").alias("skill")).distinct())
+    return priced.ticker(rows, AS_OF, _names(spark, sf_dir))

@@ -1,10 +1,13 @@
 """The priced market and the ticker on small hand-made archives."""
 
+import random
 from datetime import date, timedelta
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from joblattice.operators import priced
+from joblattice.plans import QUERIES
 
 AS_OF = date(2024, 3, 31)
 SCHEMA = "skills array<string>, source string, country string, salary double, first_seen date, last_seen date"
@@ -56,3 +59,34 @@ def test_windows_before_collecting_stay_empty_and_few_movers_are_filled_up(spark
     moved = next(r for r in got if r.skill == "c" and r.window == "7d")
     assert moved.spark[-1] == 40 and moved.spark[0] == 0 and moved.pay is None
     assert priced.ticker(spark.createDataFrame(rows, SCHEMA).where("false"), AS_OF, names).select(F.count("*")).first()[0] == 0
+
+
+def test_lines_count_every_advertisement_of_the_covered_days(spark):
+    some = random.Random(3)
+    rows = []
+    for _ in range(600):
+        first = some.randrange(-3, 70)
+        rows.append((some.choice([["a"], ["b", "a"], ["c"]]), some.choice(["f", "f", "f", None]), "au", 1.0, day(first), day(first - some.randrange(40))))
+    rows += [(["a"], "late", "au", 1.0, day(12), day(2))] * 60 + [(["a"], "f", "au", 1.0, None, day(0)), (["b"], "f", "au", 1.0, day(4), None)]
+    began = {f: min(r[4] for r in rows if r[1] == f and r[4]) for f in ("f", None, "late")}
+    assert began["late"] == day(12)
+    dated = [r for r in rows if r[4] and r[5]]
+    lines = {r.skill: (r.begin, r.line) for r in priced.daily_lines(spark.createDataFrame(rows, SCHEMA), AS_OF).collect()}
+    begin = day(12)  # the late feed has more than 5 % of the window's rows
+    days = [begin + timedelta(i) for i in range(13)]
+    assert lines == {s: (begin, [sum(s in r[0] and r[4] <= d <= r[5] for r in dated) for d in days]) for s in "abc"}
+
+
+def test_unplaced_advertisements_count_but_have_no_vote(spark):
+    rows = [(["a", "odd"], "f", c, pay, day(40), day(0)) for c, pay, n in (("au", 10.0, 8), ("nz", 90.0, 7), (None, 50.0, 9)) for _ in range(n)] + [(["odd"], "f", "au", 1.0, day(90), day(80)), (None, "f", "au", 1.0, day(40), day(0)), ([None], "f", "au", 1.0, day(40), day(0))]
+    market = priced.priced_skills(spark.createDataFrame(rows, SCHEMA), AS_OF, canonical(spark, "a", "b"))
+    assert [(r.skill, r.now_n, r.pay, r.pay_markets, r.value) for r in market.collect()] == [("a", 24, 10, 1, 240)]
+    assert [(r.category, r.skills, r.priced, r.now_n, r.value, r.pct) for r in priced.category_market(market).collect()] == [("a", 1, 1, 24, 240, 0.0)]
+
+
+def test_categories_read_the_archive_four_times(spark):
+    """Once each for names, feeds, lines and prices; it was nine times, each with all joins."""
+    found = QUERIES["market_categories"](spark, DATA)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("sf0.001/lineitem.parquet") == 4
