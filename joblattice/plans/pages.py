@@ -76,7 +76,10 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.concat(F.lit('while(1);{"actions":[{"state":"OK","returnValue":'), F.to_json(F.struct(state.alias("s"))).substr(F.lit(6), F.lit(1 << 30)), F.lit("]}"))
     twice = F.regexp_replace(twice, r"\}\]\}$", "}]}")
     kinds = [state, twice, F.concat(F.lit('say("{ hello");callback('), state, F.lit(') {"open": "')), F.concat(F.lit(")]}',[["), jobs, F.lit(",[]],3]"))]
-    return by_order.select("doc_id", F.get(F.array(*kinds), (F.col("doc_id") % 4).cast("int")).alias("text"))
+    text = F.when(F.col("doc_id") % 4 == 0, kinds[0])  # of the four only the one that is shown is written
+    for i, kind in enumerate(kinds[1:], 1):
+        text = text.when(F.col("doc_id") % 4 == i, kind)
+    return by_order.select("doc_id", text.alias("text"))
 
 
 @query(f"""WITH {ADS}, j AS (SELECT split_part(job_key, '-', 1)::BIGINT AS doc_id, [split_part(job_key, '-', k)::INT for k in [2, 3, 4]] AS n, title, company AS agency, hub AS loc, '$' || trunc(salary)::INT AS salary, (split_part(job_key, '-', 3)::INT % 2)::VARCHAR AS id FROM ads)

@@ -3,8 +3,9 @@
 A body is parsed as a whole, or, where it isn't JSON, its balanced regions are.  A
 value is walked inside its row, level by level down to ``DEEPEST``, and no further than
 what looks like a vacancy.  Texts that hold JSON themselves are parsed and walked once
-more, in the same way.  Everything is built-in functions over VARIANT; a level of one
-value is the most that a row holds.
+more, in the same way and in the same pass: a body is read once, and nothing of it is
+stored.  Everything is built-in functions over VARIANT; a row holds its body, the pieces
+it is cut into, and one level of its values.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import json as js
 from ..functions.dates import loose_date
 from ..functions.text import let as _let
-from ..operators.cutting import cut
 
 DEEPEST = 30
 LEAST_REGION = 80
+AT_ONCE = 8
 # The names under which boards keep each field, most specific first, without case and marks.
 TITLE = "jobtitle positiontitle roletitle advertisedtitle jobname title name".split()
 ORG = "organisation organization agency agencyname departmentname department employer organisationname cluster company entity".split()
@@ -33,126 +34,145 @@ OWN_ID = "jobid jobreference requisitionid vacancyid referencenumber vacancynumb
 SHOWN = "label name value text displayvalue".split()
 MIN_TITLE, MAX_TITLE = 4, 160
 FIELDS = {"title": TITLE, "agency": ORG, "loc": LOC, "url": URL, "salary": SALARY, "close": CLOSE, "posted": POSTED, "id": ID, "own_title": OWN_TITLE, "own_id": OWN_ID}
+KNOWN = sorted({n for names in FIELDS.values() for n in names})
+CONTEXT = [*OWN_TITLE, *ORG, *LOC, *SALARY, *CLOSE, *OWN_ID]
 
 
 def _key(k: Column) -> Column:
     """A field's name without case, marks and the ending of custom fields."""
-    return F.regexp_replace(F.regexp_replace(F.lower(k), "__c$", ""), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(k), "__c$|[^a-z0-9]", "")
 
 
-def _named(fields: Column, value) -> Column:
-    """A map of a record's fields by key; of fields with one key the last."""
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(_key(e["key"]).alias("k"), value(e["value"]).alias("t")))
-    last = lambda es, k: F.try_element_at(F.filter(es, lambda e: e["k"] == k), F.lit(-1))["t"]
-    by_key = lambda es: _let(F.array_distinct(F.transform(es, lambda e: e["k"])), lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: last(es, k))))
-    return _let(entries, by_key)
+def _texts(fields: Column, names: list[str], value) -> Column:
+    """array(k, t): the texts of a record's fields of these names that aren't empty; of fields with one key the last counts."""
 
+    def told(es: Column) -> Column:
+        ks, texts = es["k"], F.transform(es, lambda e: F.struct(e["k"].alias("k"), value(e["v"]).alias("t")))
+        last = F.filter(texts, lambda x, i: ~F.array_contains(F.slice(ks, i + 2, F.size(ks)), x["k"]))
+        return F.filter(F.when(F.size(F.array_distinct(ks)) == F.size(ks), texts).otherwise(last), lambda x: x["t"] != "")
 
-def _first(names: list[str], of: Column) -> Column:
-    """The first text under one of the names that isn't empty, else ''."""
-    return F.coalesce(*[F.nullif(F.try_element_at(of, F.lit(n)), F.lit("")) for n in names], F.lit(""))
+    entries = F.transform(F.map_entries(fields), lambda e: F.struct(_key(e["key"]).alias("k"), e["value"].alias("v")))
+    return _let(F.filter(entries, lambda e: e["k"].isin(names)), told)
+
+
+def _best(texts: Column, names: list[str]) -> Column:
+    """The text under the first of the names that has one."""
+    place = F.array(*[F.lit(n) for n in names])
+    ranked = F.transform(F.filter(texts, lambda x: x["k"].isin(names)), lambda x: F.struct(F.array_position(place, x["k"]).alias("place"), x["t"].alias("t")))
+    return F.array_min(ranked)["t"]
 
 
 def _shown(v: Column) -> Column:
     """The text that a field shows: its own, its label's, or its first element's."""
-    nested = _first(SHOWN, _named(js.record(v), js.scalar))
-    return F.when(js.as_object(v).isNotNull(), nested).when(js.as_array(v).isNotNull(), js.scalar(F.get(js.elements(v), F.lit(0)))).otherwise(js.scalar(v))
+    nested = F.coalesce(_best(_texts(js.as_object(v), SHOWN, js.scalar), SHOWN), F.lit(""))
+    return F.when(js.as_object(v).isNotNull(), nested).when(js.as_array(v).isNotNull(), js.scalar(F.get(js.as_array(v), F.lit(0)))).otherwise(js.scalar(v))
 
 
-def fields_of(v: Column) -> Column:
-    """The texts of a record's fields, by the names in FIELDS; all null where it is no vacancy.
+def _vacancy(fields: Column) -> Column:
+    """The texts of a record's known fields by their names without marks; null where it is no vacancy.
 
     A vacancy has a title of 4 to 160 characters under a name that only vacancies
     have, or under any title name beside an employer, a place, pay, a closing date or a vacancy's number.
     """
-    texts = lambda m: F.struct(*[_first(names, m).alias(f) for f, names in FIELDS.items()])
-    context = lambda s: (s["own_title"] != "") | (s["agency"] != "") | (s["loc"] != "") | (s["salary"] != "") | (s["close"] != "") | (s["own_id"] != "")
-    good = lambda s: F.length(s["title"]).between(MIN_TITLE, MAX_TITLE) & context(s)
-    held = _let(_named(js.record(v), _shown), texts)
-    return F.when(F.size(js.record(v)) >= 2, F.get(F.filter(F.array(held), good), F.lit(0)))
+    good = lambda texts: F.length(_best(texts, TITLE)).between(MIN_TITLE, MAX_TITLE) & F.exists(texts, lambda x: x["k"].isin(CONTEXT))
+    return F.when(F.size(fields) >= 2, _let(_texts(fields, KNOWN, _shown), lambda texts: F.when(good(texts), F.map_from_entries(texts))))
 
 
 # ---------------------------------------------------------------------- salvage
 
 
+def _running(xs: Column, both) -> Column:
+    """At each place of an array what ``both`` makes of everything up to it, doubling the reach each round."""
+    reaches = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda reach: reach < F.size(xs))
+    return F.aggregate(reaches, xs, lambda done, reach: F.transform(done, lambda x, i: F.coalesce(both(x, F.get(done, i - reach)), x)))
+
+
+def _regions(text: Column, opening: str, closing: str, least: int) -> Column:
+    """array(start, region): see :func:`regions`.
+
+    The text is cut into brackets, stretches without any, and what is balanced within ``AT_ONCE`` levels.
+    Depth is a running sum over these pieces, and what lies deeper than the depth that is never left again is a region.
+    """
+    a, b = f"\\{opening}", f"\\{closing}"
+    plain = rf'"(?:[^"\\\n]|\\[^\n])*+"|[^"{a}{b}]++|"'
+    whole = rf"{a}(?:{plain})*+{b}"
+    for _ in range(AT_ONCE - 1):
+        whole = rf"{a}(?:{plain}|{whole})*+{b}"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?:{plain})++|{whole}|[{a}{b}]"), F.lit(0))
+    plus, fewer = lambda x, y: x + y, lambda x, y: F.least(x, y)
+
+    def placed(ps: Column) -> Column:
+        steps = F.transform(ps, lambda p: F.when(p == opening, 1).when(p == closing, -1).otherwise(0))
+        depth = lambda sums: F.zip_with(sums, _running(sums, fewer), lambda x, low: x - F.least(F.lit(0), low))
+        over = lambda deep: F.zip_with(deep, F.reverse(_let(F.reverse(deep), lambda d: _running(d, fewer))), lambda x, low: x - low)
+        ends = _let(F.transform(ps, lambda p: F.length(p)), lambda n: _running(n, plus))
+        return _let(_let(_let(_let(steps, lambda s: _running(s, plus)), depth), over), lambda o: _let(ends, lambda e: cut_out(ps, o, e)))
+
+    def cut_out(ps: Column, over: Column, ends: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ps) - 1)
+        at_once = lambda i: F.get(ps, i).startswith(opening) & (F.length(F.get(ps, i)) > 1)
+        before = lambda i: F.coalesce(F.get(over, i - 1), F.lit(0))
+        first = F.filter(places, lambda i: (before(i) == 0) & ((F.get(over, i) > 0) | at_once(i)))
+        last = F.filter(places, lambda i: (F.get(over, i) == 0) & ((before(i) > 0) | at_once(i)))
+        made = lambda i, j: F.struct((F.get(ends, i) - F.length(F.get(ps, i))).alias("start"), F.array_join(F.slice(ps, i + 1, j - i + 1), "").alias("region"))
+        return F.filter(F.zip_with(first, last, made), lambda r: F.length(r["region"]) > least)
+
+    return _let(pieces, lambda ps: F.when(F.size(ps) > 0, placed(ps)))
+
+
 def regions(texts: DataFrame, opening: str, closing: str, least: int = LEAST_REGION) -> DataFrame:
     """(doc_id, start, region): the outermost balanced stretches between two brackets that are longer than ``least``.
 
     Brackets inside quoted strings don't count; a quote without its partner on its
-    line is no string; brackets without a partner are passed over.  ``texts`` has doc_id (unique) and
-    text.  Each text is cut into brackets, strings and the rest, once; depth is a
-    running sum over these pieces, and what lies deeper than the depth that is never left again is a region.
-    """
-    a, b = f"\\{opening}", f"\\{closing}"
-    pieces = F.regexp_extract_all("text", F.lit(rf'"(?:[^"\\\n]|\\[^\n])*+"|[{a}{b}]|[^"{a}{b}]++|"'), F.lit(0))
-    rows = texts.select("doc_id", F.posexplode(pieces).alias("i", "piece"))
-    forth, back = Window.partitionBy("doc_id").orderBy("i"), Window.partitionBy("doc_id").orderBy(F.desc("i"))
-    step = F.when(F.col("piece") == opening, 1).when(F.col("piece") == closing, -1).otherwise(0)
-    summed = rows.withColumn("step", step).withColumn("sum", F.sum("step").over(forth)).withColumn("at", F.sum(F.length("piece")).over(forth) - F.length("piece"))
-    deep = summed.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(forth)))
-    over = deep.withColumn("over", F.col("depth") - F.min("depth").over(back))
-    inside = over.withColumn("before", F.lag("over", 1, 0).over(forth)).where((F.col("over") > 0) | (F.col("before") > 0))
-    numbered = inside.withColumn("nth", F.sum(F.when((F.col("before") == 0), 1).otherwise(0)).over(forth))
-    whole = numbered.groupBy("doc_id", "nth").agg(F.min("at").alias("start"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "piece"))), lambda p: p["piece"]), "").alias("region"))
-    return whole.where(F.length("region") > least).select("doc_id", "start", "region")
-
-
-def values(texts: DataFrame) -> DataFrame:
-    """(doc_id, obj, v): each text's JSON: the whole, or the regions in it that are JSON, those in braces first.
-
-    ``texts`` has doc_id (unique) and text.
+    line is no string; brackets without a partner are passed over.  ``texts`` has doc_id and text.
     """
-    read = texts.select("doc_id", "text", js.parsed(F.col("text")).alias("v"))
-    good = read.where("v IS NOT NULL").select("doc_id", F.array(F.lit(0).cast("long")).alias("obj"), "v")
-    broken = read.where("v IS NULL AND (contains(text, '{') OR contains(text, '['))").select("doc_id", "text")
-    for turn, (opening, closing) in enumerate(("{}", "[]")):
-        part = regions(broken, opening, closing).select("doc_id", F.array(F.lit(turn).cast("long"), F.col("start").cast("long")).alias("obj"), F.try_parse_json("region").alias("v"))
-        good = good.unionByName(part.where("v IS NOT NULL"))
-    return good
+    return texts.select("doc_id", F.inline(_regions(F.col("text"), opening, closing, least)))
 
 
-# ------------------------------------------------------------------------- walk
+def _roots(text: Column) -> Column:
+    """array(obj, v): a text's JSON: the whole, or the regions in it that are JSON, those in braces first; null without any bracket."""
+    found = lambda turn, brackets: F.transform(_regions(text, *brackets, LEAST_REGION), lambda r: F.struct(F.array(F.lit(turn).cast("long"), r["start"].cast("long")).alias("obj"), F.try_parse_json(r["region"]).alias("v")))
+    parts = F.filter(F.concat(*[F.coalesce(found(turn, brackets), F.array()) for turn, brackets in enumerate(("{}", "[]"))]), lambda r: r["v"].isNotNull())
+    whole = lambda v: F.array(F.struct(F.array(F.lit(0).cast("long")).alias("obj"), v.alias("v")))
+    return _let(js.parsed(text), lambda v: F.when(v.isNotNull(), whole(v)).when(F.contains(text, F.lit("{")) | F.contains(text, F.lit("[")), parts))
+
 
-_RECORD = f"struct<{', '.join(f'{f}: string' for f in FIELDS)}>"
+# ------------------------------------------------------------------------- walk
 
 
-def walked(obj: Column, v: Column, double_encoded: bool) -> Column:
-    """array(at, f, text) of one value: the vacancies under it, in no other vacancy, down to ``DEEPEST`` levels.
+def walked(text: Column, double_encoded: bool) -> Column:
+    """array(at, held) of one body: the vacancies in it, in no other vacancy, down to ``DEEPEST`` levels.
 
-    ``at`` is a vacancy's path behind ``obj``, ``f`` its fields; an object's fields are in alphabetical order.
-    With ``double_encoded`` a text that begins like JSON is walked as well (-1 in the path), or, where only parts of
-    it can be JSON, given back as ``text``.  A row holds one level of its value at a time.
+    ``at`` is a vacancy's path, ``held`` its texts by name; an object's fields are in alphabetical order.
+    With ``double_encoded`` a text that begins like JSON is walked as well (-1 in the path).
+    A row holds one level of its values at a time.
     """
-    node = lambda at, value, depth, inner: F.struct(at.alias("at"), value.alias("v"), depth.alias("depth"), inner.alias("inner"))
-    nodes = "array<struct<at: array<bigint>, v: variant, depth: int, inner: boolean>>"
-    out = f"array<struct<at: array<bigint>, f: {_RECORD}, text: string>>"
-    string = lambda x: F.try_variant_get(x, "$", "string")
-    deep = lambda x: js.as_object(x).isNotNull() | js.as_array(x).isNotNull()
-    like = lambda x: _let(F.trim(string(x)), lambda t: t.rlike(r"^[{\[]") & (F.length(t) > 2))
-
-    def judge(n: Column) -> Column:
-        record = js.as_object(n["v"]).isNotNull()
-        text = F.when(F.lit(double_encoded) & ~n["inner"] & ~deep(n["v"]), string(n["v"]))
-        return F.struct(n.alias("n"), F.when(record, fields_of(n["v"])).alias("f"), text.alias("text"), F.when(text.isNotNull(), js.parsed(text)).alias("parsed"))
-
-    def below(j: Column) -> Column:
-        n = j["n"]
-        held = F.when(n["depth"] < DEEPEST, F.coalesce(F.map_values(js.as_object(n["v"])), js.elements(n["v"])))
-        kids = F.filter(F.transform(held, lambda x, i: node(F.concat(n["at"], F.array(i.cast("long"))), x, n["depth"] + 1, n["inner"])), lambda k: deep(k["v"]) | (~k["inner"] & like(k["v"])))
-        again = F.array(node(F.concat(n["at"], F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))), j["parsed"], F.lit(0), F.lit(True)))
-        return F.when(j["parsed"].isNotNull(), again).otherwise(F.coalesce(kids, F.array().cast(nodes)))
+    nodes = "array<struct<at: array<bigint>, v: variant, fields: map<string, variant>, elements: array<variant>, depth: int, inner: boolean>>"
+    node = lambda at, v, depth, inner: F.struct(at.alias("at"), v.alias("v"), js.as_object(v).alias("fields"), js.as_array(v).alias("elements"), depth.alias("depth"), inner.alias("inner"))
+    string = lambda v: F.try_variant_get(v, "$", "string")
+    deep = lambda n: n["fields"].isNotNull() | n["elements"].isNotNull()
+    like = lambda v: _let(F.trim(string(v)), lambda t: t.rlike(r"^[{\[]") & (F.length(t) > 2))
+
+    def below(n: Column) -> Column:
+        held = F.transform(F.coalesce(F.map_values(n["fields"]), n["elements"]), lambda x, i: node(F.concat(n["at"], F.array(i.cast("long"))), x, n["depth"] + 1, n["inner"]))
+        kids = F.when(deep(n) & (n["depth"] < DEEPEST), F.filter(held, lambda k: (deep(k) | (~k["inner"] & like(k["v"]))) if double_encoded else deep(k)))
+        if double_encoded:
+            again = lambda t: F.transform(_roots(t), lambda r: node(F.concat(n["at"], F.array(F.lit(-1).cast("long")), r["obj"]), r["v"], F.lit(0), F.lit(True)))
+            kids = kids.when(~deep(n) & ~n["inner"], _let(string(n["v"]), again))
+        return F.coalesce(kids, F.array().cast(nodes))
 
     def level(state: Column) -> Column:
         def split(judged: Column) -> Column:
-            told = F.filter(judged, lambda j: j["f"].isNotNull() | (j["text"].isNotNull() & j["parsed"].isNull()))
-            front = F.flatten(F.transform(F.filter(judged, lambda j: j["f"].isNull()), below))
-            return F.struct(front.cast(nodes).alias("front"), F.concat(state["out"], F.transform(told, lambda j: F.struct(j["n"]["at"].alias("at"), j["f"].alias("f"), j["text"].alias("text"))).cast(out)).alias("out"))
+            told = F.transform(F.filter(judged, lambda j: j["held"].isNotNull()), lambda j: F.struct(j["n"]["at"].alias("at"), j["held"].alias("held")))
+            front = F.flatten(F.transform(F.filter(judged, lambda j: j["held"].isNull()), lambda j: below(j["n"])))
+            return F.struct(front.alias("front"), F.concat(state["out"], told).alias("out"))
 
-        return _let(F.transform(state["front"], judge), split)
+        return _let(F.transform(state["front"], lambda n: F.struct(n.alias("n"), _vacancy(n["fields"]).alias("held"))), split)
 
-    first = F.array(node(obj, v, F.lit(0), F.lit(False))).cast(nodes)
-    begin = F.struct(first.alias("front"), F.array().cast(out).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit((2 if double_encoded else 1) * (DEEPEST + 1))), begin, lambda state, _: F.when(F.size(state["front"]) == 0, state).otherwise(level(state)), lambda state: state["out"])
+    first = F.transform(_roots(text), lambda r: node(r["obj"], r["v"], F.lit(0), F.lit(False)))
+    begin = F.struct(F.coalesce(first.cast(nodes), F.array().cast(nodes)).alias("front"), F.array().cast("array<struct<at: array<bigint>, held: map<string, string>>>").alias("out"))
+    turns = F.sequence(F.lit(0), F.lit((2 if double_encoded else 1) * (DEEPEST + 1)))
+    return F.aggregate(turns, begin, lambda state, _: F.when(F.size(state["front"]) == 0, state).otherwise(level(state)), lambda state: state["out"])
 
 
 def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
@@ -163,15 +183,9 @@ def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
     Null texts and texts without JSON give none.
     """
     part = F.col("part") if "part" in bodies.columns else F.lit(0)
-    each = lambda roots, twice: roots.select("doc_id", F.inline(walked(F.col("obj"), F.col("v"), twice)))
-    nodes = each(values(bodies.select(F.struct("doc_id", part.cast("long").alias("part")).alias("doc_id"), "text")), double_encoded)
-    found = nodes.where("f IS NOT NULL").select("doc_id", "at", "f")
-    if double_encoded:
-        # Texts that are JSON in parts only are few, so these are kept, and everything else is walked again.
-        broken = cut(nodes.where("text IS NOT NULL").select(F.struct("doc_id", "at").alias("doc_id"), "text"))
-        deeper = each(values(broken), False).select("doc_id.doc_id", F.concat("doc_id.at", F.array(F.lit(-1).cast("long")), "at").alias("at"), "f")
-        found = found.unionByName(deeper.where("f IS NOT NULL"))
-    same = [F.col("doc_id.doc_id"), F.lower("f.title"), F.col("f.id"), F.lower("f.loc")]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("doc_id.part", "at"))
-    kept = found.withColumn("nth", nth).where("nth = 1")
-    return kept.select("doc_id.doc_id", *[F.col(f"f.{c}").alias(c) for c in ("title", "agency", "loc", "url", "salary", "close")], loose_date(F.col("f.posted")).alias("posted"), F.col("f.id").alias("id"))
+    found = bodies.select("doc_id", part.cast("long").alias("part"), F.inline(walked(F.col("text"), double_encoded)))
+    first = lambda names: F.coalesce(*[F.try_element_at("held", F.lit(n)) for n in names], F.lit(""))
+    read = found.select("doc_id", "part", "at", *[first(names).alias(f) for f, names in FIELDS.items() if not f.startswith("own_")])
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.lower("title"), "id", F.lower("loc")).orderBy("part", "at"))
+    kept = read.withColumn("nth", nth).where("nth = 1")
+    return kept.select("doc_id", "title", "agency", "loc", "url", "salary", "close", loose_date(F.col("posted")).alias("posted"), "id")
