@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import json as js
 from ..functions.dates import loose_date
-from ..functions.text import let as _let
 
 DEEPEST = 30
 LEAST_REGION = 80
@@ -38,34 +37,50 @@ KNOWN = sorted({n for names in FIELDS.values() for n in names})
 CONTEXT = [*OWN_TITLE, *ORG, *LOC, *SALARY, *CLOSE, *OWN_ID]
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; unlike an array's element it isn't copied for that."""
+    return F.aggregate(F.array(), value, lambda held, _: held, use)
+
+
 def _key(k: Column) -> Column:
     """A field's name without case, marks and the ending of custom fields."""
     return F.regexp_replace(F.lower(k), "__c$|[^a-z0-9]", "")
 
 
-def _texts(fields: Column, names: list[str], value) -> Column:
-    """array(k, t): the texts of a record's fields of these names that aren't empty; of fields with one key the last counts."""
+def _texts(ks: Column, vs: Column, known, value) -> Column:
+    """A map of the known keys' texts that aren't empty; of values with one key the last counts."""
+    texts = F.transform(ks, lambda k, i: F.when(known(k), F.struct(k.alias("k"), value(F.get(vs, i)).alias("t"))))
+    last = F.filter(texts, lambda x, i: (x["t"] != "") & ~F.array_contains(F.slice(ks, i + 2, F.size(ks)), x["k"]))
+    return F.map_from_entries(last)
+
+
+def _first(names: list[str], of: Column) -> Column:
+    """The text under the first of the names that has one, else ''."""
+    return F.coalesce(*[F.try_element_at(of, F.lit(n)) for n in names], F.lit(""))
+
 
-    def told(es: Column) -> Column:
-        ks, texts = es["k"], F.transform(es, lambda e: F.struct(e["k"].alias("k"), value(e["v"]).alias("t")))
-        last = F.filter(texts, lambda x, i: ~F.array_contains(F.slice(ks, i + 2, F.size(ks)), x["k"]))
-        return F.filter(F.when(F.size(F.array_distinct(ks)) == F.size(ks), texts).otherwise(last), lambda x: x["t"] != "")
+def _brackets(t: Column) -> Column:
+    """Whether a value of this text can be an object or an array; a string can look the same."""
+    return F.startswith(t, F.lit("{")) | F.startswith(t, F.lit("["))
 
-    entries = F.transform(F.map_entries(fields), lambda e: F.struct(_key(e["key"]).alias("k"), e["value"].alias("v")))
-    return _let(F.filter(entries, lambda e: e["k"].isin(names)), told)
 
+def _string(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
-def _best(texts: Column, names: list[str]) -> Column:
-    """The text under the first of the names that has one."""
-    place = F.array(*[F.lit(n) for n in names])
-    ranked = F.transform(F.filter(texts, lambda x: x["k"].isin(names)), lambda x: F.struct(F.array_position(place, x["k"]).alias("place"), x["t"].alias("t")))
-    return F.array_min(ranked)["t"]
+
+def _scalar(v: Column) -> Column:
+    """A scalar's trimmed text; '' for everything else."""
+    return _let(_string(v), lambda t: F.when(_brackets(t), js.scalar(v)).otherwise(F.coalesce(F.trim(t), F.lit(""))))
 
 
 def _shown(v: Column) -> Column:
     """The text that a field shows: its own, its label's, or its first element's."""
-    nested = F.coalesce(_best(_texts(js.as_object(v), SHOWN, js.scalar), SHOWN), F.lit(""))
-    return F.when(js.as_object(v).isNotNull(), nested).when(js.as_array(v).isNotNull(), js.scalar(F.get(js.as_array(v), F.lit(0)))).otherwise(js.scalar(v))
+    known = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for n in SHOWN for x in (n, True)]), k)
+    texts = lambda fields: _let(F.transform(F.map_keys(fields), _key), lambda ks: _texts(ks, F.map_values(fields), known, _scalar))
+    nested = lambda fields: _let(texts(fields), lambda t: _first(SHOWN, t))
+    first = lambda values: _scalar(F.get(values, F.lit(0)))
+    inner = _let(js.as_object(v), lambda o: F.when(o.isNotNull(), nested(o)).otherwise(_let(js.as_array(v), lambda a: F.when(a.isNotNull(), first(a)).otherwise(js.scalar(v)))))
+    return _let(_string(v), lambda t: F.when(_brackets(t), inner).otherwise(F.coalesce(F.trim(t), F.lit(""))))
 
 
 def _vacancy(fields: Column) -> Column:
@@ -74,8 +89,11 @@ def _vacancy(fields: Column) -> Column:
     A vacancy has a title of 4 to 160 characters under a name that only vacancies
     have, or under any title name beside an employer, a place, pay, a closing date or a vacancy's number.
     """
-    good = lambda texts: F.length(_best(texts, TITLE)).between(MIN_TITLE, MAX_TITLE) & F.exists(texts, lambda x: x["k"].isin(CONTEXT))
-    return F.when(F.size(fields) >= 2, _let(_texts(fields, KNOWN, _shown), lambda texts: F.when(good(texts), F.map_from_entries(texts))))
+    context = lambda ks: F.exists(ks, lambda k: k.isin(CONTEXT))
+    fits = lambda texts: _let(F.length(_first(TITLE, texts)), lambda n: n.between(MIN_TITLE, MAX_TITLE)) & context(F.map_keys(texts))
+    texts = lambda ks: _texts(ks, F.map_values(fields), lambda k: k.isin(KNOWN), _shown)
+    held = lambda ks: F.when(context(ks), _let(texts(ks), lambda t: F.when(fits(t), t)))
+    return F.when(F.size(fields) >= 2, _let(F.transform(F.map_keys(fields), _key), held))
 
 
 # ---------------------------------------------------------------------- salvage
@@ -147,32 +165,39 @@ def walked(text: Column, double_encoded: bool) -> Column:
     With ``double_encoded`` a text that begins like JSON is walked as well (-1 in the path).
     A row holds one level of its values at a time.
     """
-    nodes = "array<struct<at: array<bigint>, v: variant, fields: map<string, variant>, elements: array<variant>, depth: int, inner: boolean>>"
-    node = lambda at, v, depth, inner: F.struct(at.alias("at"), v.alias("v"), js.as_object(v).alias("fields"), js.as_array(v).alias("elements"), depth.alias("depth"), inner.alias("inner"))
-    string = lambda v: F.try_variant_get(v, "$", "string")
-    deep = lambda n: n["fields"].isNotNull() | n["elements"].isNotNull()
-    like = lambda v: _let(F.trim(string(v)), lambda t: t.rlike(r"^[{\[]") & (F.length(t) > 2))
-
-    def below(n: Column) -> Column:
-        held = F.transform(F.coalesce(F.map_values(n["fields"]), n["elements"]), lambda x, i: node(F.concat(n["at"], F.array(i.cast("long"))), x, n["depth"] + 1, n["inner"]))
-        kids = F.when(deep(n) & (n["depth"] < DEEPEST), F.filter(held, lambda k: (deep(k) | (~k["inner"] & like(k["v"]))) if double_encoded else deep(k)))
+    nodes, told = "array<struct<at: array<bigint>, v: variant, depth: int, inner: boolean>>", "array<struct<at: array<bigint>, held: map<string, string>>>"
+    node = lambda at, v, depth, inner: F.struct(at.alias("at"), v.alias("v"), depth.alias("depth"), inner.alias("inner"))
+    is_a = lambda v, kind: F.try_variant_get(v, "$", kind).isNotNull()
+    deep = lambda v: is_a(v, "struct<>") | is_a(v, "array<struct<>>")  # without what is in it
+    like = lambda v: _let(F.trim(_string(v)), lambda t: t.rlike(r"^[{\[]") & (F.length(t) > 2))
+
+    def below(n: Column, values: Column) -> Column:
+        """The nodes under one, whose values these are; a text has none."""
+        wanted = lambda x: (deep(x) | (~n["inner"] & like(x))) if double_encoded else deep(x)
+        placed = F.transform(values, lambda x, i: F.when(wanted(x), node(F.array_append(n["at"], i.cast("long")), x, n["depth"] + 1, n["inner"])))
+        kids = F.when(values.isNotNull(), F.when(n["depth"] < DEEPEST, F.filter(placed, lambda k: k.isNotNull())))
         if double_encoded:
             again = lambda t: F.transform(_roots(t), lambda r: node(F.concat(n["at"], F.array(F.lit(-1).cast("long")), r["obj"]), r["v"], F.lit(0), F.lit(True)))
-            kids = kids.when(~deep(n) & ~n["inner"], _let(string(n["v"]), again))
+            kids = kids.when(~n["inner"], _let(_string(n["v"]), again))
         return F.coalesce(kids, F.array().cast(nodes))
 
-    def level(state: Column) -> Column:
-        def split(judged: Column) -> Column:
-            told = F.transform(F.filter(judged, lambda j: j["held"].isNotNull()), lambda j: F.struct(j["n"]["at"].alias("at"), j["held"].alias("held")))
-            front = F.flatten(F.transform(F.filter(judged, lambda j: j["held"].isNull()), lambda j: below(j["n"])))
-            return F.struct(front.alias("front"), F.concat(state["out"], told).alias("out"))
+    def judged(n: Column) -> Column:
+        def split(fields: Column, held: Column) -> Column:
+            here = F.when(held.isNotNull(), F.array(F.struct(n["at"].alias("at"), held.alias("held")))).otherwise(F.array().cast(told))
+            front = F.when(held.isNull(), _let(F.coalesce(F.map_values(fields), js.as_array(n["v"])), lambda values: below(n, values))).otherwise(F.array().cast(nodes))
+            return F.struct(front.alias("front"), here.alias("out"))
 
-        return _let(F.transform(state["front"], lambda n: F.struct(n.alias("n"), _vacancy(n["fields"]).alias("held"))), split)
+        return _let(js.as_object(n["v"]), lambda fields: _let(_vacancy(fields), lambda held: split(fields, held)))
+
+    def level(state: Column) -> Column:
+        both = lambda each: F.struct(F.flatten(each["front"]).alias("front"), F.concat(state["out"], F.flatten(each["out"])).alias("out"))
+        return _let(F.transform(state["front"], judged), both)
 
     first = F.transform(_roots(text), lambda r: node(r["obj"], r["v"], F.lit(0), F.lit(False)))
-    begin = F.struct(F.coalesce(first.cast(nodes), F.array().cast(nodes)).alias("front"), F.array().cast("array<struct<at: array<bigint>, held: map<string, string>>>").alias("out"))
-    turns = F.sequence(F.lit(0), F.lit((2 if double_encoded else 1) * (DEEPEST + 1)))
-    return F.aggregate(turns, begin, lambda state, _: F.when(F.size(state["front"]) == 0, state).otherwise(level(state)), lambda state: state["out"])
+    begin = F.struct(F.coalesce(first.cast(nodes), F.array().cast(nodes)).alias("front"), F.array().cast(told).alias("out"))
+    # Each turn copies its state, so the turns without a level left come in few groups.
+    turns = lambda n, begin, turn: F.aggregate(F.array(*[F.lit(0)] * n), begin, lambda state, _: F.when(F.size(state["front"]) == 0, state).otherwise(turn(state)))
+    return turns((2 if double_encoded else 1) * (DEEPEST // 16 + 1), begin, lambda state: turns(4, state, lambda state: turns(4, state, level)))["out"]
 
 
 def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
@@ -184,8 +209,7 @@ def vacancies(bodies: DataFrame, double_encoded: bool = True) -> DataFrame:
     """
     part = F.col("part") if "part" in bodies.columns else F.lit(0)
     found = bodies.select("doc_id", part.cast("long").alias("part"), F.inline(walked(F.col("text"), double_encoded)))
-    first = lambda names: F.coalesce(*[F.try_element_at("held", F.lit(n)) for n in names], F.lit(""))
-    read = found.select("doc_id", "part", "at", *[first(names).alias(f) for f, names in FIELDS.items() if not f.startswith("own_")])
+    read = found.select("doc_id", "part", "at", *[_first(names, F.col("held")).alias(f) for f, names in FIELDS.items() if not f.startswith("own_")])
     nth = F.row_number().over(Window.partitionBy("doc_id", F.lower("title"), "id", F.lower("loc")).orderBy("part", "at"))
     kept = read.withColumn("nth", nth).where("nth = 1")
     return kept.select("doc_id", "title", "agency", "loc", "url", "salary", "close", loose_date(F.col("posted")).alias("posted"), "id")
